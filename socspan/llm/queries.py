@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import token_pack
+from . import token_pack, warc
 
 QUERIES = {
     "op1_token_pack": token_pack.op1_token_pack,
+    "op5_warc": warc.op5_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": warc.OP5_SQL,
+}
