@@ -25,6 +25,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +39,10 @@ from .common import file_at, shared_dir, short_batches, written
 MAGIC = b"BITPACK1"
 BLOCK_IDS = 16384  # a multiple of 8, so that every block ends on a byte
 SPAN_IDS = 1 << 20  # ids unpacked at once when a shard is read through
-CACHE_WORDS = 400_000  # memory bound of the words whose ids a worker remembers
+ENCODE_CHARS = 1 << 20  # about as many characters are encoded at once
+CACHE_WORDS = 1_200_000  # memory bound of the words whose ids a worker remembers
 
 MANIFEST = "shard long, path string, n_docs long, n_ids long"
-#: A place where two spaces meet, or a space meets other white space or the text's end: words can't be cut there safely.
-_ODD_SPACE = re.compile(r"\s | \s|\A | \Z|\x00|<\|")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -128,44 +128,89 @@ class ShardReader:
         return unpack(data, self.bits, n)[start - first * BLOCK_IDS : end - first * BLOCK_IDS]
 
 
-_TOKENIZERS: dict = {}
+#: White space other than space and line ends, in which Python and the tokenizer may differ.
+_RARE_SPACE = re.compile("[\x00\t\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def _tokenizer(path: str):
-    """This worker's tokenizer, and the ids of words that it has met."""
-    if path not in _TOKENIZERS:
+def _plain(text: str) -> bool:
+    """Whether each space stands alone between two words, so that words can be encoded one by one."""
+    return not ("  " in text or "\n " in text or " \n" in text or text.startswith(" ") or text.endswith(" ") or _RARE_SPACE.search(text))
+
+
+class _Encoder:
+    """A worker's tokenizer, with the ids of the words that it has met.
+
+    Words are remembered in two generations of half of CACHE_WORDS each:
+    common words move to the younger one, rare ones are forgotten with the
+    older.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _TOKENIZERS[path] = (t, {})
-    return _TOKENIZERS[path]
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.model = self.tok.model
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        # The letters that byte-level models show bytes as: printable bytes as themselves, the others from 256 up.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: 256 + i for i, b in enumerate(hidden)}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a stretch within which the model may merge: its bytes, shown as the model's letters."""
+        if part.isascii() and part.isprintable():
+            letters = part.replace(" ", chr(self.letters[32]))
+        else:
+            letters = part.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > CACHE_WORDS // 2:
+            self.older, self.known, self.parts = self.known, {}, {}
+        for w in words.difference(self.known):
+            ids = self.older.get(w)
+            if ids is None:
+                ids = b""
+                for part in self.split(w):
+                    if len(part) > 3:
+                        ids += self._part(part)
+                    else:
+                        if part not in self.parts:
+                            self.parts[part] = self._part(part)
+                        ids += self.parts[part]
+            self.known[w] = ids
+
+
+_ENCODERS: dict[str, _Encoder] = {}
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of whole texts, as the tokenizers library gives them.
 
-    A byte-level BPE never joins symbols over a single space between two
-    words, so a text is cut there and each distinct word is encoded by the
-    library once; texts with other spacing go to it whole.
+    A byte-level BPE never merges over a single space between two words, so a
+    text is cut there and the library's model encodes each distinct word once;
+    texts with other spacing go to the library whole.
     """
-    tok, known = _tokenizer(path)
-    pieces = [None if _ODD_SPACE.search(t) else t.replace(" ", "\x00 ").split("\x00") for t in texts]
-    new = {w for p in pieces if p for w in p}.difference(known)
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = {w for p in pieces if p for w in p}
-    new = list(new)
-    for i in range(0, len(new), 4096):
-        for w, e in zip(new[i : i + 4096], tok.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _Encoder(path)
+    enc = _ENCODERS[path]
+    pieces = [t.replace(" ", "\x00 ").split("\x00") if _plain(t) else None for t in texts]
+    words: set[str] = set()
+    words.update(*(p for p in pieces if p))
+    enc.learn(words)
     out = []
     for text, p in zip(texts, pieces, strict=True):
         if p is None:
-            out.append(np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
+            out.append(np.array(enc.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
         else:
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4"))
+            out.append(np.frombuffer(b"".join(map(enc.known.__getitem__, p)), "<u4"))
     return out
 
 
@@ -183,9 +228,15 @@ def _writer(folder: str, path: str, bits: int, end_id: int):
                 w = ShardWriter(out, bits)
             ids = [d if there else None for d, there in zip(pdf["doc_id"].tolist(), pdf["there"].tolist(), strict=True)]
             texts = pdf["text"].tolist()
-            for i in range(0, len(texts), 64):
-                for d, x in zip(ids[i : i + 64], encode(texts[i : i + 64], path), strict=True):
+            i = 0
+            while i < len(texts):
+                j, chars = i + 1, len(texts[i])
+                while j < len(texts) and chars < ENCODE_CHARS:
+                    chars += len(texts[j])
+                    j += 1
+                for d, x in zip(ids[i:j], encode(texts[i:j], path), strict=True):
                     w.add(d, np.concatenate([x, end]))
+                i = j
         if out is not None:
             w.close()
             out.close()
@@ -199,7 +250,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
 
     tokenizer is the path of a byte-level BPE file of the tokenizers library,
     at the same place on every machine. A null text counts as empty, a null
-    doc_id sorts first, equal doc_ids sort by text. An empty table gives an
+    doc_id sorts first, equal doc_ids sort by a hash of the text. An empty table gives an
     empty manifest. Columns other than doc_id and text are not looked at.
     """
     from tokenizers import Tokenizer
@@ -209,8 +260,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     bits = max(1, (Tokenizer.from_file(tokenizer).get_vocab_size() - 1).bit_length())
     folder = folder or shared_dir(spark, "tokens")
     key = F.col("doc_id").cast("long")
-    rows = docs.select(key.isNotNull().alias("there"), F.coalesce(key, F.lit(0)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("there", "doc_id", "text").sortWithinPartitions("there", "doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(key.isNotNull().alias("there"), F.coalesce(key, F.lit(0)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    rows = rows.repartitionByRange("there", "doc_id", "tie").sortWithinPartitions("there", "doc_id", "tie")
     return written(rows.mapInPandas(_writer(folder, tokenizer, bits, end_id), MANIFEST), "token-manifest")
 
 
@@ -245,7 +297,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     the shards runs over one row a shard, not over documents.
     """
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spread = manifest.withColumn("base", before).select("path", "base").repartition(F.col("path"))
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = manifest.withColumn("base", before).select("path", "base").repartition(n, "path")
     return spread.mapInPandas(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long, bits int, shard_path string")
 
 
