@@ -186,7 +186,8 @@ def read_warc(manifest: DataFrame) -> DataFrame:
     """
     short_batches(manifest.sparkSession)
     ranges = manifest.select("file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(CHUNK))).alias("lo")).filter("lo < bytes")
-    found = written(ranges.repartition(F.col("file"), F.col("lo")).mapInPandas(_scan, CANDIDATE), "warc-candidates")
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = written(ranges.repartition(n, "file", "lo").mapInPandas(_scan, CANDIDATE), "warc-candidates")
     records = found.join(reached(found), ["file", "at"], "left_semi")
     stored = records.filter("kind = 'response'").select(F.col("page_id").alias("refers_to"), "digest", F.col("payload_bytes").alias("stored_bytes")).filter("refers_to is not null").dropDuplicates(["refers_to", "digest"])
     again = records.filter("kind = 'revisit'").join(stored, ["refers_to", "digest"], "left").withColumn("payload_bytes", F.col("stored_bytes"))
