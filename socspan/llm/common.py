@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch sent to Python. Texts vary from a word to megabytes, so batches are kept short.
 BATCH_ROWS = 500
@@ -48,3 +49,11 @@ def file_at(uri: str) -> tuple[pafs.FileSystem, str]:
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+
+
+def struct_of(columns: str) -> T.StructType:
+    """The struct of "name type, name type"; unlike a DDL string it needs no session when a module is imported."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split() for c in columns.split(", "))])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import token_pack, warc
+from . import quality_rules, token_pack, warc
 
 QUERIES = {
     "op1_token_pack": token_pack.op1_token_pack,
     "op5_warc": warc.op5_warc,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
