@@ -40,7 +40,7 @@ MAGIC = b"BITPACK1"
 BLOCK_IDS = 16384  # a multiple of 8, so that every block ends on a byte
 SPAN_IDS = 1 << 20  # ids unpacked at once when a shard is read through
 ENCODE_CHARS = 1 << 20  # about as many characters are encoded at once
-CACHE_WORDS = 1_200_000  # memory bound of the words whose ids a worker remembers
+CACHE_WORDS = 1_800_000  # memory bound of the words whose ids a worker remembers
 
 MANIFEST = "shard long, path string, n_docs long, n_ids long"
 
@@ -178,7 +178,7 @@ class _Encoder:
             ids = self.older.get(w)
             if ids is None:
                 ids = b""
-                for part in self.split(w):
+                for part in [w] if w[1:].isalpha() and (w[0] == " " or w[0].isalpha()) else self.split(w):
                     if len(part) > 3:
                         ids += self._part(part)
                     else:
