@@ -89,7 +89,7 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     p = pages.select(page.alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("body"))
     p = p.withColumn("digest", F.sha2("body", 256))
     big = p.filter(F.octet_length("body") >= REVISIT_LEAST)
-    first = big.groupBy("digest").agg(F.min("page_id").alias("first"))
+    first = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     p = p.join(first, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     rows = p.select(F.col("page_id").isNotNull().alias("there"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "url", "body", "digest", revisit.alias("revisit"), F.coalesce("first", F.lit(0)).alias("refers"))
