@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import language_id, quality_model, quality_rules, token_pack, warc
+from . import language_id, line_dedup, mixing, quality_model, quality_rules, token_pack, warc
 
 QUERIES = {
     "op1_token_pack": token_pack.op1_token_pack,
     "op2_quality_model": quality_model.op2_quality_model,
     "op5_warc": warc.op5_warc,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_mixing": mixing.op7_mixing,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
     "op5_warc": warc.OP5_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
 }
