@@ -103,7 +103,7 @@ def mix(docs: DataFrame, keep: float = KEEP, looked: DataFrame | None = None) ->
     an empty table stays empty. The cells are joined as the small side.
     """
     looked = look(docs) if looked is None else looked
-    cells = written(looked.groupBy("_mix.source", "_mix.lang", "_mix.topic").agg(F.sum("_mix.tokens").alias("tokens")), "mix-cells")
+    cells = written(looked.groupBy("_mix.source", "_mix.lang", "_mix.topic").agg(F.sum("_mix.tokens").alias("tokens")).filter("tokens > 0"), "mix-cells")
     p = written(probabilities(rake(cells, targets(cells)), keep).select(F.struct("source", "lang", "topic").alias("_cell"), F.col("p").alias("_p")), "mix-chances")
     row = F.struct("_mix.source", "_mix.lang", "_mix.topic")
     drawn = looked.join(p, row == F.col("_cell")).filter(chance() < F.col("_p") * 2**32)
