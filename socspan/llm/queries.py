@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, mixing, quality_model, quality_rules, token_pack, warc
+from . import decontaminate, language_id, line_dedup, mixing, quality_model, quality_rules, simhash, token_pack, warc
 
 QUERIES = {
     "op1_token_pack": token_pack.op1_token_pack,
     "op2_quality_model": quality_model.op2_quality_model,
+    "op3_simhash": simhash.op3_simhash,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_warc": warc.op5_warc,
     "op6_quality_rules": quality_rules.op6_quality_rules,
