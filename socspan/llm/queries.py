@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, mixing, quality_model, quality_rules, simhash, token_pack, warc
+from . import decontaminate, language_id, line_dedup, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_pack, warc
 
 QUERIES = {
     "op1_token_pack": token_pack.op1_token_pack,
@@ -12,11 +12,13 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
     "op5_warc": warc.OP5_SQL,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
