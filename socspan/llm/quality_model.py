@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from .common import docs_of, short_batches, struct_of, written
 from .quality_rules import counts_of
@@ -28,6 +27,7 @@ FEATURES = 1 << 13
 UNIT = 1_000_000
 ROUNDS = 100
 KEEP = 0.3
+PATTERNS_HELD = 500  # feature sums that a task holds, of 64 kB each
 SHORT = 20  # words; shares of words say nothing about shorter texts
 GOOD, BAD, NONE = 1, 0, 2
 
@@ -117,19 +117,25 @@ def features(text: str, stats: list[float]) -> np.ndarray:
     return x
 
 
-def _summed(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, FEATURES))
-        for pdf in batches:
-            for text in pdf["text"]:
-                stats = _stats(text)
-                p = float(np.round(shared.value[votes(stats)], 3))
-                x = features(text, stats)
-                sums += np.floor(np.outer([p, 1 - p], x))
-        at = np.flatnonzero(sums.any(axis=0))
-        yield pd.DataFrame({"feature": at, "good": sums[0, at].astype(np.int64), "bad": sums[1, at].astype(np.int64)})
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Feature sums of a task's texts by vote pattern; feature -1 counts the texts."""
+    sums: dict[int, np.ndarray] = {}
 
-    return run
+    def send():
+        for pattern, x in sums.items():
+            at = np.flatnonzero(x)
+            yield pd.DataFrame({"pattern": pattern, "feature": at - 1, "n": x[at]})
+        sums.clear()
+
+    for pdf in batches:
+        for text in pdf["text"]:
+            stats = _stats(text)
+            x = sums.setdefault(votes(stats), np.zeros(FEATURES + 1, np.int64))
+            x[0] += 1
+            x[1:] += features(text, stats)
+        if len(sums) > PATTERNS_HELD:
+            yield from send()
+    yield from send()
 
 
 class Model:
@@ -148,22 +154,22 @@ class Model:
         return float(self.posterior[votes(stats)]), float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-@F.pandas_udf(IntegerType())
-def _pattern(texts: pd.Series) -> pd.Series:
-    return pd.Series([votes(_stats(t)) for t in texts], dtype="int32")
-
-
 def fit(docs: DataFrame) -> Model:
-    """The model of all texts of docs; null counts as empty. The driver gets PATTERNS and FEATURES rows at most."""
+    """The model of all texts of docs; null counts as empty. The driver gets PATTERNS and FEATURES rows at most.
+
+    One pass sums the features by pattern, so that the posteriors, which EM
+    finds from the patterns' counts afterwards, can weigh the sums.
+    """
     spark = docs.sparkSession
     short_batches(spark)
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = {r[0]: r[1] for r in texts.groupBy(_pattern("text").alias("pattern")).count().collect()}
-    posterior = posteriors(counts)
-    sums = texts.mapInPandas(_summed(spark.sparkContext.broadcast(posterior)), "feature int, good long, bad long")
+    sums = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_summed, "pattern int, feature int, n long")
+    sums = written(sums.groupBy("pattern", "feature").agg(F.sum("n").alias("n")), "quality-sums")
+    posterior = posteriors({r[0]: r[1] for r in sums.filter("feature = -1").select("pattern", "n").collect()})
+    parts = spark.createDataFrame([(i, round(1000 * float(x))) for i, x in enumerate(posterior)], "pattern int, part int")
+    weighed = sums.filter("feature >= 0").join(parts, "pattern").withColumn("n", F.col("n").cast("decimal(24,0)"))
     good, bad = np.zeros((2, FEATURES))
-    for r in sums.groupBy("feature").agg(F.sum("good"), F.sum("bad")).collect():
-        good[r[0]], bad[r[0]] = r[1], r[2]
+    for r in weighed.groupBy("feature").agg(F.sum(F.col("n") * F.col("part")), F.sum(F.col("n") * (1000 - F.col("part")))).collect():
+        good[r[0]], bad[r[0]] = float(r[1]) / 1000, float(r[2]) / 1000
     return Model(posterior, good, bad)
 
 
