@@ -7,8 +7,10 @@ suffixes are sorted only where a repeat can be:
 1. Each window of LENGTH bytes has an anchor, the place of the least hash among
    its GRAM-byte strings (the first one of equals). Equal windows have equal
    anchors, and an anchor serves about 35 windows in a row.
-2. Anchors meet by hash. Those whose hash occurs once are done with; a task
-   sends each hash once, so a common passage is not a large group.
+2. Anchors meet by the hash of their gram. A window reaches SIDE bytes or more
+   beyond the gram on its left or on its right, so anchors without another one
+   of equal gram and equal left or right side are done with; a task sends each
+   side's hash once, so a common passage is not a large group.
 3. The texts give the windows of the remaining anchors: one stretch of bytes
    for each anchor. A task sends equal stretches once and knows the later ones
    as repeats already.
@@ -25,6 +27,7 @@ bytes.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +42,7 @@ from .common import docs_of, short_batches, struct_of
 LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1  # GRAM-byte strings in a window
+SIDE = (LENGTH - GRAM) // 2  # 34 bytes
 SHALLOW = 24  # bytes, three words
 PIECE = 256 << 10  # windows of a text that are hashed at once
 FLUSH_ANCHORS = 2_000_000  # anchors that a task holds before it sends them
@@ -72,6 +76,21 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _argmin(h, WINDOW), h
 
 
+def sides(h: np.ndarray, at: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams at some places with SIDE bytes before, and after, each; no two alike where the bytes end before that.
+
+    Two overlapping grams cover a side.
+    """
+    out = []
+    for a, b in ((at - SIDE, at - GRAM), (at + GRAM, at + SIDE)):
+        there = (a >= 0) & (b < len(h))
+        x, y = h[np.where(there, a, 0)], h[np.where(there, b, 0)]
+        side = (h[at] ^ x * np.uint64(0x9E3779B97F4A7C15) ^ (y >> np.uint64(3)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
+        lone = (at.astype(np.uint64) + np.uint64(salt << 24 & (1 << 63) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(np.where(there, side, lone))
+    return out[0], out[1]
+
+
 def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First places and lengths of runs of equal values."""
     first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
@@ -82,7 +101,7 @@ class _Sender:
     """Collects a task's anchors and packs them by bucket."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.ids, self.parts, self.n = buckets, [], [], 0
+        self.buckets, self.ids, self.parts, self.n, self.salt = buckets, [], [], 0, int.from_bytes(os.urandom(4), "little")
 
     def add(self, doc: int, data: np.ndarray) -> None:
         for at in range(0, len(data) - LENGTH + 1, PIECE):
@@ -91,26 +110,31 @@ class _Sender:
             first, n = _runs(a)
             place = np.zeros(len(first), _PLACE)
             place["q"], place["n"], place["o"] = first + at, n, a[first] - first
-            self.parts.append((h[a[first]], np.full(len(first), doc, np.int64), place))
+            self.salt += 1
+            self.parts.append((h[a[first]], *sides(h, a[first], self.salt), np.full(len(first), doc, np.int64), place))
             self.n += len(first)
 
     def send(self) -> pd.DataFrame:
-        """Bucket rows with the first anchor of each hash, and rows by document of those that repeat it."""
+        """Bucket rows with the first anchor of each side's hash (six bytes of it), and rows by document of those that repeat both."""
         out = []
         if self.parts:
-            h, doc, place = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-            _, first, times = np.unique(h, return_index=True, return_counts=True)
-            more = np.ones(len(h), bool)
-            more[first] = False
-            bucket = ((h[first] >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            first, times, bucket = first[order], times[order], bucket[order]
-            for lo, n in zip(*_runs(bucket), strict=True):
-                i = first[lo : lo + n]
-                docs, index = np.unique(doc[i], return_inverse=True)
+            h, left, right, doc, place = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            send, more = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            for side in (left, right):
+                _, first, index, times = np.unique(side, return_index=True, return_inverse=True, return_counts=True)
+                send[first] = True
+                more |= times[index] > 1
+            bucket = ((h >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
+            i = np.flatnonzero(send)
+            i = i[np.argsort(bucket[i], kind="stable")]
+            for lo, n in zip(*_runs(bucket[i]), strict=True):
+                j = i[lo : lo + n]
+                docs, index = np.unique(doc[j], return_inverse=True)
                 ids = np.array([self.ids[d] for d in docs], np.int64)
-                rest = zlib.compress(b"".join([index.astype("<u4").tobytes(), place[i].tobytes(), (times[lo : lo + n] > 1).tobytes(), ids.tobytes()]), 1)
-                out.append((int(bucket[lo]), None, None, np.array([n, len(docs)], "<i8").tobytes() + h[i].tobytes() + rest))
+                rest = zlib.compress(b"".join([index.astype("<u4").tobytes(), place[j].tobytes(), more[j].tobytes(), ids.tobytes()]), 1)
+                hashes = np.stack([left[j], right[j]]).astype("<u8").view(np.uint8).reshape(2, n, 8)[:, :, 2:]
+                out.append((int(bucket[j[0]]), None, None, np.array([n, len(docs)], "<i8").tobytes() + hashes.tobytes() + rest))
+            more = ~send
             out += [(d1 % self.buckets, d1, d2, places) for d1, d2, places in by_document(doc[more], place[more], self.ids)]
         self.ids, self.parts, self.n = [], [], 0
         return pd.DataFrame(out, columns=["bucket", "d1", "d2", "blob"]).astype({"bucket": "int32", "d1": "Int64", "d2": "Int64"})
@@ -138,7 +162,7 @@ def _send(buckets: int):
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of a partition's buckets the anchors whose hash occurs twice or more, by document."""
+    """Of a partition's buckets the anchors with a side whose hash occurs twice or more, by document."""
     held: dict[int, list[bytes]] = {}
     for pdf in batches:
         there = pdf["d1"].notna()
@@ -149,17 +173,19 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, docs, places, again, ids, n_docs = [], [], [], [], [], 0
         for blob in held.popitem()[1]:
             n, d = map(int, np.frombuffer(blob[:16], "<i8"))
-            hashes.append(np.frombuffer(blob[16 : 16 + 8 * n], np.uint64))
-            rest = zlib.decompress(blob[16 + 8 * n :])
+            six = np.zeros((2, n, 8), np.uint8)
+            six[:, :, 2:] = np.frombuffer(blob[16 : 16 + 12 * n], np.uint8).reshape(2, n, 6)
+            hashes.append(six.view("<u8").reshape(2, n))
+            rest = zlib.decompress(blob[16 + 12 * n :])
             docs.append(np.frombuffer(rest[: 4 * n], "<u4").astype(np.int64) + n_docs)
             places.append(np.frombuffer(rest[4 * n : 10 * n], _PLACE))
             again.append(np.frombuffer(rest[10 * n : 11 * n], bool))
             ids.append(np.frombuffer(rest[11 * n :], np.int64).reshape(d, 2))
             n_docs += d
-        h, doc, place, more, ids = (np.concatenate(x) for x in (hashes, docs, places, again, ids))
-        _, index, times = np.unique(h, return_inverse=True, return_counts=True)
-        keep = more | (times[index] > 1)
-        keep |= np.bincount(index, weights=more)[index] > 0
+        doc, place, keep, ids = (np.concatenate(x) for x in (docs, places, again, ids))
+        for side in np.concatenate(hashes, axis=1):
+            _, index, times = np.unique(side, return_inverse=True, return_counts=True)
+            keep = keep | (times[index] > 1)
         yield pd.DataFrame(list(by_document(doc[keep], place[keep], ids)), columns=["d1", "d2", "blob"]).astype({"d1": "int64", "d2": "int64"})
 
 
