@@ -166,9 +166,9 @@ LANES = 4
 SEGMENTS = [(0, 21), (21, 21), (42, 22)]
 RADIUS = 1
 #: Of 256 bits. Texts of similarity 0.8 differ in 36 bits on average, with a deviation of 6; unrelated ones in 128.
-DISTANCE = 64
+DISTANCE = 56
 LEADERS = 3  # of a bucket of more than HOT_TEXTS
-HOT_TEXTS = 48
+HOT_TEXTS = 4  # a look-up meets so many rows of a bucket at most, so pairs grow with look-ups
 
 _LANE = [f"f{i}" for i in range(LANES)]
 
@@ -184,7 +184,7 @@ def _segments(near: bool) -> Column:
         for k, (first, bits) in enumerate(SEGMENTS):
             value = F.shiftrightunsigned(F.col(f), first).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit((lane * len(SEGMENTS) + k) << 32)
             masks = F.array(*(F.lit(m).cast("long") for m in (ball(bits, RADIUS) if near else [0])))
-            out.append(F.transform(masks, lambda m, v=value: v.bitwiseXOR(m)))
+            out.append(F.transform(masks, value.bitwiseXOR))
     return F.explode(F.concat(*out)).alias("key")
 
 
