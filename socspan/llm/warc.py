@@ -27,6 +27,7 @@ CHUNK = 4 << 20  # bytes of a file that a task looks through
 HEADER_MOST = 64 << 10  # a record header that is longer isn't one
 FILE_MOST = 256 << 20  # a file that reaches this size is closed and another begun
 REVISIT_LEAST = 100  # shorter payloads are always stored
+FIRST_SENT = 200_000  # digests that occur twice or more are sent to all executors up to this number (30 MB), and joined beyond it
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"  # of all records, so that repeated runs write the same bytes
 
@@ -78,9 +79,9 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     response and the others are revisits that refer to it; rows that repeat
     that smallest page_id are responses too. Null html counts as empty. A null
     page_id never is what others refer to. An empty table gives no file.
-    The digest is looked up with a join that Spark may split where one payload
-    is very common; only the smallest id of each digest is kept, after a
-    partial aggregation.
+    Digests that occur once aren't looked up; the others keep their smallest
+    id, after a partial aggregation. Beyond FIRST_SENT of them the pages are
+    joined, which Spark may split where one payload is very common.
     """
     spark = pages.sparkSession
     short_batches(spark)
@@ -90,7 +91,8 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     p = p.withColumn("digest", F.sha2("body", 256))
     big = p.filter(F.octet_length("body") >= REVISIT_LEAST)
     first = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    p = p.join(first, "digest", "left")
+    first = written(first, "warc-first")
+    p = p.join(F.broadcast(first) if first.count() <= FIRST_SENT else first, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     rows = p.select(F.col("page_id").isNotNull().alias("there"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "url", "body", "digest", revisit.alias("revisit"), F.coalesce("first", F.lit(0)).alias("refers"))
     return written(rows.mapInPandas(_writer(folder), MANIFEST), "warc-manifest")
