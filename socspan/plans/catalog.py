@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from .views import SQL, canonical, oracle
+from . import entity_queries, signal_queries, view_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-
-for _name in SQL:
-    QUERIES[f"view_{_name}"] = lambda spark, d, n=_name: getattr(canonical(spark, d), n).drop("alert_ids", "ok")
-    ORACLES[f"view_{_name}"] = oracle(f"select * exclude ({'ok' if _name == 'cases' else ''}) from {_name}" if _name == "cases" else f"select * from {_name}")
+for _m in (view_queries, entity_queries, signal_queries):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
