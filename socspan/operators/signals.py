@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,31 +117,46 @@ def category_z(coverage: DataFrame) -> DataFrame:
     return modified_z(v, peer_values(v)).select("entity_id", F.col("z").alias("category_z"))
 
 
-def metrics(t, p: Params = DEFAULT) -> DataFrame:
-    """One row an entity of the registry with all inputs of the signals; entities without rows get zeros."""
+def needed(signals: list[Signal]) -> set[str]:
+    """The columns of metrics() that the signals read."""
+    return {w for x in signals for w in re.findall(r"[a-z_0-9]+", f"{x.value} {x.n} {x.gate} {x.flag}")} | {"high_band"}
+
+
+def metrics(t, p: Params = DEFAULT, only: set[str] | None = None) -> DataFrame:
+    """One row an entity of the registry with the inputs of the signals; entities without rows get zeros.
+
+    only names the columns that are read; parts without any of them are left out.
+    """
     rates = case_rates(t.cases, t.escalations, p)
-    alert = t.alerts.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_alerts"), share(is_backfilled(p=p)).alias("backfill_rate"), F.avg(_rank("severity_norm")).alias("alert_rank"))
-    rank = t.cases.groupBy("entity_id").agg(F.avg(_rank("severity_norm")).alias("case_rank"))
-    burst = bursts(t.cases, p).groupBy("entity_id").agg(F.max("burst_size").alias("burst_max"))
-    chain = duplicate_depth(t.cases).withColumnRenamed("depth", "chain_depth")
-    notes = note_similarity(t.investigations.filter("notes is not null"), ["entity_id"]).select("entity_id", "n_notes", F.col("similarity").alias("template_similarity"))
+    cover = coverage_summary(t.registry, t.assets, t.telemetry, t.alerts, p)
     c = t.cases.select("entity_id", "case_id", F.col("status").alias("case_status"), F.col("tier").alias("case_tier"))
-    esc = t.escalations.join(c, ["entity_id", "case_id"], "left")
     nowhere = F.col("accepted_ts").isNull() & (F.col("case_status") == "CLOSED") & (F.col("case_tier") == F.col("from_tier"))
-    esc = esc.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_escalations"), share(nowhere).alias("nowhere_rate"))
-    cover = coverage_summary(t.registry, t.assets, t.telemetry, t.alerts, p)
-    d = t.registry.select("entity_id", (F.coalesce("feed_explanation", F.lit("")) != "").alias("feed_explained"))
-    parts = [rates, gaming(rates), alert, rank, burst, chain, notes, esc, cover, category_z(cover), asset_counts(t.assets, t.alerts, t.telemetry), activity(t.alerts, p), feed_windows(t.alerts, p)]
-    for part in parts:
-        d = d.join(part, "entity_id", "left")
+    parts = {
+        "gaming n_peers": lambda: gaming(rates),
+        "n_alerts backfill_rate alert_rank": lambda: t.alerts.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_alerts"), share(is_backfilled(p=p)).alias("backfill_rate"), F.avg(_rank("severity_norm")).alias("alert_rank")),
+        "case_rank": lambda: t.cases.groupBy("entity_id").agg(F.avg(_rank("severity_norm")).alias("case_rank")),
+        "burst_max": lambda: bursts(t.cases, p).groupBy("entity_id").agg(F.max("burst_size").alias("burst_max")),
+        "chain_depth": lambda: duplicate_depth(t.cases).withColumnRenamed("depth", "chain_depth"),
+        "n_notes template_similarity": lambda: note_similarity(t.investigations.filter("notes is not null"), ["entity_id"]).select("entity_id", "n_notes", F.col("similarity").alias("template_similarity")),
+        "n_escalations nowhere_rate": lambda: t.escalations.join(c, ["entity_id", "case_id"], "left").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_escalations"), share(nowhere).alias("nowhere_rate")),
+        "telemetry_gap_ratio silence_max category_missing tactic_coverage expected_absent_count space_rows": lambda: cover,
+        "category_z": lambda: category_z(cover),
+        "n_assets n_critical_assets critical_silent n_facing facing_silent high_band perimeter_blind": lambda: asset_counts(t.assets, t.alerts, t.telemetry),
+        "n_days residual_mean_7 residual_std": lambda: activity(t.alerts, p),
+        "n_windows feed_baseline feed_now": lambda: feed_windows(t.alerts, p),
+    }
+    d = t.registry.select("entity_id", (F.coalesce("feed_explanation", F.lit("")) != "").alias("feed_explained")).join(rates, "entity_id", "left")
+    for columns, part in parts.items():
+        if only is None or only & set(columns.split()):
+            d = d.join(part(), "entity_id", "left")
     d = d.withColumn("cv", F.when(F.col("mean_hours") > 0, F.col("std_hours") / F.col("mean_hours")).otherwise(0.0))
     return d.na.fill(0, [c for c, kind in d.dtypes if kind in ("bigint", "int", "double") and c not in ("cv", "residual_std", "feed_baseline")]).na.fill(False)
 
 
-def evaluate(wide: DataFrame, window: Column | None = None, p: Params = DEFAULT, seed: int = 42) -> DataFrame:
+def evaluate(wide: DataFrame, window: Column | None = None, p: Params = DEFAULT, seed: int = 42, signals: list[Signal] = SIGNALS) -> DataFrame:
     """SIG-F1, SIG-F2: the long results of all signals from metrics(): value, flag, score, and the gate for small samples."""
     rules = []
-    for s in SIGNALS:
+    for s in signals:
         enough = F.coalesce(F.expr((s.gate or f"{s.n} >= {{min_n}}").format(min_n=p.min_n, perfect_min=max(p.min_n, p.perfect_min))), F.lit(False))
         value = F.when(enough, clean_float(F.expr(s.value).cast("double"))).otherwise(0.0)
         flag = F.expr(s.flag) if s.flag else value >= s.threshold

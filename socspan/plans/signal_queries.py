@@ -26,9 +26,34 @@ CTES = [
     "act as (select entity_id, count(*) as n_days, avg(residual) filter (where back <= 7) as residual_mean_7, coalesce(nullif(stddev_samp(residual), 0), 1.0) as residual_std from (select *, row_number() over (partition by entity_id order by day desc) as back from detrend) group by 1)",
     "fw as (select entity_id, time_bucket(interval '7 days', detected_ts, timestamp '1970-01-01') as w, count(*) as cnt from alerts group by 1, 2)",
     "fb as (select entity_id, max(k) as n_windows, max_by(mean, k) as feed_baseline, max_by(cnt, k) as feed_now from (select *, row_number() over (partition by entity_id order by w) as k, avg(cnt) over (partition by entity_id order by w rows between 3 preceding and current row) as mean from fw) group by 1)",
-    "m as (select r.entity_id, r.feed_explanation <> '' as feed_explained, rates.* exclude (entity_id), game.* exclude (entity_id), coalesce(n_alerts, 0) as n_alerts, coalesce(backfill_rate, 0) as backfill_rate, coalesce(alert_rank, 0) as alert_rank, case_rank, coalesce(burst_max, 0) as burst_max, coalesce(depths.depth, 0) as chain_depth, coalesce(sm.n, 0) as n_notes, coalesce(sm.similarity, 0) as template_similarity, coalesce(n_escalations, 0) as n_escalations, coalesce(nowhere_rate, 0) as nowhere_rate, cover.* exclude (entity_id), coalesce(category_z, 0) as category_z, ac.* exclude (entity_id), coalesce(n_days, 0) as n_days, coalesce(residual_mean_7, 0) as residual_mean_7, residual_std, coalesce(n_windows, 0) as n_windows, feed_baseline, coalesce(feed_now, 0) as feed_now, case when mean_hours > 0 then std_hours / mean_hours else 0.0 end as cv from registry r left join rates using (entity_id) left join game using (entity_id) left join al using (entity_id) left join cr using (entity_id) left join bm using (entity_id) left join depths using (entity_id) left join sm using (entity_id) left join es using (entity_id) left join cover using (entity_id) left join cz using (entity_id) left join ac using (entity_id) left join act using (entity_id) left join fb using (entity_id))",
 ]
 
+_PARTS = {
+    "game.gaming gaming|game.n_peers n_peers": "game",
+    "coalesce(n_alerts,0) n_alerts|coalesce(backfill_rate,0) backfill_rate|coalesce(alert_rank,0) alert_rank": "al",
+    "case_rank case_rank": "cr",
+    "coalesce(burst_max,0) burst_max": "bm",
+    "coalesce(depths.depth,0) chain_depth": "depths",
+    "coalesce(sm.n,0) n_notes|coalesce(sm.similarity,0) template_similarity": "sm",
+    "coalesce(n_escalations,0) n_escalations|coalesce(nowhere_rate,0) nowhere_rate": "es",
+    "telemetry_gap_ratio telemetry_gap_ratio|silence_max silence_max|tactic_coverage tactic_coverage|expected_absent_count expected_absent_count|space_rows space_rows": "cover",
+    "coalesce(category_z,0) category_z": "cz",
+    "n_assets n_assets|n_critical_assets n_critical_assets|critical_silent critical_silent|n_facing n_facing|facing_silent facing_silent|high_band high_band|perimeter_blind perimeter_blind": "ac",
+    "coalesce(n_days,0) n_days|coalesce(residual_mean_7,0) residual_mean_7|residual_std residual_std": "act",
+    "coalesce(n_windows,0) n_windows|feed_baseline feed_baseline|coalesce(feed_now,0) feed_now": "fb",
+}
+
+
+def wide(only: set[str] | None = None) -> list[str]:
+    """The CTEs up to m, the inputs of the signals that read the columns named by only."""
+    columns, joins = [], []
+    for part, table in _PARTS.items():
+        mine = [c.rsplit(" ", 1) for c in part.split("|")]
+        if only is None or only & {name for _, name in mine}:
+            columns += [f"{x} as {name}" for x, name in mine]
+            joins.append(f"left join {table} using (entity_id)")
+    return [*CTES, "m as (select r.entity_id, r.feed_explanation <> '' as feed_explained, rates.* exclude (entity_id), " + ", ".join(columns) + ", case when mean_hours > 0 then std_hours / mean_hours else 0.0 end as cv from registry r left join rates using (entity_id) " + " ".join(joins) + ")"]
+
 
 def rule(s: signals.Signal) -> str:
     """The result rows of a signal, from m."""
@@ -45,12 +70,12 @@ RESULTS = "results as (" + " union all ".join(map(rule, SIGNALS)) + ")"
 
 
 def _inputs(s: signals.Signal):
-    return lambda t: signals.evaluate(signals.metrics(t)).filter(f"signal_id = '{s.id}'").select(*COLUMNS)
+    return lambda t: signals.evaluate(signals.metrics(t, only=signals.needed([s])), signals=[s]).select(*COLUMNS)
 
 
 for _s in SIGNALS:
-    _b.add("sig_" + _s.id.lower().replace("-", "_"), _inputs(_s), f"select {SELECT} from ({rule(_s)})", *CTES)
-_b.add("sig_all", lambda t: signals.evaluate(signals.metrics(t)).select(*COLUMNS), f"select {SELECT} from results", *CTES, RESULTS)
+    _b.add("sig_" + _s.id.lower().replace("-", "_"), _inputs(_s), f"select {SELECT} from ({rule(_s)})", *wide(signals.needed([_s])))
+_b.add("sig_all", lambda t: signals.evaluate(signals.metrics(t)).select(*COLUMNS), f"select {SELECT} from results", *wide(), RESULTS)
 
 
 def _tree(t) -> str:
@@ -67,11 +92,13 @@ def composite(comp: str) -> str:
     ids = [x for x in signals.members(tree) if x != "high_band"]
     mine = "signal_id in (" + ", ".join(f"'{i}'" for i in ids) + ") and is_flagged"
     return (f"select entity_id, '{comp}' as signal_id, case when {_tree(tree)} then 1.0::double else 0.0 end as value, {_tree(tree)} as is_flagged, count(*) filter (where {mine}) as members_fired, "
-            f"coalesce(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][greatest(0, max({_ORDER}) filter (where {mine}) - case when count(*) filter (where {mine}) < {len(ids)} then 1 else 0 end) + 1], 'LOW') as severity, "
+            f"case when count(*) filter (where {mine}) = 0 then 'LOW' else ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][greatest(0, max({_ORDER}) filter (where {mine}) - case when count(*) filter (where {mine}) < {len(ids)} then 1 else 0 end) + 1] end as severity, "
             f"coalesce(['LOW', 'MEDIUM', 'HIGH'][min(list_position(['LOW', 'MEDIUM', 'HIGH'], confidence)) filter (where {mine})], 'LOW') as confidence from results group by entity_id")
 
 
-for _c in COMPOSITES:
-    _b.add("sig_" + _c.lower().replace("-", "_"), lambda t, c=_c: signals.composites(signals.evaluate(signals.metrics(t))).filter(f"signal_id = '{c}'").selectExpr("entity_id", "signal_id", "value", "is_flagged", "cast(members_fired as bigint) as members_fired", "severity", "confidence"), composite(_c), *CTES, RESULTS)
+for _c, (_, _t) in COMPOSITES.items():
+    _m = [x for x in SIGNALS if x.id in signals.members(_t)]
+    _b.add("sig_" + _c.lower().replace("-", "_"), lambda t, c=_c, m=_m: signals.composites(signals.evaluate(signals.metrics(t, only=signals.needed(m)), signals=m), {c: COMPOSITES[c]}).selectExpr("entity_id", "signal_id", "value", "is_flagged", "cast(members_fired as bigint) as members_fired", "severity", "confidence"),
+           composite(_c), *wide(signals.needed(_m)), "results as (" + " union all ".join(map(rule, _m)) + ")")
 
 QUERIES, ORACLES = _b.queries, _b.oracles
