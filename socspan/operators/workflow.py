@@ -38,18 +38,19 @@ def reopen_rate(cases: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return cases.groupBy("entity_id").agg(share(F.col("reopen_count") >= p.reopens).alias("reopen_rate"))
 
 
-def duplicate_depth(cases: DataFrame, rounds: int = 40) -> DataFrame:
+def duplicate_depth(cases: DataFrame) -> DataFrame:
     """WFL-05: cases on the longest chain of is_duplicate_of, by entity; 0 where no case is a duplicate.
 
     Links are followed by doubling: after k rounds each case knows its
     ancestor and the number of links within 2^k steps. Chains that run into a
-    cycle, or out of the table, end there. Rounds stop once none grows, and
+    cycle count as long as all links at most, and end where they leave the
+    table. Rounds stop once none grows, or after the logarithm of the links;
     only cases that take part in a link are moved.
     """
     link = cases.filter("is_duplicate_of is not null and is_duplicate_of <> case_id").select("entity_id", "case_id", F.col("is_duplicate_of").alias("to"))
     jump = link.groupBy("entity_id", "case_id").agg(F.min("to").alias("to")).withColumn("depth", F.lit(1))
     n = jump.count()
-    for _ in range(rounds):
+    for _ in range(n.bit_length()):
         ahead = jump.select("entity_id", F.col("case_id").alias("to"), F.col("to").alias("then"), F.col("depth").alias("more"))
         j = jump.join(ahead, ["entity_id", "to"], "left")
         jump = j.select("entity_id", "case_id", F.coalesce("then", "to").alias("to"), F.least(F.col("depth") + F.coalesce("more", F.lit(0)), F.lit(n)).alias("depth"), F.col("then").isNotNull().alias("grew"))
