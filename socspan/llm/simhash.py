@@ -161,14 +161,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS = 5
 SIMILARITY = 0.8
-LANES = 4
-#: Segments of each lane (first bit, bits). A segment's bits set how many texts share it by chance: a quarter of the texts / 2^19.
-SEGMENTS = [(0, 21), (21, 21), (42, 22)]
+LANES = 6
+#: Segments of each lane (first bit, bits). A segment is shared by chance by a text in 2^26, a ball by one in 2^21.
+SEGMENTS = [(0, 26), (26, 26)]
 RADIUS = 1
-#: Of 256 bits. Texts of similarity 0.8 differ in 36 bits on average, with a deviation of 6; unrelated ones in 128.
-DISTANCE = 56
-LEADERS = 3  # of a bucket of more than HOT_TEXTS
-HOT_TEXTS = 4  # a look-up meets so many rows of a bucket at most, so pairs grow with look-ups
+#: Of 384 bits. Texts of similarity 0.8 differ in 55 bits on average, with a deviation of 7; unrelated ones in 192.
+DISTANCE = 84
+FEW = 4  # rows of a bucket that all look-ups meet; in larger buckets only those of other components do
 
 _LANE = [f"f{i}" for i in range(LANES)]
 
@@ -195,7 +194,7 @@ def _sets(texts: pd.Series) -> pd.Series:
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of node ids whose fingerprints are near and whose shingle sets have similarity SIMILARITY or more."""
     fps = lambda p: nodes.select(F.col("id").alias(p), *(F.col(f).alias(f"{p}_{f}") for f in _LANE))
-    near = written(pairs.join(fps("a"), "a").join(fps("b"), "b").filter(_apart("a_", "b_") <= DISTANCE).select("a", "b").distinct(), "near-pairs")
+    near = written(pairs.join(fps("a"), "a").join(fps("b"), "b").filter(_apart("a_", "b_") <= DISTANCE).select("a", "b"), "near-pairs")
     ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
     sets = F.pandas_udf(_sets, T.ArrayType(T.LongType()))
     texts = docs.select(F.xxhash64("text").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
@@ -209,39 +208,33 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that connect all candidate texts of SIMILARITY or more; nodes (id, f0 ..) are distinct texts.
 
-    Candidates share a segment within RADIUS. In a bucket of up to HOT_TEXTS
-    table rows all look-ups meet all rows. In a larger one, which a group of
-    near copies makes, they first meet LEADERS of its rows only; after that,
-    look-ups meet the bucket's rows that are in another component still. Such
-    pairs leave out the bucket's most frequent component on one side, so the
-    work follows the texts that the leaders didn't link, and no link is lost.
+    Candidates share a segment within RADIUS. A group of near copies shares
+    many segments, so texts of equal segments first meet the least one of
+    their bucket only, and what this links becomes a component. Then look-ups
+    with the whole ball meet the rows of a bucket that are in another
+    component still; a bucket's most frequent component is left out on one
+    side. So pairs follow the texts that aren't linked yet, and no link
+    between different components is lost.
     """
     table = written(nodes.select("id", _segments(False)), "near-table")
-    look = nodes.select(F.col("id").alias("b"), _segments(True))
-    size = table.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = written(size.filter(F.col("n") > HOT_TEXTS).select("key"), "near-hot")
-    cold = table.join(hot, "key", "left_anti").withColumnRenamed("id", "a")
-    pairs = look.join(cold.hint("shuffle_hash"), "key").filter("a < b").select("a", "b")
-    if hot.isEmpty():
-        return _similar(pairs, nodes, docs)
-    rows = written(table.join(hot, "key", "left_semi"), "near-hot-rows")
-    asks = written(look.join(hot, "key", "left_semi"), "near-hot-asks")
-    heads = None
-    for i in range(LEADERS):
-        head = rows.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(i))).alias("a"))
-        heads = head if heads is None else heads.unionByName(head)
-    stars = asks.join(heads.distinct(), "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = _similar(pairs.unionByName(stars), nodes, docs)
-
+    heads = table.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a")
+    stars = table.withColumnRenamed("id", "b").join(heads, "key").filter("a != b").select("a", "b").distinct()
+    links = _similar(stars, nodes, docs)
     root = written(components(links), "near-components")
-    known = lambda df, c: df.join(root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    asks, rows = known(asks, "b"), known(rows.withColumnRenamed("id", "a"), "a")
-    counted = asks.groupBy("key", "b_root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("b_root", "n").alias("most"), F.count(F.lit(1)).alias("roots"))
-    mixed = written(counted.filter("roots > 1"), "near-mixed")
-    asks, rows = asks.join(mixed, "key"), rows.join(mixed.select("key", F.col("most").alias("a_most")), "key")
-    apart = F.col("a_root") != F.col("b_root")
-    rest = asks.filter("b_root != most").join(rows, "key").filter(apart).select("a", "b").union(asks.filter("b_root = most").join(rows.filter("a_root != a_most"), "key").filter(apart).select("a", "b"))
-    return links.unionByName(_similar(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes, docs))
+
+    rooted = nodes.join(root.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = written(table.join(rooted.select("id", "root"), "id").select("key", F.col("id").alias("a"), F.col("root").alias("a_root")), "near-rows")
+    most = rows.groupBy("key", "a_root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("a_root", F.struct("n", "a_root")).alias("most"), F.sum("n").alias("n")).filter(F.col("n") > FEW)
+    most = written(most.drop("n"), "near-hot")
+    rows = rows.join(most, "key", "left")
+    look = rooted.select(F.col("id").alias("b"), F.col("root").alias("b_root"), _segments(True))
+    # all look-ups meet the rows of small buckets, and those of large ones that aren't in the most frequent component
+    first = look.join(rows.filter(~F.col("a_root").eqNullSafe(F.col("most"))).hint("shuffle_hash"), "key")
+    # look-ups of other components meet the rows of the most frequent one, too
+    main = rows.filter(F.col("a_root") == F.col("most")).drop("most")
+    second = look.join(most, "key").filter("b_root != most").drop("most").join(main, "key")
+    rest = first.drop("most").unionByName(second).filter("a_root != b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links.unionByName(_similar(rest, nodes, docs))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

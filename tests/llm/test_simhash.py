@@ -98,9 +98,7 @@ def jaccard(a, b):
     return not (a | b) or len(a & b) >= sh.SIMILARITY * len(a | b)
 
 
-@pytest.mark.parametrize("hot", [4, 1])
-def test_near_duplicates(spark, monkeypatch, hot):
-    monkeypatch.setattr(sh, "HOT_TEXTS", hot)
+def test_near_duplicates(spark):
     rows = list(enumerate(corpus(7)))
     random.Random(1).shuffle(rows)
     rows += [(600, rows[0][1]), (600, rows[0][1]), (601, None), (602, ""), (603, " \n "), (None, rows[3][1]), (None, "only null id here"), (604, "x " * 30_000)]
