@@ -43,7 +43,7 @@ LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1  # GRAM-byte strings in a window
 SIDE = (LENGTH - GRAM) // 2  # 34 bytes
-SHALLOW = 24  # bytes, three words
+SHALLOW = 16  # bytes, two words
 PIECE = 256 << 10  # windows of a text that are hashed at once
 FLUSH_ANCHORS = 2_000_000  # anchors that a task holds before it sends them
 FLUSH_BYTES = 64 << 20  # stretches that a task holds before it sends them
@@ -234,8 +234,8 @@ def repeats(buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
     left, group = first, np.zeros(len(starts), np.int64)
 
     def split(left: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Members in groups of equal keys, without those that are alone; groups keep the order of occurrence."""
-        order = np.lexsort((left, *keys[::-1]))
+        """Members in groups of equal keys, without those that are alone; the sort is stable, so groups keep the order of occurrence."""
+        order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
         left = left[order]
         new = np.zeros(len(left), bool)
         new[:1] = True
@@ -247,7 +247,8 @@ def repeats(buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return left[~alone], group[~alone]
 
     for depth in (d for d in depths if d < SHALLOW):  # multikey quicksort, a word at a time
-        left, group = split(left, group, words[starts[left] + depth].astype(np.uint64))
+        word = words[starts[left] + depth].astype(np.uint64)
+        left, group = split(left, group, word) if depth else split(left, word)
     deep = [d for d in depths if d >= SHALLOW]
     while len(left):  # blind tries, one branching of all groups at a time
         at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -326,7 +327,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     met = sent.repartition(n, "bucket").mapInPandas(_meet, "d1 long, d2 long, blob binary")
     places = met.groupBy("d1", "d2").agg(F.collect_list("blob").alias("blobs"))
     stretches = rows.join(places, ["d1", "d2"]).mapInPandas(_stretches, STRETCH)
-    ranges = stretches.repartition(n, "key").mapInPandas(_sorted_out, "d1 long, d2 long, first long, end long")
+    ranges = stretches.repartition(2 * n, "key").mapInPandas(_sorted_out, "d1 long, d2 long, first long, end long")
     gone = ranges.groupBy("d1", "d2").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
     out = rows.join(gone, ["d1", "d2"], "left").select("d1", _removed("text", "ranges").alias("r"))
     return out.select(F.when(F.col("d1") != -(2**63), F.col("d1")).alias("doc_id"), "r.*")
