@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import share
-from ..operators import audit, coverage, evidence, scoring, signals, temporal, validation, workflow
+from ..operators import audit, coverage, evidence, reports, scoring, signals, temporal, validation, workflow
 from ..params import DOMAIN_WEIGHTS, SEVERITY_WEIGHT
 from ..sources import ingest, sinks
 from . import signal_queries as sq
@@ -137,4 +137,11 @@ _b.add("vld_10_compare", lambda t: validation.compare(_flag(t), labels(t)))
 _b.add("vld_11_ablation", lambda t: validation.ablate(_flag(t), labels(t)), f"select disabled, round(avg(predicted::int::double), 6) as baseline, round(avg((predicted and {_FAM} <> disabled)::int::double), 6) as recall, round(avg(predicted::int::double) - avg((predicted and {_FAM} <> disabled)::int::double), 6) as drop from cel cross join (select unnest(['execution_gap', 'negative_space', 'composite']) as disabled) where actual group by 1", *_V)
 _b.add("vld_12_disagreements", lambda t: validation.disagreements(_flag(t), labels(t)), "select entity_id, signal_id, case when predicted then 'flagged_only' else 'expected_only' end as kind from cel where predicted <> actual", *_V)
 
+# Reports
+
+_b.add("rpt_01_findings", lambda t: reports.findings_table(r := found(t), evidence.bundles(r, evidence.evidence_rows(t.cases)), evidence.counterfactuals(r)).select("entity_id", "signal_id", "severity", "score", "n_supporting", "clearing_value"))
+_b.add("rpt_07_heatmap", lambda t: reports.heatmap(found(t), ["EG-001", "EG-002", "NS-001"]).toDF("entity_id", "eg_001", "eg_002", "ns_001"), "select entity_id, round(max(score) filter (where signal_id = 'EG-001'), 6) as eg_001, round(max(score) filter (where signal_id = 'EG-002'), 6) as eg_002, round(max(score) filter (where signal_id = 'NS-001'), 6) as ns_001 from results group by 1", *RESULTS)
+_b.add("rpt_08_latency_histogram", lambda t: reports.latency_histogram(t.cases), f"select entity_id, cast(least(bins - 1, coalesce(floor((x - lo) / nullif((hi - lo) / bins, 0)), 0)) as int) as bin, count(*) as n from (select entity_id, x, min(x) over w as lo, max(x) over w as hi, least(20, greatest(5, floor(count(*) over w / 5))) as bins from (select entity_id, {mins('open_ts', 'close_ts')} as x from cases) where x >= 0 window w as (partition by entity_id)) group by 1, 2")
+_b.add("rpt_09_entities", lambda t: reports.select_rows(t.registry.select("entity_id", "sector"), ["entity_id"], sector="ASIA"), "select entity_id, sector from registry where sector = 'ASIA'")
+
 QUERIES, ORACLES = _b.queries, _b.oracles
