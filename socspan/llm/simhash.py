@@ -161,13 +161,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS = 5
 SIMILARITY = 0.8
-LANES = 6
-#: Segments of each lane (first bit, bits). A segment is shared by chance by a text in 2^26, a ball by one in 2^21.
-SEGMENTS = [(0, 26), (26, 26)]
-RADIUS = 1
-#: Of 384 bits. Texts of similarity 0.8 differ in 55 bits on average, with a deviation of 7; unrelated ones in 192.
-DISTANCE = 84
-FEW = 4  # rows of a bucket that all look-ups meet; in larger buckets only those of other components do
+LANES = 8
+#: Bits of a segment, and segments. Each is an equal one by chance for a text in 2^26, so chance pairs stay few at large inputs.
+WIDTH, SEGMENTS = 26, 320
+FIRST = 16  # segments by which groups of near copies are linked before all segments are looked at
+KEYS_SENT = 200_000  # keys that different components share are sent to all executors up to this number (a few MB), and joined beyond it
+#: Of 512 bits. Texts of similarity 0.8 differ in 78 bits on average, with a deviation of 8; unrelated ones in 256.
+DISTANCE = 108
 
 _LANE = [f"f{i}" for i in range(LANES)]
 
@@ -176,15 +176,28 @@ def _apart(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{f}").bitwiseXOR(F.col(f"{b}{f}"))) for f in _LANE))
 
 
-def _segments(near: bool) -> Column:
-    """Keys of each segment, which hold the segment's number too; with near, those of its ball."""
-    out = []
-    for lane, f in enumerate(_LANE):
-        for k, (first, bits) in enumerate(SEGMENTS):
-            value = F.shiftrightunsigned(F.col(f), first).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit((lane * len(SEGMENTS) + k) << 32)
-            masks = F.array(*(F.lit(m).cast("long") for m in (ball(bits, RADIUS) if near else [0])))
-            out.append(F.transform(masks, value.bitwiseXOR))
-    return F.explode(F.concat(*out)).alias("key")
+def _chosen() -> np.ndarray:
+    """The bits of each segment. The bits of all lanes are shuffled and cut into segments, as often as needed."""
+    bits, out = 64 * LANES, []
+    while len(out) < SEGMENTS:
+        order = sorted(range(bits), key=lambda b: xxhash.xxh64_intdigest(f"{len(out)} {b}"))
+        out += [order[i : i + WIDTH] for i in range(0, bits - WIDTH + 1, WIDTH)]
+    return np.array(out[:SEGMENTS])
+
+
+def _segments(n: int) -> Column:
+    """Keys of the first n segments of the fingerprint f0 .., which hold the segment's number too."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(fps: pd.Series) -> pd.Series:
+        chosen = _chosen()[:n]
+        bits = np.unpackbits(np.array(fps.tolist(), np.int64).reshape(-1, LANES).view(np.uint8), axis=1, bitorder="little")
+        out = np.tile(np.arange(n, dtype=np.int64) << 32, (len(bits), 1))
+        for i in range(WIDTH):
+            out |= bits[:, chosen[:, i]].astype(np.int64) << i
+        return pd.Series(list(out))
+
+    return F.explode(keys(F.array(*_LANE))).alias("key")
 
 
 def _sets(texts: pd.Series) -> pd.Series:
@@ -205,35 +218,44 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return written(both.filter((union == 0) | (common >= SIMILARITY * union)).select("a", "b"), "near-links")
 
 
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (id, ..) with the component of each id by links."""
+    root = components(links).withColumnRenamed("node", "id")
+    return rows.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _most(rows: DataFrame) -> DataFrame:
+    """(key, most, head): of each key of rows (key, id, root) the most frequent component and its least id."""
+    n = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head"))
+    return n.groupBy("key").agg(F.max_by(F.struct("root", "head"), F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("most"), F.col("m.head").alias("head"))
+
+
 def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that connect all candidate texts of SIMILARITY or more; nodes (id, f0 ..) are distinct texts.
 
-    Candidates share a segment within RADIUS. A group of near copies shares
-    many segments, so texts of equal segments first meet the least one of
-    their bucket only, and what this links becomes a component. Then look-ups
-    with the whole ball meet the rows of a bucket that are in another
-    component still; a bucket's most frequent component is left out on one
-    side. So pairs follow the texts that aren't linked yet, and no link
-    between different components is lost.
+    Candidates share one of SEGMENTS segments. A group of near copies shares
+    many, so texts first meet only the least one of their bucket of the FIRST
+    segments, and what this links becomes a component. Then only segments that
+    different components share matter: there, texts meet the least one of
+    their bucket's most frequent component, and in the end every text outside
+    of it meets all texts of the bucket that are in another component still.
+    So pairs follow the texts that aren't linked yet, and no link between
+    different components is lost.
     """
-    table = written(nodes.select("id", _segments(False)), "near-table")
-    heads = table.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a")
+    table = written(nodes.select("id", _segments(FIRST)), "near-table")
+    heads = table.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a != b").select("key", "a")
     stars = table.withColumnRenamed("id", "b").join(heads, "key").filter("a != b").select("a", "b").distinct()
     links = _similar(stars, nodes, docs)
-    root = written(components(links), "near-components")
-
-    rooted = nodes.join(root.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = written(table.join(rooted.select("id", "root"), "id").select("key", F.col("id").alias("a"), F.col("root").alias("a_root")), "near-rows")
-    most = rows.groupBy("key", "a_root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("a_root", F.struct("n", "a_root")).alias("most"), F.sum("n").alias("n")).filter(F.col("n") > FEW)
-    most = written(most.drop("n"), "near-hot")
-    rows = rows.join(most, "key", "left")
-    look = rooted.select(F.col("id").alias("b"), F.col("root").alias("b_root"), _segments(True))
-    # all look-ups meet the rows of small buckets, and those of large ones that aren't in the most frequent component
-    first = look.join(rows.filter(~F.col("a_root").eqNullSafe(F.col("most"))).hint("shuffle_hash"), "key")
-    # look-ups of other components meet the rows of the most frequent one, too
-    main = rows.filter(F.col("a_root") == F.col("most")).drop("most")
-    second = look.join(most, "key").filter("b_root != most").drop("most").join(main, "key")
-    rest = first.drop("most").unionByName(second).filter("a_root != b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    every = written(_rooted(nodes, links), "near-components").select("id", "root", _segments(SEGMENTS))
+    mixed = written(every.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key"), "near-mixed")
+    rows = written(every.join(F.broadcast(mixed) if mixed.count() <= KEYS_SENT else mixed, "key"), "near-rows")
+    stars = rows.join(_most(rows), "key").filter("root != most").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    links = links.unionByName(_similar(stars, nodes, docs))
+
+    rows = written(_rooted(rows.drop("root"), links), "near-rows")
+    out = rows.join(_most(rows), "key").filter("root != most").select("key", F.col("id").alias("a"), F.col("root").alias("a_root"))
+    rest = out.join(rows.withColumnsRenamed({"id": "b", "root": "b_root"}), "key").filter("a_root != b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return links.unionByName(_similar(rest, nodes, docs))
 
 

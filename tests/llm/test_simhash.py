@@ -111,3 +111,22 @@ def test_near_duplicates(spark):
     # nothing is dropped wrongly; of the few pairs near the limit whose fingerprints are far apart some may stay
     assert len(got) == len(set(got)) and want <= set(got) and len(got) <= len(want) + 0.1 * (len(rows) - len(want))
     assert sh.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_recall_of_pairs(spark):
+    """Groups of two whose similarity is 0.8 to 0.9, by brute force: nearly all are found."""
+    r = random.Random(11)
+    pairs = []
+    while len(pairs) < 300:
+        n = r.choice([120, 200, 400])
+        a = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(r.randint(1, 9)):
+            b[r.randrange(n)] = "new"
+        x, y = ({" ".join(w[i : i + sh.WORDS]) for i in range(n - sh.WORDS + 1)} for w in (a, b))
+        if sh.SIMILARITY <= len(x & y) / len(x | y) <= 0.9:
+            pairs.append((" ".join(a), " ".join(b)))
+    df = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
+    got = {x.doc_id for x in sh.drop_near_duplicates(df).collect()}
+    assert {2 * i for i in range(len(pairs))} <= got
+    assert len(got) - len(pairs) <= 0.05 * len(pairs)
