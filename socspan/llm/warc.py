@@ -24,7 +24,7 @@ from .common import file_at, shared_dir, short_batches, written
 
 VERSION = b"WARC/1.1\r\n"
 CHUNK = 4 << 20  # bytes of a file that a task looks through
-HEADER_MOST = 64 << 10  # a record header that is longer isn't one
+HEADER_READ = 64 << 10  # bytes that are read at once while a header's end is looked for
 FILE_MOST = 256 << 20  # a file that reaches this size is closed and another begun
 REVISIT_LEAST = 100  # shorter payloads are always stored
 FIRST_SENT = 200_000  # digests that occur twice or more are sent to all executors up to this number (30 MB), and joined beyond it
@@ -105,21 +105,29 @@ def _number(text: bytes | None, before: bytes) -> int | None:
 
 def _parse(f, at: int, size: int) -> dict | None:
     """The candidate at an offset, or None if no record with its whole block can start there."""
-    head, end = b"", -1
-    while end < 0 and len(head) < HEADER_MOST and at + len(head) < size:
-        head += f.read_at(min(4096, size - at - len(head)), at + len(head))
-        end = head.find(b"\r\n\r\n")
-    if end < 0:
-        return None
-    fields = {}
-    for line in head[len(VERSION) : end].split(b"\r\n"):
+    fields, pos, rest = {}, at + len(VERSION), b""
+    while True:  # line by line, so that text inside a payload is given up at its first line that isn't a header's
+        parts, got = [rest], rest.find(b"\r\n")
+        while got < 0 and pos < size:
+            part = f.read_at(min(HEADER_READ if len(parts) > 1 else 4096, size - pos), pos)
+            pos += len(part)
+            # a line's end may lie across two reads
+            split = parts[-1][-1:] == b"\r" and part[:1] == b"\n"
+            got = sum(map(len, parts)) + (-1 if split else part.find(b"\r\n")) if split or b"\r\n" in part else -1
+            parts.append(part)
+        if got < 0:
+            return None
+        data = b"".join(parts)
+        line, rest = data[:got], data[got + 2 :]
+        if not line:
+            break
         k, colon, v = line.partition(b":")
         if not colon:
             return None
         fields[k.strip().lower()] = v.strip()
     if not (fields.get(b"content-length") or b"").isdigit():
         return None
-    n, block = int(fields[b"content-length"]), at + end + 4
+    n, block = int(fields[b"content-length"]), pos - len(rest)
     if block + n + 4 > size:
         return None
     kind = fields.get(b"warc-type", b"").decode("utf-8", "replace")
@@ -185,12 +193,16 @@ def read_warc(manifest: DataFrame) -> DataFrame:
     """The records of the files: file, at, kind, page_id, url, payload_bytes, digest, refers_to.
 
     payload_bytes of a revisit is that of the response that it refers to.
+    Raises ValueError where the chain of a file doesn't end at its last byte.
     """
     short_batches(manifest.sparkSession)
     ranges = manifest.select("file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(CHUNK))).alias("lo")).filter("lo < bytes")
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = written(ranges.repartition(n, "file", "lo").mapInPandas(_scan, CANDIDATE), "warc-candidates")
     records = found.join(reached(found), ["file", "at"], "left_semi")
+    ends = records.groupBy("file").agg(F.max("next").alias("end"))
+    if broken := manifest.join(ends, "file", "left").filter("bytes > 0 and not end <=> bytes").select("file", "bytes", "end").first():
+        raise ValueError(f"The records of {broken.file} end at {broken.end} of {broken.bytes} bytes.")
     stored = records.filter("kind = 'response'").select(F.col("page_id").alias("refers_to"), "digest", F.col("payload_bytes").alias("stored_bytes")).filter("refers_to is not null").dropDuplicates(["refers_to", "digest"])
     again = records.filter("kind = 'revisit'").join(stored, ["refers_to", "digest"], "left").withColumn("payload_bytes", F.col("stored_bytes"))
     cols = ["file", "at", "kind", "page_id", "url", "payload_bytes", "digest", "refers_to"]

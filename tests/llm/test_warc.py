@@ -34,3 +34,20 @@ def test_round_trip(spark, rows, monkeypatch):
     got = warc.read_warc(warc.write_warc(df.repartition(2)))
     got = got.select("page_id", "payload_bytes", "digest", "kind", "refers_to").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_long_urls(spark):
+    rows = [(i, "u" * n, f"<p>{i}</p>" * 30) for i, n in enumerate([5, 4091, 70_000, 8, 1 << 20, *range(3990, 4010), 3])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.read_warc(warc.write_warc(df)).select("page_id", "url", "payload_bytes", "digest", "kind", "refers_to").collect()
+    assert {r.page_id: r.url for r in got} == {i: u for i, u, _ in rows}
+    assert sorted((r.page_id, *r[2:]) for r in got) == sorted(brute(rows))
+
+
+def test_broken_chain_raises(spark, tmp_path):
+    good = warc._record("response", 1, "u", b"abc", "0", None)
+    for name, data in (("cut", good + good[:-9]), ("junk", good + b"no record here")):
+        (tmp_path / name).write_bytes(data)
+        manifest = spark.createDataFrame([(str(tmp_path / name), len(data), 2)], warc.MANIFEST)
+        with pytest.raises(ValueError, match=name):
+            warc.read_warc(manifest)
