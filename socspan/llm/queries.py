@@ -19,6 +19,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op5_warc": warc.OP5_SQL,
-    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }

@@ -67,3 +67,9 @@ def test_pieces_and_tries(monkeypatch):
     starts = np.arange(len(data) - sd.LENGTH + 1)
     first, seen = sd.repeats(np.append(data, np.zeros(8, np.uint8)), starts), {}
     assert first.tolist() == [seen.setdefault(data[s : s + sd.LENGTH].tobytes(), s) for s in starts.tolist()]
+
+
+def test_oracles_are_sql():
+    from socspan.llm.queries import ORACLES
+
+    assert all(isinstance(x, str) for x in ORACLES.values())
