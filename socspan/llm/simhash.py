@@ -13,11 +13,12 @@ components by alternating large and small stars over written tables.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,26 +41,18 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.array([h(line[a:b], 42) for a, b in zip(starts[:n].tolist(), (ends[-n:] - 1).tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
-    """64 bits for each lane, of which each is 1 if it is set in over half the hashes. Lanes after the first mix the hashes anew."""
-    out = np.zeros(lanes, np.uint64)
-    for lane in range(lanes):
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), 1 << 16):
-            h = hashes[i : i + (1 << 16)]
-            if lane:
-                h = (h ^ np.uint64(0x9E3779B97F4A7C15 * lane & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                h ^= h >> np.uint64(29)
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[lane] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
-    return out
-
-
-def _fingerprints(words: int, lanes: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
+def fingerprint(hashes: np.ndarray) -> int:
+    """64 bits, of which each is 1 if it is set in over half the hashes; as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def _fingerprints(words: int):
+    @F.pandas_udf(T.LongType())
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(shingles(t, words), lanes).view(np.int64).tolist() for t in texts])
+        return pd.Series([fingerprint(shingles(t, words)) for t in texts], dtype="int64")
 
     return of
 
@@ -143,7 +136,7 @@ def simhash_groups(docs: DataFrame, words: int = 3) -> DataFrame:
     whose doc_ids are all null has a null id; an empty table stays empty.
     """
     short_batches(docs.sparkSession)
-    fps = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fingerprints(words, 1)("text")[0].alias("fp")), "simhash-fingerprints")
+    fps = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fingerprints(words)("text").alias("fp")), "simhash-fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     found = components(links_within_3(nodes.select("fp")))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -157,65 +150,92 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by Jaccard similarity: wider fingerprints find the candidates, and shingle sets decide.
+# Near-duplicates by Jaccard similarity: fingerprints link the nearest texts, and an exact similarity join finds the other links.
 
 WORDS = 5
-SIMILARITY = 0.8
-LANES = 8
-#: Bits of a segment, and segments. Each is an equal one by chance for a text in 2^26, so chance pairs stay few at large inputs.
-WIDTH, SEGMENTS = 26, 320
-FIRST = 16  # segments by which groups of near copies are linked before all segments are looked at
-KEYS_SENT = 200_000  # keys that different components share are sent to all executors up to this number (a few MB), and joined beyond it
-#: Of 512 bits. Texts of similarity 0.8 differ in 78 bits on average, with a deviation of 8; unrelated ones in 256.
-DISTANCE = 108
-
-_LANE = [f"f{i}" for i in range(LANES)]
-
-
-def _apart(a: str, b: str) -> Column:
-    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{f}").bitwiseXOR(F.col(f"{b}{f}"))) for f in _LANE))
-
-
-def _chosen() -> np.ndarray:
-    """The bits of each segment. The bits of all lanes are shuffled and cut into segments, as often as needed."""
-    bits, out = 64 * LANES, []
-    while len(out) < SEGMENTS:
-        order = sorted(range(bits), key=lambda b: xxhash.xxh64_intdigest(f"{len(out)} {b}"))
-        out += [order[i : i + WIDTH] for i in range(0, bits - WIDTH + 1, WIDTH)]
-    return np.array(out[:SEGMENTS])
-
-
-def _segments(n: int) -> Column:
-    """Keys of the first n segments of the fingerprint f0 .., which hold the segment's number too."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def keys(fps: pd.Series) -> pd.Series:
-        chosen = _chosen()[:n]
-        bits = np.unpackbits(np.array(fps.tolist(), np.int64).reshape(-1, LANES).view(np.uint8), axis=1, bitorder="little")
-        out = np.tile(np.arange(n, dtype=np.int64) << 32, (len(bits), 1))
-        for i in range(WIDTH):
-            out |= bits[:, chosen[:, i]].astype(np.int64) << i
-        return pd.Series(list(out))
+#: Similarity of 0.8 or more, as a fraction, so that limits on set sizes are whole numbers.
+TOP, UNDER = 4, 5
+COMMON_LEAST = 8  # texts of a task's stretch of CHUNK shingles in which a shingle counts as common
+CHUNK = 2_000_000
+COMMON_SENT = 1_000_000  # common shingles, the most frequent first, that all executors get (16 MB); they set an order and change no result
+STEP = 1.03  # set sizes whose ratio is below this are one class
+
+
+def _fields(text: Column, salted: list[int]) -> list[Column]:
+    """copy (MD5) and id (64 bits) of a text. Ids of different texts that were found equal are drawn anew."""
+    plain = F.xxhash64(text)
+    return [F.md5(text).alias("copy"), (F.when(plain.isin(salted), F.xxhash64(F.md5(text), text)).otherwise(plain) if salted else plain).alias("id")]
+
+
+SKETCH = "id long, fp long, shingle long, texts long"
+
+
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row with the fingerprint of each text, and rows (shingle, texts) of the shingles that many texts of a task have."""
+    held: dict[int, np.ndarray] = {}
+    n = 0
+
+    def common():
+        values, times = np.unique(np.concatenate([np.zeros(0, np.int64), *held.values()]), return_counts=True)
+        held.clear()
+        often = times >= COMMON_LEAST
+        return pd.DataFrame({"id": None, "fp": None, "shingle": values[often], "texts": times[often]})
+
+    for pdf in batches:
+        fps = {}
+        for key, text in dict(zip(pdf["id"].tolist(), pdf["text"], strict=True)).items():
+            h = shingles(text, WORDS)
+            fps[key] = fingerprint(h)
+            if key not in held:
+                held[key] = np.unique(h).view(np.int64)
+                n += len(h)
+        yield pd.DataFrame({"id": fps.keys(), "fp": fps.values(), "shingle": None, "texts": None})
+        if n > CHUNK:
+            yield common()
+            n = 0
+    yield common()
+
+
+def _prefixes(common: Broadcast):
+    """The shingles of which two texts of enough similarity have one in common: (key, id, at, n).
+
+    A text's n distinct shingles are ordered by how common they are, then by
+    their value. Two sets of similarity 4/5 share four fifths of either, so of
+    each the first n - ceil(4n / 5) + 1 suffice. at counts those before.
+    """
 
-    return F.explode(keys(F.array(*_LANE))).alias("key")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, rank = common.value
+        for pdf in batches:
+            out = []
+            for key, text in dict(zip(pdf["id"].tolist(), pdf["text"], strict=True)).items():
+                s = np.unique(shingles(text, WORDS)).view(np.int64)
+                if not len(s):
+                    continue
+                m = len(s) - -(-TOP * len(s) // UNDER) + 1
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.lexsort((s, np.where(known[at] == s, rank[at], 0)))]
+                out.append((s[:m], np.full(m, key), np.arange(m), np.full(m, len(s))))
+            if out:
+                yield pd.DataFrame(dict(zip(("key", "id", "at", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return run
 
 
 def _sets(texts: pd.Series) -> pd.Series:
     return pd.Series([np.unique(shingles(t, WORDS)).view(np.int64).tolist() for t in texts])
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of node ids whose fingerprints are near and whose shingle sets have similarity SIMILARITY or more."""
-    fps = lambda p: nodes.select(F.col("id").alias(p), *(F.col(f).alias(f"{p}_{f}") for f in _LANE))
-    near = written(pairs.join(fps("a"), "a").join(fps("b"), "b").filter(_apart("a_", "b_") <= DISTANCE).select("a", "b"), "near-pairs")
-    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of text ids whose shingle sets have enough similarity; only sets of texts in pairs are made."""
+    pairs = written(pairs, "near-pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = F.pandas_udf(_sets, T.ArrayType(T.LongType()))
-    texts = docs.select(F.xxhash64("text").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    held = written(texts.select("id", sets("text").alias("s")), "near-sets")
-    both = near.join(held.select(F.col("id").alias("a"), F.col("s").alias("a_s")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("b_s")), "b")
-    common = F.size(F.array_intersect("a_s", "b_s"))
-    union = F.size("a_s") + F.size("b_s") - common
-    return written(both.filter((union == 0) | (common >= SIMILARITY * union)).select("a", "b"), "near-links")
+    held = written(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", sets("text").alias("s")), "near-sets")
+    both = pairs.join(held.withColumnsRenamed({"id": "a", "s": "a_s"}), "a").join(held.withColumnsRenamed({"id": "b", "s": "b_s"}), "b")
+    shared = F.size(F.array_intersect("a_s", "b_s"))
+    return written(both.filter(UNDER * shared >= TOP * (F.size("a_s") + F.size("b_s") - shared)).select("a", "b"), "near-links")
 
 
 def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -224,58 +244,89 @@ def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def _most(rows: DataFrame) -> DataFrame:
-    """(key, most, head): of each key of rows (key, id, root) the most frequent component and its least id."""
-    n = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head"))
-    return n.groupBy("key").agg(F.max_by(F.struct("root", "head"), F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("most"), F.col("m.head").alias("head"))
-
+def fingerprint_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of similar texts among those whose fingerprints differ in 3 bits or fewer; nodes are (id, fp).
 
-def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all candidate texts of SIMILARITY or more; nodes (id, f0 ..) are distinct texts.
-
-    Candidates share one of SEGMENTS segments. A group of near copies shares
-    many, so texts first meet only the least one of their bucket of the FIRST
-    segments, and what this links becomes a component. Then only segments that
-    different components share matter: there, texts meet the least one of
-    their bucket's most frequent component, and in the end every text outside
-    of it meets all texts of the bucket that are in another component still.
-    So pairs follow the texts that aren't linked yet, and no link between
-    different components is lost.
+    Texts of equal fingerprints meet the least one of them, and these meet by
+    multi-index hashing.
     """
-    table = written(nodes.select("id", _segments(FIRST)), "near-table")
-    heads = table.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a != b").select("key", "a")
-    stars = table.withColumnRenamed("id", "b").join(heads, "key").filter("a != b").select("a", "b").distinct()
-    links = _similar(stars, nodes, docs)
-
-    every = written(_rooted(nodes, links), "near-components").select("id", "root", _segments(SEGMENTS))
-    mixed = written(every.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key"), "near-mixed")
-    rows = written(every.join(F.broadcast(mixed) if mixed.count() <= KEYS_SENT else mixed, "key"), "near-rows")
-    stars = rows.join(_most(rows), "key").filter("root != most").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = links.unionByName(_similar(stars, nodes, docs))
-
-    rows = written(_rooted(rows.drop("root"), links), "near-rows")
-    out = rows.join(_most(rows), "key").filter("root != most").select("key", F.col("id").alias("a"), F.col("root").alias("a_root"))
-    rest = out.join(rows.withColumnsRenamed({"id": "b", "root": "b_root"}), "key").filter("a_root != b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.unionByName(_similar(rest, nodes, docs))
+    firsts = written(nodes.groupBy("fp").agg(F.min("id").alias("a")), "near-firsts")
+    equal = nodes.withColumnRenamed("id", "b").join(firsts, "fp").filter("a != b").select("a", "b")
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("a").alias(f"{c}_id"))
+    near = links_within_3(firsts.select("fp")).join(side("a"), "a").join(side("b"), "b").select("a_id", "b_id")
+    return _similar(equal.union(near), texts)
+
+
+def similarity_links(nodes: DataFrame, texts: DataFrame, common, links: DataFrame) -> DataFrame:
+    """links, and those that connect all other texts of enough similarity: an exact join over prefixes of ordered shingles.
+
+    Two rows of a key can only belong to similar texts if what is left of both
+    orders is enough for the least common part (4/9 of both sizes). Texts of a
+    key first meet its most central one, that with the least share of rarer
+    shingles, which links a group of near copies by as many pairs as it has
+    texts. Then, where a key still has texts of different components, those
+    outside its largest component meet all that aren't in their own; for that,
+    each looks up the size classes that texts similar to it can have.
+    """
+    prefixes = texts.mapInPandas(_prefixes(common), "key long, id long, at int, n int")
+    shared = prefixes.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("key")
+    rows = _rooted(prefixes.join(shared, "key").distinct(), links)
+    rows = written(rows.select("key", "id", "root", "n", (F.col("n") - F.col("at")).alias("rest")), "near-rows")
+
+    def enough(a: str, b: str) -> Column:
+        need = TOP * (F.col(f"{a}n") + F.col(f"{b}n"))
+        return ((TOP + UNDER) * F.col(f"{a}rest") >= need) & ((TOP + UNDER) * F.col(f"{b}rest") >= need)
+
+    central = F.min(F.struct((1 - F.col("rest") / F.col("n")).alias("off"), "id", "root", "n", "rest"))
+    heads = rows.groupBy("key").agg(central.alias("h")).select("key", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", "root", "n", "rest")))
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    stars = rows.join(heads, "key").filter((F.col("root") != F.col("h_root")) & enough("", "h_")).select(*pair("id", "h_id")).distinct()
+    links = links.unionByName(_similar(stars, texts))
+
+    rows = _rooted(rows.drop("root"), links)
+    size = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    rows = written(rows.join(size.drop("roots"), "key"), "near-rows")
+    step = lambda n: F.floor(F.log(n) / F.log(F.lit(STEP))).cast("int")
+    lo, hi = F.ceil(F.col("o_n") * TOP / UNDER), F.floor(F.least(F.col("o_n") * UNDER / TOP, F.col("o_rest") * (TOP + UNDER) / TOP - F.col("o_n")))
+    out = rows.filter("root != most").select("key", *(F.col(c).alias(f"o_{c}") for c in ("id", "root", "n", "rest")))
+    out = out.filter(hi >= lo).withColumn("class", F.explode(F.sequence(step(lo) - 1, step(hi) + 1)))
+    inner = rows.withColumn("class", step(F.col("n"))).drop("most")
+    rest = out.join(inner, ["key", "class"]).filter((F.col("root") != F.col("o_root")) & enough("", "o_")).select(*pair("id", "o_id")).distinct()
+    return links.unionByName(_similar(rest, texts))
+
+
+def near_links(sketch: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all texts (id, text) of enough similarity, from what _sketched() gave."""
+    nodes = sketch.filter("shingle is null").select("id", "fp").distinct()
+    frequent = sketch.filter("shingle is not null").groupBy("shingle").agg(F.sum("texts").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON_SENT).toPandas().sort_values("shingle")
+    common = texts.sparkSession.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64), np.log2(frequent["n"].to_numpy(float)).astype(np.int64)))
+    return similarity_links(nodes, texts, common, fingerprint_links(nodes, texts))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each group linked at SIMILARITY of WORDS-word shingles one row stays, that of the smallest doc_id.
+    """docs without near-duplicates: of each group linked at a similarity of 0.8 of 5-word shingles one row stays, that of the smallest doc_id.
 
     Copies of a text are told by its MD5 and are one node of the group; of
     repeated rows one stays; null doc_ids come last; null text counts as empty,
-    and texts without a word are one group. An empty table stays empty. The
-    columns of docs come back; none may begin with an underscore.
+    and texts without a word are one group. Very long texts count whole: their
+    shingles are held one text at a time. An empty table stays empty. The
+    columns of docs come back; those that begin with an underscore are refused.
     """
+    if bad := [c for c in docs.columns if c.startswith("_")]:
+        raise ValueError(f"columns {bad} begin with an underscore")
     short_batches(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    plain = docs.select(text.alias("text"))
-    sketch = docs.select(F.xxhash64(text).alias("id"), F.md5(text).alias("copy"), F.col("doc_id").cast("long").alias("doc_id"), _fingerprints(WORDS, LANES)(text).alias("f"))
-    seen = written(sketch.select("id", "copy", "doc_id", *(F.col("f")[i].alias(f) for i, f in enumerate(_LANE))), "near-fingerprints")
-    copies = seen.groupBy("id", "copy").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id")).alias("first"), *(F.min(f).alias(f) for f in _LANE))
-    copies = written(copies, "near-copies")
-    nodes = copies.groupBy("id").agg(*(F.min(f).alias(f) for f in _LANE))
-    found = components(near_links(nodes, plain))
+    text, salted = F.coalesce("text", F.lit("")), []
+    while True:
+        fields = _fields(text, salted)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id")).alias("first")
+        copies = written(docs.select(*fields, F.col("doc_id").cast("long").alias("doc_id")).groupBy("id", "copy").agg(first), "near-copies")
+        clash = [r[0] for r in copies.groupBy("id").count().filter("count > 1").select("id").collect()]  # one for 2^65 pairs of texts
+        if not clash:
+            break
+        salted += clash
+    texts = docs.select(fields[1], text.alias("text"))
+    sketch = written(texts.mapInPandas(_sketched, SKETCH), "near-sketch")
+    found = components(near_links(sketch, texts))
     rooted = copies.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     stays = rooted.groupBy("root").agg(F.min(F.struct("first", "copy")).alias("k")).select(F.col("k.copy").alias("_stay"), F.col("k.first.doc_id").alias("_first"))
     rows = docs.withColumn("_copy", F.md5(text)).join(stays, F.col("_copy") == F.col("_stay")).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_first")))
