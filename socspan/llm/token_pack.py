@@ -137,8 +137,12 @@ def _plain(text: str) -> bool:
     return not ("  " in text or "\n " in text or " \n" in text or text.startswith(" ") or text.endswith(" ") or _RARE_SPACE.search(text))
 
 
-class _Encoder:
-    """A worker's tokenizer, with the ids of the words that it has met.
+#: Marks that follow a word directly. After letters each is a stretch of its own.
+_MARKS = frozenset(".,;:!?")
+
+
+class _Words(dict):
+    """The ids of words as bytes; a word that isn't there yet is encoded when it is looked up.
 
     Words are remembered in two generations of half of CACHE_WORDS each:
     common words move to the younger one, rare ones are forgotten with the
@@ -146,49 +150,57 @@ class _Encoder:
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or "(?!)")
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         # The letters that byte-level models show bytes as: printable bytes as themselves, the others from 256 up.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: 256 + i for i, b in enumerate(hidden)}
-        self.known: dict[str, bytes] = {}
+        self.space = chr(self.letters[32])
         self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
         """Ids of a stretch within which the model may merge: its bytes, shown as the model's letters."""
         if part.isascii() and part.isprintable():
-            letters = part.replace(" ", chr(self.letters[32]))
+            letters = part.replace(" ", self.space)
         else:
             letters = part.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS // 2:
-            self.older, self.known, self.parts = self.known, {}, {}
-        for w in words.difference(self.known):
-            ids = self.older.get(w)
-            if ids is None:
-                ids = b""
-                for part in [w] if w[1:].isalpha() and (w[0] == " " or w[0].isalpha()) else self.split(w):
-                    if len(part) > 3:
-                        ids += self._part(part)
-                    else:
-                        if part not in self.parts:
-                            self.parts[part] = self._part(part)
-                        ids += self.parts[part]
-            self.known[w] = ids
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if (word[1:] or word).isalpha() and (word[0] == " " or word[0].isalpha()):
+                ids = self._part(word)
+            elif len(word) > 2 and word[-1] in _MARKS and word[1:-1].isalpha():
+                ids = self[word[:-1]] + self[word[-1]]
+            else:
+                parts = self.split(word)
+                ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self._part(word) if word else b""
+        self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        """Make room for new words, if need be."""
+        if len(self) > CACHE_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
 
+    def encode(self, text: str) -> np.ndarray:
+        if _plain(text) and not self.special.search(text):
+            return np.frombuffer(b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").split("\x00"))), "<u4")
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-_ENCODERS: dict[str, _Encoder] = {}
+
+_WORDS: dict[str, _Words] = {}
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
@@ -196,22 +208,12 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
 
     A byte-level BPE never merges over a single space between two words, so a
     text is cut there and the library's model encodes each distinct word once;
-    texts with other spacing go to the library whole.
+    texts with other spacing, or with the string of a special token, go to the
+    library whole.
     """
-    if path not in _ENCODERS:
-        _ENCODERS[path] = _Encoder(path)
-    enc = _ENCODERS[path]
-    pieces = [t.replace(" ", "\x00 ").split("\x00") if _plain(t) else None for t in texts]
-    words: set[str] = set()
-    words.update(*(p for p in pieces if p))
-    enc.learn(words)
-    out = []
-    for text, p in zip(texts, pieces, strict=True):
-        if p is None:
-            out.append(np.array(enc.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
-        else:
-            out.append(np.frombuffer(b"".join(map(enc.known.__getitem__, p)), "<u4"))
-    return out
+    words = _WORDS.get(path) or _WORDS.setdefault(path, _Words(path))
+    words.age()
+    return [words.encode(t) for t in texts]
 
 
 def _writer(folder: str, path: str, bits: int, end_id: int):

@@ -21,13 +21,23 @@ def test_pack_round_trip(bits, ids):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab 's\n\t.1é ñ  \x00<|!"), max_size=40))
+@given(st.text(alphabet=st.sampled_from("ab 's\n\t.,1é ñ  \x00<|!"), max_size=40))
 def test_encode_equals_library(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    assert tp.encode([text], PATH)[0].tolist() == t.encode(text, add_special_tokens=False).ids
+    for x in (text, f"a{text}. <|endoftext|> b"):
+        assert tp.encode([x], PATH)[0].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tp, "CACHE_WORDS", 10)
+    t = Tokenizer.from_file(PATH)
+    for i in range(30):
+        text = f"word{i % 7}, common {i % 3}st don't. l'été! {i}"
+        assert tp.encode([text], PATH)[0].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def brute(rows):
@@ -45,7 +55,7 @@ def brute(rows):
 @pytest.mark.parametrize("rows", [
     [],
     [(None, None)],
-    [(3, "b c"), (1, None), (2, ""), (1, None), (None, "x  y"), (2**60 + 1, "big"), (4, "word " * 30_000)],
+    [(3, "b c"), (1, None), (2, ""), (1, None), (None, "x  <|endoftext|>y"), (2**60 + 1, "big"), (4, "word " * 30_000)],
     [(i, f"text {i} and some more of it, é") for i in range(300)],
 ])
 def test_written_and_read_back(spark, rows):
