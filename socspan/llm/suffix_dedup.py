@@ -44,50 +44,60 @@ GRAM = 32
 WINDOW = LENGTH - GRAM + 1  # GRAM-byte strings in a window
 SIDE = (LENGTH - GRAM) // 2  # 34 bytes
 SHALLOW = 16  # bytes, two words
-PIECE = 256 << 10  # windows of a text that are hashed at once
+PIECE = 128 << 10  # windows that are hashed at once
 FLUSH_ANCHORS = 2_000_000  # anchors that a task holds before it sends them
 FLUSH_BYTES = 64 << 20  # stretches that a task holds before it sends them
+SUFFIXES = 2_000_000  # about as many are sorted at once
 
-_TABLE = np.random.default_rng(8).integers(0, 2**64, 256, np.uint64)
+_TABLE = np.random.default_rng(8).integers(0, 2**32, 256, np.uint32)
 _PLACE = np.dtype([("q", "<u4"), ("n", "u1"), ("o", "u1")])
 
 
-def _argmin(h: np.ndarray, width: int) -> np.ndarray:
-    """For each window of so many values the place of its first least one."""
-    at, span = np.arange(len(h), dtype=np.int64), 1
+def _words(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
+    """The eight bytes from each place on, as a number."""
+    return np.ndarray(max(len(data) - 7, 0), kind, data, strides=(1,))
 
-    def step(h, at, s):
-        first = h[:-s] <= h[s:]
-        return np.where(first, h[:-s], h[s:]), np.where(first, at[:-s], at[s:])
 
-    while 2 * span <= width:
-        h, at = step(h, at, span)
-        span *= 2
-    return step(h, at, width - span)[1] if width > span else at
+def _mixed(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the size bytes from each place on; the last word may overlap the one before."""
+    h = np.full(len(at), size, np.uint64)
+    for depth in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
+        h = (h ^ words[at + depth]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of bytes: the anchor of each window, the gram hash of each place, both as far as they go."""
+def anchors(data: np.ndarray) -> np.ndarray:
+    """The anchor of each window of some bytes: the first place of the least hash among its grams."""
     h, span = _TABLE[data], 1
     while span < GRAM:
-        h = (h[:-span] ^ (h[:-span] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * span) + h[span:]
-        span *= 2
-    h ^= h >> np.uint64(32)
-    return _argmin(h, WINDOW), h
-
-
-def sides(h: np.ndarray, at: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the grams at some places with SIDE bytes before, and after, each; no two alike where the bytes end before that.
-
-    Two overlapping grams cover a side.
-    """
-    out = []
-    for a, b in ((at - SIDE, at - GRAM), (at + GRAM, at + SIDE)):
-        there = (a >= 0) & (b < len(h))
-        x, y = h[np.where(there, a, 0)], h[np.where(there, b, 0)]
-        side = (h[at] ^ x * np.uint64(0x9E3779B97F4A7C15) ^ (y >> np.uint64(3)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
-        lone = (at.astype(np.uint64) + np.uint64(salt << 24 & (1 << 63) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(np.where(there, side, lone))
+        t = h[:-span] >> np.uint32(15)
+        t ^= h[:-span]
+        t *= np.uint32(0x9E3779B1 + 2 * span)
+        t += h[span:]
+        h, span = t, 2 * span
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    # hash and place in one number, so that the least one tells both
+    least = h.astype(np.uint64)
+    least <<= np.uint64(32)
+    least |= np.arange(len(h), dtype=np.uint64)
+    span = 1
+    while span < WINDOW:
+        step = min(span, WINDOW - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def sides(data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams at some places with SIDE bytes before, and after, each; no two alike where the text ends (lo, hi) before that."""
+    words, out = _words(data), []
+    for first in (at - SIDE, at):
+        there = (first >= lo) & (first + GRAM + SIDE <= hi)
+        side = (at.astype(np.uint64) + np.uint64(salt << 24 & (1 << 63) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        side[there] = _mixed(words, first[there], GRAM + SIDE)
+        out.append(side)
     return out[0], out[1]
 
 
@@ -98,25 +108,45 @@ def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Sender:
-    """Collects a task's anchors and packs them by bucket."""
+    """Collects a task's anchors and packs them by bucket. Short texts are hashed together, long ones in pieces."""
 
     def __init__(self, buckets: int):
         self.buckets, self.ids, self.parts, self.n, self.salt = buckets, [], [], 0, int.from_bytes(os.urandom(4), "little")
+        self.pieces, self.size = [], 0
 
-    def add(self, doc: int, data: np.ndarray) -> None:
+    def add(self, doc: int, data: bytes) -> None:
         for at in range(0, len(data) - LENGTH + 1, PIECE):
             piece = data[at : at + PIECE + LENGTH - 1]
-            a, h = anchors(piece)
-            first, n = _runs(a)
-            place = np.zeros(len(first), _PLACE)
-            place["q"], place["n"], place["o"] = first + at, n, a[first] - first
-            self.salt += 1
-            self.parts.append((h[a[first]], *sides(h, a[first], self.salt), np.full(len(first), doc, np.int64), place))
-            self.n += len(first)
+            self.pieces.append((doc, at, piece))
+            self.size += len(piece)
+            if self.size >= PIECE:
+                self._hash()
+
+    def _hash(self) -> None:
+        """Anchors of the windows that lie within a piece."""
+        doc, at, size = np.array([(d, at, len(x)) for d, at, x in self.pieces], np.int64).T
+        data = np.frombuffer(b"".join(x for _, _, x in self.pieces), np.uint8)
+        hi = np.cumsum(size)
+        lo = hi - size
+        a = anchors(data)
+        piece = np.repeat(np.arange(len(size)), size)[: len(a)]
+        whole = np.flatnonzero(np.arange(LENGTH, LENGTH + len(a)) <= hi[piece])
+        a = a[whole]
+        first, n = _runs(a)
+        a, q = a[first], whole[first]
+        piece = piece[q]
+        place = np.zeros(len(first), _PLACE)
+        place["q"], place["n"], place["o"] = q - lo[piece] + at[piece], n, a - q
+        self.salt += 1
+        self.parts.append((_mixed(_words(data), a, GRAM), *sides(data, a, lo[piece], hi[piece], self.salt), doc[piece], place))
+        self.n += len(first)
+        self.pieces, self.size = [], 0
 
     def send(self) -> pd.DataFrame:
         """Bucket rows with the first anchor of each side's hash (six bytes of it), and rows by document of those that repeat both."""
         out = []
+        if self.pieces:
+            self._hash()
         if self.parts:
             h, left, right, doc, place = (np.concatenate(x) for x in zip(*self.parts, strict=True))
             send, more = np.zeros(len(h), bool), np.zeros(len(h), bool)
@@ -153,7 +183,7 @@ def _send(buckets: int):
         for pdf in batches:
             for d1, d2, text in zip(pdf["d1"].tolist(), pdf["d2"].tolist(), pdf["text"], strict=True):
                 s.ids.append((d1, d2))
-                s.add(len(s.ids) - 1, np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
+                s.add(len(s.ids) - 1, text.encode("utf-8", "replace"))
                 if s.n > FLUSH_ANCHORS:
                     yield s.send()
         yield s.send()
@@ -189,34 +219,34 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(list(by_document(doc[keep], place[keep], ids)), columns=["d1", "d2", "blob"]).astype({"d1": "int64", "d2": "int64"})
 
 
-STRETCH = "key long, d1 long, d2 long, start long, n int, bytes binary"
+STRETCH = "key long, d1 long, d2 long, start long, n int, o int, bytes binary"
 
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows with the bytes of each anchor's windows; without bytes where a whole stretch is a repeat (n windows from start)."""
+    """Rows with the bytes of each anchor's n windows, the anchor at byte o; rows of n = 0 hold the ranges of whole stretches that are repeats."""
     held: dict[bytes, tuple] = {}
     size = 0
 
     def send():
         rows = [(*v, k) for k, v in held.items()]
         held.clear()
-        return pd.DataFrame(rows, columns=["d1", "d2", "start", "n", "key", "bytes"])[["key", "d1", "d2", "start", "n", "bytes"]]
+        return pd.DataFrame(rows, columns=["key", "d1", "d2", "start", "n", "o", "bytes"])
 
     for pdf in batches:
-        late = []
+        late: dict[tuple[int, int], list[int]] = {}
         for d1, d2, text, blobs in zip(pdf["d1"].tolist(), pdf["d2"].tolist(), pdf["text"], pdf["blobs"], strict=True):
             data = text.encode("utf-8", "replace")
-            for q, n, o in np.unique(np.frombuffer(b"".join(blobs), _PLACE)).tolist():
+            for q, n, o in np.frombuffer(b"".join(blobs), _PLACE).tolist():
                 s = data[q : q + n + LENGTH - 1]
-                mine = (d1, d2, q, n, xxhash.xxh3_64_intdigest(s[o : o + GRAM]) - (1 << 63))
-                other = held.setdefault(s, mine)
-                if other is mine:
+                other = held.get(s)
+                if other is None:
+                    held[s] = (xxhash.xxh3_64_intdigest(s[o : o + GRAM]) - (1 << 63), d1, d2, q, n, o)
                     size += len(s)
-                elif other[:3] != mine[:3]:
-                    if mine < other:
-                        held[s], mine = mine, other
-                    late.append((mine[4] ^ mine[0], *mine[:4], None))
-        yield pd.DataFrame(late, columns=["key", "d1", "d2", "start", "n", "bytes"])
+                elif (mine := (d1, d2, q)) != other[1:4]:
+                    if mine < other[1:4]:
+                        held[s], mine = (other[0], *mine, n, o), other[1:4]
+                    late.setdefault(mine[:2], []).extend((mine[2], mine[2] + n + LENGTH - 1))
+        yield pd.DataFrame([(d1 ^ d2, d1, d2, 0, 0, 0, np.array(r, "<i8").tobytes()) for (d1, d2), r in late.items()], columns=["key", "d1", "d2", "start", "n", "o", "bytes"])
         if size > FLUSH_BYTES:
             yield send()
             size = 0
@@ -228,37 +258,39 @@ def repeats(buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
     Suffixes are given in the order of their occurrence.
     """
-    words = np.ndarray(len(buffer) - 7, ">u8", np.ascontiguousarray(buffer), strides=(1,))
+    words = np.ascontiguousarray(_words(buffer))
     depths = [*range(0, LENGTH - 7, 8), *([LENGTH - 8] if LENGTH % 8 else [])]  # the last word may overlap the one before
     first = np.arange(len(starts))
     left, group = first, np.zeros(len(starts), np.int64)
 
     def split(left: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Members in groups of equal keys, without those that are alone; the sort is stable, so groups keep the order of occurrence."""
-        order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+        """Members in groups of equal keys, without those that are alone."""
+        order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
         left = left[order]
         new = np.zeros(len(left), bool)
         new[:1] = True
         for k in keys:
             k = k[order]
             new[1:] |= k[1:] != k[:-1]
-        group = np.cumsum(new) - 1
-        alone = np.bincount(group)[group] == 1 if len(group) else np.zeros(0, bool)
-        return left[~alone], group[~alone]
+        again = ~new
+        again[:-1] |= again[1:].copy()  # not alone: equal to the one before or after
+        return left[again], (np.cumsum(new) - 1)[again]
 
-    for depth in (d for d in depths if d < SHALLOW):  # multikey quicksort, a word at a time
-        word = words[starts[left] + depth].astype(np.uint64)
+    for depth in (d for d in depths if d < SHALLOW):  # multikey quicksort, a word at a time; byteswap makes the order that of the bytes
+        word = words[starts[left] + depth].byteswap()
         left, group = split(left, group, word) if depth else split(left, word)
     deep = [d for d in depths if d >= SHALLOW]
     while len(left):  # blind tries, one branching of all groups at a time
         at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        head = np.repeat(left[at], np.diff(np.append(at, len(left))))
+        head = np.repeat(np.minimum.reduceat(left, at), np.diff(np.append(at, len(left))))
         branch, word, same = np.full(len(left), -1, np.int64), np.zeros(len(left), np.uint64), np.arange(len(left))
+        mine, heads = starts[left], starts[head]
         for depth in deep:
-            mine = words[starts[left[same]] + depth]
-            off = mine != words[starts[head[same]] + depth]
-            branch[same[off]], word[same[off]] = depth, mine[off]
-            same = same[~off]
+            w = words[mine + depth]
+            off = w != words[heads + depth]
+            if off.any():
+                branch[same[off]], word[same[off]] = depth, w[off].byteswap()
+                same, mine, heads = same[~off], mine[~off], heads[~off]
         first[left[same]] = head[same]
         rest = branch >= 0
         left, group = split(left[rest], group[rest], branch[rest], word[rest])
@@ -266,28 +298,42 @@ def repeats(buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sorted_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Byte ranges (d1, d2, first, end) of a partition's repeats."""
+    """Byte ranges of a partition's repeats, by document: (d1, d2, ranges), each as pairs of its first byte and its end."""
     rows = []
     for pdf in batches:
-        whole = pdf["bytes"].isna()
-        known = pdf[whole]
-        yield pd.DataFrame({"d1": known["d1"], "d2": known["d2"], "first": known["start"], "end": known["start"] + known["n"] + LENGTH - 1})
-        rows.append(pdf[~whole])
+        known = pdf["n"] == 0
+        yield pdf[known][["d1", "d2", "bytes"]].rename(columns={"bytes": "ranges"})
+        rows.append(pdf[~known])
     if not rows or not (n := sum(map(len, rows))):
         return
     r = pd.concat(rows).sort_values(["d1", "d2", "start"], kind="stable", ignore_index=True)
     rows.clear()
     buffer = np.frombuffer(b"".join([*r["bytes"], bytes(8)]), np.uint8)
     size = np.fromiter(map(len, r["bytes"]), np.int64, n)
-    count, begin = r["n"].to_numpy(), np.cumsum(size) - size
-    row = np.repeat(np.arange(n), count)
-    i = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    first = repeats(buffer, begin[row] + i)
-    d1, d2, q = r["d1"].to_numpy()[row], r["d2"].to_numpy()[row], r["start"].to_numpy()[row] + i
-    late = np.flatnonzero((d1 != d1[first]) | (d2 != d2[first]) | (q != q[first]))
-    lo, m = _runs(row[late] * (1 << 32) + late - np.arange(len(late)))  # repeats in a row
-    d = late[lo]
-    yield pd.DataFrame({"d1": d1[d], "d2": d2[d], "first": q[d], "end": q[d] + m - 1 + LENGTH})
+    count, anchor, begin = r["n"].to_numpy(), r["o"].to_numpy(), np.cumsum(size) - size
+    d1, d2, start = (r[c].to_numpy() for c in ("d1", "d2", "start"))
+    held, late = [], []
+    for away in range(WINDOW):  # equal windows lie equally far before their anchors, so memory is bounded by sorting some distances at a time
+        row = np.flatnonzero((anchor >= away) & (anchor - away < count))
+        held.append((row, anchor[row] - away))
+        if sum(len(x) for x, _ in held) > SUFFIXES or away == WINDOW - 1:
+            row, i = map(np.concatenate, zip(*held, strict=True))
+            first = repeats(buffer, begin[row] + i)
+            again = np.flatnonzero(first != np.arange(len(first)))
+            mine, other = row[again], row[first[again]]
+            # a row of the table that is there twice is one occurrence
+            again = again[(d1[mine] != d1[other]) | (d2[mine] != d2[other]) | (start[mine] + i[again] != start[other] + i[first[again]])]
+            late.append(row[again] * WINDOW + i[again])
+            held.clear()
+    late = np.sort(np.concatenate(late))
+    mine, i = late // WINDOW, late % WINDOW
+    lo, m = _runs(mine * (2 * WINDOW) + i - np.arange(len(late)) + len(late))  # repeats in a row
+    mine = mine[lo]
+    q = start[mine] + i[lo]
+    ranges = np.stack([q, q + m - 1 + LENGTH], axis=1).astype("<i8")
+    at = np.flatnonzero(np.concatenate([[True], (d1[mine][1:] != d1[mine][:-1]) | (d2[mine][1:] != d2[mine][:-1])])) if len(mine) else mine
+    ends = np.append(at[1:], len(mine))
+    yield pd.DataFrame({"d1": d1[mine[at]], "d2": d2[mine[at]], "ranges": [ranges[a:b].tobytes() for a, b in zip(at, ends, strict=True)] if len(mine) else []})
 
 
 def _cut(data: bytes, first, end) -> tuple[bytes, int]:
@@ -305,7 +351,7 @@ def _removed(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
     out = []
     for text, r in zip(texts, ranges, strict=True):
         data = text.encode("utf-8", "replace")
-        kept, spans = (data, 0) if r is None else _cut(data, [x["first"] for x in r], [x["end"] for x in r])
+        kept, spans = (data, 0) if r is None else _cut(data, *np.frombuffer(b"".join(r), "<i8").reshape(-1, 2).T)
         out.append((len(data), len(data) - len(kept), spans, kept))
     return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -327,8 +373,8 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     met = sent.repartition(n, "bucket").mapInPandas(_meet, "d1 long, d2 long, blob binary")
     places = met.groupBy("d1", "d2").agg(F.collect_list("blob").alias("blobs"))
     stretches = rows.join(places, ["d1", "d2"]).mapInPandas(_stretches, STRETCH)
-    ranges = stretches.repartition(2 * n, "key").mapInPandas(_sorted_out, "d1 long, d2 long, first long, end long")
-    gone = ranges.groupBy("d1", "d2").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
+    ranges = stretches.repartition(2 * n, "key").mapInPandas(_sorted_out, "d1 long, d2 long, ranges binary")
+    gone = ranges.groupBy("d1", "d2").agg(F.collect_list("ranges").alias("ranges"))
     out = rows.join(gone, ["d1", "d2"], "left").select("d1", _removed("text", "ranges").alias("r"))
     return out.select(F.when(F.col("d1") != -(2**63), F.col("d1")).alias("doc_id"), "r.*")
 

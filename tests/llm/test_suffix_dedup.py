@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from socspan.llm import suffix_dedup as sd
@@ -46,7 +47,7 @@ def run(spark, df):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, monkeypatch, seed):
+def test_equals_brute_force(spark, seed):
     rows = corpus(seed)
     df = spark.createDataFrame([(*x, 1, "b") for x in rows], "doc_id long, text string, d1 int, bytes string").repartition(5)
     assert run(spark, df) == sorted(brute(rows), key=str)
@@ -62,14 +63,41 @@ def test_pieces_and_tries(monkeypatch):
     r = np.random.default_rng(1)
     data = r.integers(97, 99, 4000).astype(np.uint8)
     data[3000:3300] = data[100:400]
-    whole, h = sd.anchors(data)
-    assert all(whole[q] == q + int(h[q : q + sd.WINDOW].argmin()) for q in range(len(whole)))
+    grams = [data[i : i + sd.GRAM].tobytes() for i in range(len(data) - sd.GRAM + 1)]
+    whole = sd.anchors(data)
+    chosen = {}
+    for q in range(len(whole)):
+        window = data[q : q + sd.LENGTH].tobytes()
+        assert q <= whole[q] < q + sd.WINDOW and grams[whole[q]] not in grams[q : whole[q]]
+        assert chosen.setdefault(window, whole[q] - q) == whole[q] - q
     starts = np.arange(len(data) - sd.LENGTH + 1)
     first, seen = sd.repeats(np.append(data, np.zeros(8, np.uint8)), starts), {}
     assert first.tolist() == [seen.setdefault(data[s : s + sd.LENGTH].tobytes(), s) for s in starts.tolist()]
 
 
+def test_pieces_of_long_texts():
+    """Anchors of texts that are hashed together, or in pieces, are those of each text alone."""
+    r = random.Random(5)
+    texts = ["".join(r.choices("abc ", k=k)).encode() for k in (50, 100, 101, 3000, 2 * sd.PIECE + 500, 99, 700)]
+    s = sd._Sender(4)
+    for i, t in enumerate(texts):
+        s.add(i, t)
+    s._hash()
+    got = {(int(d), int(q) + k): int(q) + int(o) for p in s.parts for d, (q, n, o) in zip(p[3], p[4], strict=True) for k in range(n)}
+    want = {(i, q): int(a) for i, t in enumerate(texts) if len(t) >= sd.LENGTH for q, a in enumerate(sd.anchors(np.frombuffer(t, np.uint8)))}
+    assert got == want
+
+
+def test_memory_bound_changes_nothing(monkeypatch):
+    docs = pd.DataFrame([(d if d is not None else -1, i, x or "") for i, (d, x) in enumerate(corpus(3))], columns=["d1", "d2", "text"])
+    places = pd.concat(sd._meet(iter([x for x in sd._send(3)(iter([docs])) if len(x)]))).groupby(["d1", "d2"])["blob"].apply(list).rename("blobs").reset_index()
+    rows = pd.concat(sd._stretches(iter([docs.merge(places, on=["d1", "d2"])])), ignore_index=True)
+    whole = pd.concat(sd._sorted_out(iter([rows])), ignore_index=True)
+    monkeypatch.setattr(sd, "SUFFIXES", 40)
+    assert len(whole) > 20 and pd.concat(sd._sorted_out(iter([rows])), ignore_index=True).equals(whole)
+
+
 def test_oracles_are_sql():
     from socspan.llm.queries import ORACLES
 
-    assert all(isinstance(x, str) for x in ORACLES.values())
+    assert all(isinstance(x, str) and "select" in x for x in ORACLES.values())
