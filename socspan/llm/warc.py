@@ -153,13 +153,13 @@ def _parse(f, at: int, size: int) -> dict | None:
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in CANDIDATE.split(", ")]
     for pdf in batches:
-        for file, size, lo in zip(pdf["file"].tolist(), pdf["bytes"].tolist(), pdf["lo"].tolist(), strict=True):
+        for file, size, lo, chunk in zip(*(pdf[c].tolist() for c in ("file", "bytes", "lo", "chunk")), strict=True):
             fs, name = file_at(file)
             found = []
             with fs.open_input_file(name) as f:
-                data = f.read_at(min(CHUNK + len(VERSION) - 1, size - lo), lo)
+                data = f.read_at(min(chunk + len(VERSION) - 1, size - lo), lo)
                 i = data.find(VERSION)
-                while 0 <= i < CHUNK:
+                while 0 <= i < chunk:
                     if c := _parse(f, lo + i, size):
                         found.append(c | {"file": file})
                     i = data.find(VERSION, i + 1)
@@ -176,7 +176,7 @@ def reached(links: DataFrame) -> DataFrame:
     rounds follow chains of 2^k records; both tables hold one row per
     candidate at most, and files bound the rows of a key.
     """
-    jump = written(links.select("file", "at", "next"), "warc-jump")
+    jump = written(links.select("file", "at", "next").dropDuplicates(["file", "at"]), "warc-jump")
     got = written(jump.filter("at = 0").select("file", "at"), "warc-reached")
     n = got.count()
     while True:
@@ -193,16 +193,17 @@ def read_warc(manifest: DataFrame) -> DataFrame:
     """The records of the files: file, at, kind, page_id, url, payload_bytes, digest, refers_to.
 
     payload_bytes of a revisit is that of the response that it refers to.
-    Raises ValueError where the chain of a file doesn't end at its last byte.
+    Raises ValueError where the chain of a file doesn't end at its last byte or
+    hasn't as many records as were written.
     """
     short_batches(manifest.sparkSession)
-    ranges = manifest.select("file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(CHUNK))).alias("lo")).filter("lo < bytes")
+    ranges = manifest.select("file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(CHUNK))).alias("lo"), F.lit(CHUNK).alias("chunk")).filter("lo < bytes")
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = written(ranges.repartition(n, "file", "lo").mapInPandas(_scan, CANDIDATE), "warc-candidates")
     records = found.join(reached(found), ["file", "at"], "left_semi")
-    ends = records.groupBy("file").agg(F.max("next").alias("end"))
-    if broken := manifest.join(ends, "file", "left").filter("bytes > 0 and not end <=> bytes").select("file", "bytes", "end").first():
-        raise ValueError(f"The records of {broken.file} end at {broken.end} of {broken.bytes} bytes.")
+    ends = records.groupBy("file").agg(F.max("next").alias("end"), F.count(F.lit(1)).alias("n"))
+    if broken := manifest.join(ends, "file", "left").filter("bytes > 0 and not (end <=> bytes and n <=> records)").select("file", "bytes", "records", "end", "n").first():
+        raise ValueError(f"{broken.file}: {broken.n} of {broken.records} records, which end at {broken.end} of {broken.bytes} bytes.")
     stored = records.filter("kind = 'response'").select(F.col("page_id").alias("refers_to"), "digest", F.col("payload_bytes").alias("stored_bytes")).filter("refers_to is not null").dropDuplicates(["refers_to", "digest"])
     again = records.filter("kind = 'revisit'").join(stored, ["refers_to", "digest"], "left").withColumn("payload_bytes", F.col("stored_bytes"))
     cols = ["file", "at", "kind", "page_id", "url", "payload_bytes", "digest", "refers_to"]
