@@ -10,20 +10,28 @@ used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import warnings
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import docs_of, written
 
 TOPICS = 8
 TOLERANCE = 1e-6
-ROUNDS = 40  # margins that contradict each other never meet; then the last round's weights count
+ROUNDS = 40  # margins that contradict each other never meet, of which rake() warns
 KEEP = 0.8
 #: A margin's target share is proportional to its share of tokens raised to this.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.5}
 SEED = "mix-1"
 
-_LOOK = "aggregate(split(text, '[ \\\\t-\\\\r]+'), named_struct('n', 0L, 'w', ''), (a, w) -> named_struct('n', a.n + if(w = '', 0L, 1L), 'w', if(length(w) > length(a.w) or (length(w) = length(a.w) and w > a.w), w, a.w)))"
+#: Default topics are words of so many letters that this share of the texts has.
+TOPIC_LETTERS, TOPIC_SHARE = 4, (0.005, 0.25)
+OTHER = "other"
+
+_TOKENS = "size(filter(split(text, '[ \\t-\\r]+'), w -> w <> ''))"
+_LETTERS = "filter(array_distinct(split(lower(text), '[^a-zà-öø-ÿ]+')), w -> length(w) >= {})"
 
 
 def chance(doc_id: str = "doc_id") -> Column:
@@ -31,20 +39,36 @@ def chance(doc_id: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{SEED}"))), 1, 8), 16, 10).cast("long")
 
 
-def look(docs: DataFrame) -> DataFrame:
+def topic_words(docs: DataFrame, n: int = TOPICS) -> list[str]:
+    """The n words that most texts have, of those that no more than TOPIC_SHARE of them have; the rarest first. n words come to the driver."""
+    total = docs.agg(F.count("text")).first()[0]
+    words = docs.select(F.explode(F.expr(_LETTERS.format(TOPIC_LETTERS))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    lo, hi = (share * total for share in TOPIC_SHARE)
+    return [r.w for r in words.filter((F.col("n") >= lo) & (F.col("n") <= hi)).orderBy(F.desc("n"), "w").limit(n).collect()][::-1]
+
+
+def topic_of(words: list[str]) -> Column:
+    """The first of the words that a text has, or OTHER."""
+    # bound as a lambda's variable, so that a text is split once
+    first = lambda mine: F.element_at(F.filter(F.array(*map(F.lit, words), F.lit(OTHER)), lambda w: (w == OTHER) | F.array_contains(mine, w)), 1)
+    return F.transform(F.array(F.expr(_LETTERS.format(TOPIC_LETTERS))), first)[0]
+
+
+def look(docs: DataFrame, topic: str | None = None) -> DataFrame:
     """docs with the struct _mix (source, lang, topic, tokens) of each row.
 
-    Tokens are words. documents has no topic: a text's topic is the group, of
-    TOPICS, that its longest word's hash falls into. Nulls count as ''.
+    Tokens are words. topic names a column of docs; without one, a text's topic
+    is the rarest of the topic words that it has, or OTHER. Nulls count as ''
+    (of a topic, as OTHER). Columns of docs keep their names; _mix is refused.
     """
-    topic = F.conv(F.substring(F.md5("_look.w"), 1, 4), 16, 10).cast("int") % TOPICS
-    d = docs.withColumn("_look", F.coalesce(F.expr(_LOOK), F.expr("named_struct('n', 0L, 'w', '')")))
-    mix = F.struct(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic.alias("topic"), F.col("_look.n").alias("tokens"))
-    return d.withColumn("_mix", mix).drop("_look")
+    if "_mix" in docs.columns:
+        raise ValueError("docs has a column _mix")
+    t = F.coalesce(F.col(topic).cast("string"), F.lit(OTHER)) if topic else F.coalesce(topic_of(topic_words(docs)), F.lit(OTHER))
+    return docs.withColumn("_mix", F.struct(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), t.alias("topic"), F.coalesce(F.expr(_TOKENS), F.lit(0)).cast("long").alias("tokens")))
 
 
 def targets(cells: DataFrame) -> DataFrame:
-    """(margin, value, target): each margin's shares raised to its power, and scaled to add up to 1."""
+    """(margin, value, target) where no targets are given: each margin's shares raised to its power, and scaled to add up to 1."""
     out = None
     for margin, power in POWERS.items():
         m = cells.groupBy(F.col(margin).cast("string").alias("value")).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("p"))
@@ -56,10 +80,17 @@ def targets(cells: DataFrame) -> DataFrame:
 def rake(cells: DataFrame, goals: DataFrame) -> DataFrame:
     """cells (source, lang, topic, tokens) with w: weights that meet the goals on every margin and add up to 1.
 
-    Cells without a token are left out. Each round is written to the shared
-    folder; its largest factor comes to the driver.
+    goals are rows (margin, value, target), whose targets count in proportion
+    for each margin; a value without one, or with one that no cell has, is not
+    drawn from. Cells without a token are left out. Each round is written to
+    the shared folder; its largest factor comes to the driver. Warns if ROUNDS
+    don't bring the margins to their targets; then the last weights count.
     """
-    goals = written(goals, "mix-goals")
+    there = [cells.select(F.lit(m).alias("margin"), F.col(m).cast("string").alias("value")).distinct() for m in POWERS]
+    goals = goals.filter("target > 0").join(reduce(DataFrame.unionByName, there), ["margin", "value"], "left_semi")
+    goals = written(goals.withColumn("target", F.col("target") / F.sum("target").over(Window.partitionBy("margin"))), "mix-goals")
+    for m in POWERS:  # goals has a few rows a margin
+        cells = cells.join(goals.filter(F.col("margin") == m).select(F.col("value").alias(m)), m, "left_semi")
     total = cells.agg(F.sum("tokens").alias("all"))
     cells = cells.filter("tokens > 0").crossJoin(F.broadcast(total)).withColumn("w", F.col("tokens") / F.col("all")).drop("all")  # one row
     for _ in range(ROUNDS):
@@ -72,7 +103,8 @@ def rake(cells: DataFrame, goals: DataFrame) -> DataFrame:
         cells = written(cells, "mix-cells")
         off = cells.agg(F.max("off")).first()[0]
         if off is None or off < TOLERANCE:
-            break
+            return cells.drop("off")
+    warnings.warn(f"After {ROUNDS} rounds a margin is still off its targets by a factor of {1 + off}.", stacklevel=2)
     return cells.drop("off")
 
 
@@ -95,16 +127,19 @@ def probabilities(cells: DataFrame, keep: float = KEEP) -> DataFrame:
     return cells.withColumn("p", F.least(F.lit(1.0), ratio * c))
 
 
-def mix(docs: DataFrame, keep: float = KEEP, looked: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, keep: float = KEEP, looked: DataFrame | None = None, goals: DataFrame | None = None, topic: str | None = None) -> DataFrame:
     """docs with the struct _mix, its p added, of the rows that are drawn.
 
+    goals (margin, value, target) gives the target weights of the margins
+    source, lang and topic; without it targets() does. topic names a column.
+
     A row is drawn by a hash of its doc_id, so rows that share one are drawn
     alike within a cell. Texts without a word have no weight and aren't drawn;
     an empty table stays empty. The cells are joined as the small side.
     """
-    looked = look(docs) if looked is None else looked
+    looked = look(docs, topic) if looked is None else looked
     cells = written(looked.groupBy("_mix.source", "_mix.lang", "_mix.topic").agg(F.sum("_mix.tokens").alias("tokens")).filter("tokens > 0"), "mix-cells")
-    p = written(probabilities(rake(cells, targets(cells)), keep).select(F.struct("source", "lang", "topic").alias("_cell"), F.col("p").alias("_p")), "mix-chances")
+    p = written(probabilities(rake(cells, targets(cells) if goals is None else goals), keep).select(F.struct("source", "lang", "topic").alias("_cell"), F.col("p").alias("_p")), "mix-chances")
     row = F.struct("_mix.source", "_mix.lang", "_mix.topic")
     drawn = looked.join(p, row == F.col("_cell")).filter(chance() < F.col("_p") * 2**32)
     return drawn.withColumn("_mix", F.col("_mix").withField("p", F.col("_p"))).drop("_cell", "_p")
