@@ -136,6 +136,21 @@ def test_every_link_is_found(spark, monkeypatch):
     assert got == sorted(set(brute_components(rows, jaccard)))
 
 
+def test_word_shingles(monkeypatch):
+    """Equal hashes are equal runs of words, whatever the block that a word falls into."""
+    r = random.Random(3)
+    monkeypatch.setattr(sh, "BLOCK", 64)
+    seen = {}
+    for n in [*range(12), 100, 1000]:
+        w = [r.choice("ab") * r.choice([1, 2, 62, 63, 64, 65, 200]) for _ in range(n)]
+        got = sh.word_shingles("  " + " \n".join(w).upper() + " ").tolist()
+        runs = [tuple(w[i : i + 5]) for i in range(max(1, n - 4))] if w else []
+        assert len(got) == len(runs)
+        for run, h in zip(runs, got, strict=True):
+            assert seen.setdefault(run, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_equal_ids_of_different_texts(spark, monkeypatch):
     """Texts whose 64-bit ids are equal are told apart."""
     real = F.xxhash64
