@@ -158,7 +158,7 @@ WORDS = 5
 TOP, UNDER = 4, 5
 COMMON_LEAST = 2  # texts of a task's stretch of CHUNK shingles in which a shingle counts as common
 CHUNK = 4_000_000
-COMMON_SENT = 1_000_000  # common shingles, the most frequent first, that all executors get (16 MB); they set an order and change no result
+COMMON_SENT = 100_000  # common shingles, the most frequent first, that all executors get (2 MB); they set an order and change no result
 STEP = 1.03  # set sizes whose ratio is below this are one class
 
 
