@@ -77,20 +77,23 @@ def targets(cells: DataFrame) -> DataFrame:
     return out
 
 
+def present(goals: DataFrame, cells: DataFrame) -> DataFrame:
+    """Given goals (margin, value, target), those of values that cells have, scaled to add up to 1 for each margin."""
+    there = reduce(DataFrame.unionByName, (cells.select(F.lit(m).alias("margin"), F.col(m).cast("string").alias("value")).distinct() for m in POWERS))
+    goals = goals.filter("target > 0").join(there, ["margin", "value"], "left_semi")
+    return goals.withColumn("target", F.col("target") / F.sum("target").over(Window.partitionBy("margin")))
+
+
 def rake(cells: DataFrame, goals: DataFrame) -> DataFrame:
     """cells (source, lang, topic, tokens) with w: weights that meet the goals on every margin and add up to 1.
 
-    goals are rows (margin, value, target), whose targets count in proportion
-    for each margin; a value without one, or with one that no cell has, is not
-    drawn from. Cells without a token are left out. Each round is written to
-    the shared folder; its largest factor comes to the driver. Warns if ROUNDS
-    don't bring the margins to their targets; then the last weights count.
+    goals are rows (margin, value, target) that add up to 1 for each margin;
+    cells of a value without one are left out, as are those without a token.
+    Each round is written to the shared folder; its largest factor comes to the
+    driver. Warns if ROUNDS don't bring the margins to their targets; then the
+    last weights count.
     """
-    there = [cells.select(F.lit(m).alias("margin"), F.col(m).cast("string").alias("value")).distinct() for m in POWERS]
-    goals = goals.filter("target > 0").join(reduce(DataFrame.unionByName, there), ["margin", "value"], "left_semi")
-    goals = written(goals.withColumn("target", F.col("target") / F.sum("target").over(Window.partitionBy("margin"))), "mix-goals")
-    for m in POWERS:  # goals has a few rows a margin
-        cells = cells.join(goals.filter(F.col("margin") == m).select(F.col("value").alias(m)), m, "left_semi")
+    goals = written(goals, "mix-goals")
     total = cells.agg(F.sum("tokens").alias("all"))
     cells = cells.filter("tokens > 0").crossJoin(F.broadcast(total)).withColumn("w", F.col("tokens") / F.col("all")).drop("all")  # one row
     for _ in range(ROUNDS):
@@ -131,7 +134,8 @@ def mix(docs: DataFrame, keep: float = KEEP, looked: DataFrame | None = None, go
     """docs with the struct _mix, its p added, of the rows that are drawn.
 
     goals (margin, value, target) gives the target weights of the margins
-    source, lang and topic; without it targets() does. topic names a column.
+    source, lang and topic, in any proportion; values without one aren't drawn.
+    Without goals targets() gives them. topic names a column.
 
     A row is drawn by a hash of its doc_id, so rows that share one are drawn
     alike within a cell. Texts without a word have no weight and aren't drawn;
@@ -139,7 +143,7 @@ def mix(docs: DataFrame, keep: float = KEEP, looked: DataFrame | None = None, go
     """
     looked = look(docs, topic) if looked is None else looked
     cells = written(looked.groupBy("_mix.source", "_mix.lang", "_mix.topic").agg(F.sum("_mix.tokens").alias("tokens")).filter("tokens > 0"), "mix-cells")
-    p = written(probabilities(rake(cells, targets(cells) if goals is None else goals), keep).select(F.struct("source", "lang", "topic").alias("_cell"), F.col("p").alias("_p")), "mix-chances")
+    p = written(probabilities(rake(cells, targets(cells) if goals is None else present(goals, cells)), keep).select(F.struct("source", "lang", "topic").alias("_cell"), F.col("p").alias("_p")), "mix-chances")
     row = F.struct("_mix.source", "_mix.lang", "_mix.topic")
     drawn = looked.join(p, row == F.col("_cell")).filter(chance() < F.col("_p") * 2**32)
     return drawn.withColumn("_mix", F.col("_mix").withField("p", F.col("_p"))).drop("_cell", "_p")

@@ -158,8 +158,8 @@ WORDS = 5
 TOP, UNDER = 4, 5
 COMMON_LEAST = 2  # texts of a task's stretch of CHUNK shingles in which a shingle counts as common
 CHUNK = 4_000_000
-COMMON_SENT = 100_000  # common shingles, the most frequent first, that all executors get (2 MB); they set an order and change no result
-STEP = 1.03  # set sizes whose ratio is below this are one class
+COMMON_SENT = 30_000  # common shingles, the most frequent first, that all executors get (0.5 MB); they set an order and change no result
+STEP = 1.12  # set sizes whose ratio is below this are one class
 
 
 BLOCK = 1 << 16  # bytes of a text whose words are hashed at once
@@ -344,7 +344,7 @@ def similarity_links(nodes: DataFrame, texts: DataFrame, common, links: DataFram
     step = lambda n: F.floor(F.log(n) / F.log(F.lit(STEP))).cast("int")
     lo, hi = F.ceil(F.col("o_n") * TOP / UNDER), F.floor(F.least(F.col("o_n") * UNDER / TOP, F.col("o_rest") * (TOP + UNDER) / TOP - F.col("o_n")))
     out = rows.filter("root != most").select("key", *(F.col(c).alias(f"o_{c}") for c in ("id", "root", "n", "rest")))
-    out = out.filter(hi >= lo).withColumn("class", F.explode(F.sequence(step(lo) - 1, step(hi) + 1)))
+    out = out.filter(hi >= lo).withColumn("class", F.explode(F.sequence(step(lo), step(hi))))
     inner = rows.withColumn("class", step(F.col("n"))).drop("most")
     rest = out.join(inner, ["key", "class"]).filter((F.col("root") != F.col("o_root")) & enough("", "o_")).select(*pair("id", "o_id")).distinct()
     return links.unionByName(_similar(rest, texts))
@@ -353,8 +353,9 @@ def similarity_links(nodes: DataFrame, texts: DataFrame, common, links: DataFram
 def near_links(sketch: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect all texts (id, text) of enough similarity, from what _sketched() gave."""
     nodes = sketch.filter("shingle is null").select("id", "fp").distinct()
-    frequent = sketch.filter("shingle is not null").groupBy("shingle").agg(F.sum("texts").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON_SENT).toPandas().sort_values("shingle")
-    common = texts.sparkSession.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64), np.log2(frequent["n"].to_numpy(float)).astype(np.int64)))
+    frequent = sketch.filter("shingle is not null").groupBy("shingle").agg(F.sum("texts").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON_SENT)
+    told = frequent.agg(F.sort_array(F.collect_list(F.struct("shingle", F.floor(F.log2("n")).alias("rank")))).alias("all")).select("all.shingle", "all.rank").first()
+    common = texts.sparkSession.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in told))
     return similarity_links(nodes, texts, common, fingerprint_links(nodes, texts))
 
 
