@@ -26,12 +26,9 @@ KEEP = 0.8
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.5}
 SEED = "mix-1"
 
-#: Default topics are words of so many letters that this share of the texts has.
-TOPIC_LETTERS, TOPIC_SHARE = 4, (0.005, 0.25)
 OTHER = "other"
 
-_TOKENS = "size(filter(split(text, '[ \\t-\\r]+'), w -> w <> ''))"
-_LETTERS = "filter(array_distinct(split(lower(text), '[^a-zà-öø-ÿ]+')), w -> length(w) >= {})"
+_LOOK = "aggregate(split(text, '[ \\t-\\r]+'), named_struct('n', 0L, 'w', ''), (a, w) -> named_struct('n', a.n + if(w = '', 0L, 1L), 'w', if(length(w) > length(a.w) or (length(w) = length(a.w) and w > a.w), w, a.w)))"
 
 
 def chance(doc_id: str = "doc_id") -> Column:
@@ -39,32 +36,20 @@ def chance(doc_id: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{SEED}"))), 1, 8), 16, 10).cast("long")
 
 
-def topic_words(docs: DataFrame, n: int = TOPICS) -> list[str]:
-    """The n words that most texts have, of those that no more than TOPIC_SHARE of them have; the rarest first. n words come to the driver."""
-    total = docs.agg(F.count("text")).first()[0]
-    words = docs.select(F.explode(F.expr(_LETTERS.format(TOPIC_LETTERS))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    lo, hi = (share * total for share in TOPIC_SHARE)
-    return [r.w for r in words.filter((F.col("n") >= lo) & (F.col("n") <= hi)).orderBy(F.desc("n"), "w").limit(n).collect()][::-1]
-
-
-def topic_of(words: list[str]) -> Column:
-    """The first of the words that a text has, or OTHER."""
-    # bound as a lambda's variable, so that a text is split once
-    first = lambda mine: F.element_at(F.filter(F.array(*map(F.lit, words), F.lit(OTHER)), lambda w: (w == OTHER) | F.array_contains(mine, w)), 1)
-    return F.transform(F.array(F.expr(_LETTERS.format(TOPIC_LETTERS))), first)[0]
-
-
 def look(docs: DataFrame, topic: str | None = None) -> DataFrame:
     """docs with the struct _mix (source, lang, topic, tokens) of each row.
 
-    Tokens are words. topic names a column of docs; without one, a text's topic
-    is the rarest of the topic words that it has, or OTHER. Nulls count as ''
-    (of a topic, as OTHER). Columns of docs keep their names; _mix is refused.
+    Tokens are words. topic names a column of docs. Without one, texts are put
+    into TOPICS groups by the hash of their longest word: groups that say
+    nothing of content, but make the third margin for tables without topics.
+    Nulls count as '' (of a topic, as OTHER). Columns _mix and _look are refused.
     """
-    if "_mix" in docs.columns:
-        raise ValueError("docs has a column _mix")
-    t = F.coalesce(F.col(topic).cast("string"), F.lit(OTHER)) if topic else F.coalesce(topic_of(topic_words(docs)), F.lit(OTHER))
-    return docs.withColumn("_mix", F.struct(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), t.alias("topic"), F.coalesce(F.expr(_TOKENS), F.lit(0)).cast("long").alias("tokens")))
+    if bad := {"_mix", "_look"} & set(docs.columns):
+        raise ValueError(f"docs has columns {sorted(bad)}")
+    group = (F.conv(F.substring(F.md5("_look.w"), 1, 4), 16, 10).cast("int") % TOPICS).cast("string")
+    t = F.coalesce(F.col(topic).cast("string"), F.lit(OTHER)) if topic else group
+    d = docs.withColumn("_look", F.coalesce(F.expr(_LOOK), F.expr("named_struct('n', 0L, 'w', '')")))
+    return d.withColumn("_mix", F.struct(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), t.alias("topic"), F.col("_look.n").alias("tokens"))).drop("_look")
 
 
 def targets(cells: DataFrame) -> DataFrame:
