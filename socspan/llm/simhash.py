@@ -374,8 +374,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     text, salted = F.coalesce("text", F.lit("")), []
     while True:
         fields = _fields(text, salted)
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id")).alias("first")
-        copies = written(docs.select(*fields, F.col("doc_id").cast("long").alias("doc_id")).groupBy("id", "copy").agg(first), "near-copies")
+        occurrences = docs.select(*fields, F.col("doc_id").cast("long").alias("doc_id")).groupBy("id", "copy", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rows")).alias("first")
+        copies = written(occurrences.groupBy("id", "copy").agg(first), "near-copies")
         clash = [r[0] for r in copies.groupBy("id").count().filter("count > 1").select("id").collect()]  # one for 2^65 pairs of texts
         if not clash:
             break
@@ -384,6 +385,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     sketch = written(texts.mapInPandas(_sketched, SKETCH), "near-sketch")
     found = components(near_links(sketch, texts))
     rooted = copies.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    stays = rooted.groupBy("root").agg(F.min(F.struct("first", "copy")).alias("k")).select(F.col("k.copy").alias("_stay"), F.col("k.first.doc_id").alias("_first"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct("first", "copy")).alias("k")).select(F.col("k.copy").alias("_stay"), F.col("k.first.doc_id").alias("_first"), F.col("k.first.rows").alias("_rows"))
+    stays = written(stays, "near-stays")
     rows = docs.withColumn("_copy", F.md5(text)).join(stays, F.col("_copy") == F.col("_stay")).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_first")))
-    return rows.dropDuplicates(["_copy"]).select(*(docs[c] for c in docs.columns))
+    if not stays.filter("_rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["_copy"])
+    return rows.select(*(docs[c] for c in docs.columns))
