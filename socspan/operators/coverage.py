@@ -82,8 +82,8 @@ def perimeter_blind(assets: DataFrame, telemetry: DataFrame) -> DataFrame:
 
 def coverage_cells(space: DataFrame, results: DataFrame, limit: int = 500) -> DataFrame:
     """COV-07: the first cells of the heat map, each with the entity's first flagged negative-space finding."""
-    link = results.filter("is_flagged and signal_id like 'NS-%'").groupBy("entity_id").agg(F.min_by("finding_id", "signal_id").alias("finding_id"))
-    cells = space.join(link, "entity_id", "left").select("entity_id", "asset_id", "expected_source", "gap_flag", F.when(F.col("gap_flag"), "gap").otherwise("ok").alias("css"), "finding_id")
+    link = results.filter("is_flagged and signal_id like 'NS-%'").groupBy("entity_id").agg(F.min_by("finding_id", "signal_id").alias("finding_id"), F.min("signal_id").alias("linked_signal"))
+    cells = space.join(link, "entity_id", "left").select("entity_id", "asset_id", "expected_source", "gap_flag", F.when(F.col("gap_flag"), "gap").otherwise("ok").alias("css"), "finding_id", "linked_signal")
     return cells.orderBy("entity_id", "asset_id", "expected_source").limit(limit)
 
 

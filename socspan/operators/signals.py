@@ -209,5 +209,5 @@ def composites(results: DataFrame, trees: dict = COMPOSITES, seed: int = 42) ->
 
 def run_all(t, p: Params = DEFAULT) -> DataFrame:
     """SIG-F3: results of all signals and composites of all entities."""
-    r = evaluate(metrics(t, p), p=p)
+    r = evaluate(metrics(t, p), p=p).persist()  # few rows an entity, read by the composites too
     return r.unionByName(composites(r).drop("members_fired"))

@@ -1,8 +1,4 @@
-"""Queries of ingest, scoring, evidence, audit and validation.
-
-Those that read all findings leave out EG-010, whose note similarity has
-queries of its own.
-"""
+"""Queries of ingest, scoring, evidence, audit and validation."""
 
 from __future__ import annotations
 
@@ -18,15 +14,23 @@ from .common import Book
 from .entity_queries import mins
 
 _b = Book()
-RULES = [s for s in signals.SIGNALS if s.id != "EG-010"]
 
 
 def found(t) -> DataFrame:
-    """All findings but those of EG-010; kept, as the queries read them more than once."""
-    return signals.evaluate(signals.metrics(t, only=signals.needed(RULES)), signals=RULES).persist()
+    """The results of all signals and composites."""
+    return signals.run_all(t)
+
+
+ORDER = "list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)"
+_COLUMNS = "entity_id, high_band, signal_id, value, threshold, sample_size, is_flagged, score, severity, confidence, insufficient_data"
+
+
+def _composite(c: str) -> str:
+    ids = [m for m in signals.members(signals.COMPOSITES[c][1]) if m != "high_band"]
+    return f"select c.entity_id, h.high_band, signal_id, value, 1.0::double as threshold, {len(ids)}::bigint as sample_size, is_flagged, value as score, severity, confidence, false as insufficient_data from ({sq.composite(c).replace('from results', 'from base')}) c join (select entity_id, bool_or(high_band) as high_band from base group by 1) h using (entity_id)"
 
 
-RESULTS = [*sq.wide(signals.needed(RULES)), "results as (" + " union all ".join(map(sq.rule, RULES)) + ")"]
+RESULTS = [*sq.wide(), "base as materialized (" + " union all ".join(map(sq.rule, signals.SIGNALS)) + ")", f"results as materialized (select {_COLUMNS} from base union all " + " union all ".join(map(_composite, signals.COMPOSITES)) + ")"]
 _DOMAIN = "case " + " ".join(f"when signal_id in ({', '.join(repr(i) for i in ids)}) then '{d}'" for d, ids in scoring.DOMAINS.items()) + " else 'governance' end"
 _WEIGHT = "case severity " + " ".join(f"when '{k}' then {v}::double" for k, v in SEVERITY_WEIGHT.items()) + " end"
 CONTRIB = f"contrib as (select *, {_DOMAIN} as domain, case when is_flagged and not insufficient_data then least(1.0, greatest(0.0, score)) * {_WEIGHT} * 100 else 0.0 end as contribution from results)"
@@ -100,7 +104,7 @@ _b.add("exp_08_counterfactuals", lambda t: evidence.counterfactuals(found(t)).se
 _b.add("exp_10_narratives", lambda t: evidence.narratives(r := found(t), evidence.bundles(r, evidence.evidence_rows(t.cases))).select("entity_id", "signal_id", "narrative"))
 _b.add_raw("exp_11_guard", lambda s, d: evidence.guard(s.read.parquet(f"{d}/documents.parquet"), "doc_id"),
            f"select doc_id, case when regexp_matches(text, '{evidence.PERSONAL}') then 'personal data' when regexp_matches(text, '{evidence.PRESCRIPTIVE}') then 'prescriptive' when length(text) > 4000 then 'too long' end as failed from documents")
-_b.add("cov_07_cells", lambda t: coverage.coverage_cells(coverage.negative_space(t.assets, t.telemetry), found(t)).drop("finding_id"), "select entity_id, asset_id, expected_source, gap_flag, case when gap_flag then 'gap' else 'ok' end as css from space order by entity_id, asset_id, expected_source limit 500", *RESULTS)
+_b.add("cov_07_cells", lambda t: coverage.coverage_cells(coverage.negative_space(t.assets, t.telemetry), found(t)).drop("finding_id"), "select entity_id, asset_id, expected_source, gap_flag, case when gap_flag then 'gap' else 'ok' end as css, linked_signal from space left join (select entity_id, min(signal_id) as linked_signal from results where is_flagged and signal_id like 'NS-%' group by 1) using (entity_id) order by entity_id, asset_id, expected_source limit 500", *RESULTS)
 
 # Audit
 
@@ -131,7 +135,7 @@ _b.add("vld_01_expected", lambda t: validation.expected(labels(t)), "select enti
 _b.add("vld_04_ranked", lambda t: validation.ranked(_flag(t)).select("entity_id", "signal_id", F.col("rank").cast("long").alias("rank")), "select entity_id, signal_id, row_number() over (order by list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity) desc, round(score, 9) desc, entity_id, signal_id) as rank from results where is_flagged", *_V)
 _b.add("vld_05_precision", lambda t: validation.precision_at(_flag(t), validation.expected(labels(t))))
 _b.add("vld_06_recall", lambda t: validation.by_scenario(labels(t), _flag(t)), "select scenario_id, count(*) filter (where positive) as positives, count(*) filter (where positive and is_flagged) as hits, round(coalesce(count(*) filter (where positive and is_flagged) / nullif(count(*) filter (where positive), 0), 1.0), 6) as recall from (select l.*, coalesce(r.is_flagged, false) as is_flagged from lab l left join results r using (entity_id, signal_id)) group by 1", *_V)
-_FAM = "case when signal_id like 'NS-%' then 'negative_space' else 'execution_gap' end"
+_FAM = "case when signal_id like 'NS-%' then 'negative_space' when signal_id like 'COMP-%' then 'composite' else 'execution_gap' end"
 _b.add("vld_07_family", lambda t: validation.family_scores(_flag(t), validation.expected(labels(t))), f"select family, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 6) as f1 from (select {_FAM} as family, coalesce(count(*) filter (where predicted and actual) / nullif(count(*) filter (where predicted), 0), 1.0) as p, coalesce(count(*) filter (where predicted and actual) / nullif(count(*) filter (where actual), 0), 1.0) as r from cel group by 1)", *_V)
 _b.add("vld_10_compare", lambda t: validation.compare(_flag(t), labels(t)))
 _b.add("vld_11_ablation", lambda t: validation.ablate(_flag(t), labels(t)), f"select disabled, round(avg(predicted::int::double), 6) as baseline, round(avg((predicted and {_FAM} <> disabled)::int::double), 6) as recall, round(avg(predicted::int::double) - avg((predicted and {_FAM} <> disabled)::int::double), 6) as drop from cel cross join (select unnest(['execution_gap', 'negative_space', 'composite']) as disabled) where actual group by 1", *_V)
@@ -140,7 +144,9 @@ _b.add("vld_12_disagreements", lambda t: validation.disagreements(_flag(t), labe
 # Reports
 
 _b.add("rpt_01_findings", lambda t: reports.findings_table(r := found(t), evidence.bundles(r, evidence.evidence_rows(t.cases)), evidence.counterfactuals(r)).select("entity_id", "signal_id", "severity", "score", "n_supporting", "clearing_value"))
-_b.add("rpt_07_heatmap", lambda t: reports.heatmap(found(t), ["EG-001", "EG-002", "NS-001"]).toDF("entity_id", "eg_001", "eg_002", "ns_001"), "select entity_id, round(max(score) filter (where signal_id = 'EG-001'), 6) as eg_001, round(max(score) filter (where signal_id = 'EG-002'), 6) as eg_002, round(max(score) filter (where signal_id = 'NS-001'), 6) as ns_001 from results group by 1", *RESULTS)
+_IDS = [*(x.id for x in signals.SIGNALS), *signals.COMPOSITES]
+_plain = lambda i: i.lower().replace("-", "_")
+_b.add("rpt_07_heatmap", lambda t: reports.heatmap(found(t), _IDS).toDF("entity_id", *map(_plain, _IDS)), "select entity_id, " + ", ".join(f"round(max(score) filter (where signal_id = '{i}'), 6) as {_plain(i)}" for i in _IDS) + " from results group by 1", *RESULTS)
 _b.add("rpt_08_latency_histogram", lambda t: reports.latency_histogram(t.cases), f"select entity_id, cast(least(bins - 1, coalesce(floor((x - lo) / nullif((hi - lo) / bins, 0)), 0)) as int) as bin, count(*) as n from (select entity_id, x, min(x) over w as lo, max(x) over w as hi, least(20, greatest(5, floor(count(*) over w / 5))) as bins from (select entity_id, {mins('open_ts', 'close_ts')} as x from cases) where x >= 0 window w as (partition by entity_id)) group by 1, 2")
 _b.add("rpt_09_entities", lambda t: reports.select_rows(t.registry.select("entity_id", "sector"), ["entity_id"], sector="ASIA"), "select entity_id, sector from registry where sector = 'ASIA'")
 
