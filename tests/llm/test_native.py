@@ -16,10 +16,12 @@ def brute_lines(rows):
         lines = (text or "").split("\n")
         worded = [i for i, x in enumerate(lines) if re.search(r"[^ \t-\r]", x)]
         gone = set()
-        for k in range(len(worded) - ld.RUN + 1):
-            run = tuple(lines[i] for i in worded[k : k + ld.RUN])
-            gone |= set(range(k, k + ld.RUN)) if run in seen else set()
-            seen.add(run)
+        for k in range(len(worded)):
+            for n in range(1, ld.RUN + 1):
+                run = tuple(lines[i] for i in worded[k : k + n])
+                if len(run) == n and (n == ld.RUN or sum(len(re.findall(r"[^ \t-\r]+", x)) for x in run) > ld.LONG):
+                    gone |= set(range(k, k + n)) if run in seen else set()
+                    seen.add(run)
         runs = sum(k - 1 not in gone for k in gone)
         lost = {worded[k] for k in gone}
         kept = "\n".join(x for i, x in enumerate(lines) if i not in lost)
@@ -31,6 +33,8 @@ def test_line_dedup(spark):
     r = random.Random(5)
     rows = [(i, "\n".join(r.choice(["a", "b", "c", "", " ", "long line é"]) for _ in range(r.randint(0, 9)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "same\n" * 5000), (None, "p\nq\nr\ns"), (103, "x\np\nq\nr\ns\nt\n\np\nq\nr"), (2**60, "q\nr\ns")]
+    long = ["w " * n + str(n) for n in (24, 26, 49, 50, 51)]
+    rows += [(200 + i, "\n".join(r.choice([*long, *long, "a", "", f"own {r.random()}"]) for _ in range(r.randint(0, 5)))) for i in range(60)]
     df = spark.createDataFrame([(*x, "c", 1) for x in rows], "doc_id long, text string, start string, n_lines int")
     out = ld.dedup_lines(df)
     got = {x.doc_id: (x._dedup.n_lines, x._dedup.n_removed, x._dedup.n_runs, hashlib.md5(x._dedup.text.encode()).hexdigest()) for x in out.collect()}
