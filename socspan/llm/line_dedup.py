@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of
+from .common import docs_of, written
 
 RUN = 3  # lines from which a run counts
 LONG = 50  # words beyond which shorter runs count as well
@@ -31,7 +31,9 @@ _EXTENTS = f"""filter(flatten(transform(sequence(0, x.at), l -> transform(sequen
 _SELECTED = f"""filter(transform(_near, x -> named_struct('fingerprint', x.near[x.at].h, 'extents', transform({_EXTENTS}, w -> named_struct('start', x.pos - x.at + w.l, 'end', x.pos - x.at + w.r,
     'c', xxhash64(transform(slice(x.near, w.l + 1, w.r - w.l + 1), y -> y.h)), 'd', xxhash64(transform(slice(x.near, w.l + 1, w.r - w.l + 1), y -> y.g)))))), x -> size(x.extents) > 0)"""
 _COVERED = "coalesce(array_sort(array_distinct(flatten(transform(_late, x -> sequence(x.start, x.end))))), cast(array() as array<int>))"
-_GONE = "transform(_covered, k -> _lines[k].i)"
+#: Numbers of the lines with a word, where some of these are deleted.
+_WORDED = "if(_late is null, cast(array() as array<int>), transform(filter(transform(_split, (l, i) -> named_struct('i', i, 'worded', l rlike '[^ \\\\t-\\\\r]')), x -> x.worded), x -> x.i))"
+_GONE = "transform(_covered, k -> _worded[k])"
 _RUNS = "aggregate(_covered, named_struct('n', 0L, 'last', -2), (a, k) -> named_struct('n', a.n + if(k > a.last + 1, 1L, 0L), 'last', k), a -> a.n)"
 #: The stretches between deleted lines.
 _KEPT = """array_join(flatten(transform(sequence(0, size(_gone)), k -> slice(_split, if(k = 0, 0, _gone[k - 1] + 1) + 1,
@@ -40,13 +42,17 @@ _KEPT = """array_join(flatten(transform(sequence(0, size(_gone)), k -> slice(_sp
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    keys = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(text), "_split": F.split(text, "\n")})
-    return keys.withColumn("_lines", F.expr(_LINES))
+    return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(text), "_text": text})
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_split", F.split("_text", "\n"))
 
 
 def selected_positions(docs: DataFrame) -> DataFrame:
     """(fingerprint, _id, _hash, extents): each position that is the least of a window, once, with the windows that selected it."""
-    near = _keyed(docs.select("doc_id", "text")).filter(F.size("_lines") > 0).select("_id", "_hash", F.expr(_NEAR).alias("_near"))
+    lines = _split(_keyed(docs.select("doc_id", "text"))).withColumn("_lines", F.expr(_LINES))
+    near = lines.filter(F.size("_lines") > 0).select("_id", "_hash", F.expr(_NEAR).alias("_near"))
     return near.select("_id", "_hash", F.expr(f"inline({_SELECTED})"))
 
 
@@ -55,9 +61,10 @@ def repeated_extents(docs: DataFrame) -> DataFrame:
 
     Earlier is a smaller doc_id (null is the smallest; equal ones go by a hash
     of the text), or an earlier line of the same text. Lines are equal if two
-    64-bit hashes of theirs are.
+    64-bit hashes of theirs are. Selected positions are written to a table of
+    the shared folder first, as they are read by the count and by the join.
     """
-    positions = selected_positions(docs)
+    positions = written(selected_positions(docs), "line-positions")
     shared = positions.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     rows = positions.join(shared, "fingerprint", "left_semi").select("_id", "_hash", F.inline("extents"))
     first = rows.groupBy("c", "d").agg(F.min(F.struct("_id", "_hash", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -75,7 +82,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     late = repeated_extents(docs).withColumnsRenamed({"_id": "_late_id", "_hash": "_late_hash"})
     rows = _keyed(docs).join(late, F.col("_id").eqNullSafe(F.col("_late_id")) & (F.col("_hash") == F.col("_late_hash")), "left")
-    rows = rows.withColumn("_covered", F.expr(_COVERED)).withColumn("_gone", F.expr(_GONE))
+    rows = _split(rows).withColumns({"_covered": F.expr(_COVERED), "_worded": F.expr(_WORDED)}).withColumn("_gone", F.expr(_GONE))
     facts = F.struct(F.size("_split").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"), F.expr(_RUNS).alias("n_runs"), F.expr(_KEPT).alias("text"))
     return rows.select(*(docs[c] for c in docs.columns), facts.alias("_dedup"))
 
