@@ -279,11 +279,12 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     Each bit in which the bitmaps of two sets differ is an element that only
     one of them has, and similar sets have a ninth of both sizes of these at
-    most. Pairs that differ more go before the sets are fetched.
+    most. Pairs that differ more go before the sets are fetched. Copies of a
+    text are dropped in each task before they are sent.
     """
     pairs = written(pairs, "near-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    held = written(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", _sets("text").alias("x")).select("id", "x.*"), "near-sets")
+    held = written(texts.dropDuplicates(["id"]).join(ids, "id", "left_semi").select("id", _sets("text").alias("x")).select("id", "x.*"), "near-sets")
     side = lambda c, *cols: held.select(F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in cols))
     both = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(BITS // 64)))
