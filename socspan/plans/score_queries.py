@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.scalars import share
 from ..operators import audit, coverage, evidence, reports, scoring, signals, temporal, validation, workflow
 from ..params import DOMAIN_WEIGHTS, SEVERITY_WEIGHT
-from ..sources import ingest, sinks
+from ..sources import ingest, records, sinks, submission
 from . import signal_queries as sq
 from .common import Book
 from .entity_queries import mins
 
 _b = Book()
+AS_OF = "2030-01-01 00:00:00"
 
 
 def found(t) -> DataFrame:
@@ -63,11 +64,55 @@ _b.add("val_03_orphan_references", lambda t: ingest.check(t.alerts, "2030-01-01
 _b.add("val_06_scorecard", lambda t: ingest.scorecard(_checked(t)).select("entity_id", "total_rows", "valid_rows", "quarantined_rows", "quarantine_rate", ingest.health(F.col("quarantine_rate")).alias("health"), F.coalesce(F.try_element_at("reasons", F.lit("ENUM_INVALID")), F.lit(0)).alias("enum_invalid")),
        "select entity_id, total_rows, valid_rows, total_rows - valid_rows as quarantined_rows, round((total_rows - valid_rows) / total_rows, 6) as quarantine_rate, case when (total_rows - valid_rows) / total_rows >= 0.2 then 'POOR' when (total_rows - valid_rows) / total_rows >= 0.05 then 'DEGRADED' else 'HEALTHY' end as health, enum_invalid from (select entity_id, count(*) as total_rows, count(*) filter (where reason is null) as valid_rows, count(*) filter (where reason = 'ENUM_INVALID') as enum_invalid from checked group by 1)", CHECKED)
 _b.add("snk_02_quarantine_append", lambda t: ingest.append_new(q := ingest.quarantine(_checked(t), "run"), q.filter("reason_code = 'ENUM_INVALID'")).groupBy("entity_id", "reason_code").agg(F.count(F.lit(1)).alias("n")), "select entity_id, reason as reason_code, count(*) as n from checked where reason is not null and reason <> 'ENUM_INVALID' group by 1, 2", CHECKED)
-_raw = lambda t: t.alerts.select("entity_id", F.concat(F.lit("="), "alert_id").alias("Alert-ID"), F.col("asset_id").alias("Host"), F.col("title").alias("Name"), F.element_at(F.array(F.lit(" p1"), F.lit("Med"), F.lit("weird")), (F.col("alert_id").cast("int") % 3 + 1)).alias("Priority"), F.lower("status").alias("State"), F.date_format("detected_ts", "dd/MM/yyyy HH:mm").alias("Timestamp"))
-_b.add("map_01_map_alerts", lambda t: ingest.map_alerts(_raw(t), "Asia/Kolkata").select("entity_id", "alert_id", "asset_id", "severity_norm", "status", "category", "detected_ts"),
+_raw = lambda t: t.alerts.select("entity_id", F.concat(F.lit("="), "alert_id").alias("Alert-ID"), F.col("asset_id").alias("Host ID"), F.col("title").alias("Alert Name"), F.element_at(F.array(F.lit(" p1"), F.lit("Med"), F.lit("weird")), (F.col("alert_id").cast("int") % 3 + 1)).alias("Priority"), F.lower("status").alias("State"), F.date_format("detected_ts", "dd/MM/yyyy HH:mm").alias("Timestamp"))
+_b.add("map_01_map_alerts", lambda t: submission.map_table(_raw(t), "alerts", AS_OF, zone="Asia/Kolkata").select("entity_id", "alert_id", "asset_id", "severity_norm", "status", "category", "detected_ts"),
        "select entity_id, alert_id, asset_id, case alert_id::int % 3 when 0 then 'CRITICAL' when 1 then 'MEDIUM' else 'UNKNOWN' end as severity_norm, status, 'SECURITY' as category, date_trunc('minute', detected_ts) - interval 330 minute as detected_ts from alerts")
-_b.add("map_09_derived_cases", lambda t: ingest.derived_cases(t.alerts).select("entity_id", "case_id", "status", "disposition_code"), "select entity_id, 'case-' || alert_id as case_id, case when i % 2 = 0 then 'CLOSED' else 'OPEN' end as status, case when i % 3 = 0 then 'TRUE_POSITIVE' else 'FALSE_POSITIVE' end as disposition_code from (select *, row_number() over (partition by entity_id order by alert_id) - 1 as i from alerts)")
-_b.add("map_10_derived_assets", lambda t: ingest.derived_assets(t.alerts).select("entity_id", "asset_id", "criticality", "os_family", "internet_facing"), "select entity_id, asset_id, case when i % 3 = 0 then 'high' else 'medium' end as criticality, case when i % 2 = 0 then 'linux' else 'windows' end as os_family, i % 2 = 0 as internet_facing from (select *, row_number() over (partition by entity_id order by asset_id) - 1 as i from (select distinct entity_id, asset_id from alerts))")
+_PLACE = lambda key, rows: f"select *, row_number() over (partition by entity_id order by sha256({key})) - 1 as i from {rows}"
+_b.add("map_09_derived_cases", lambda t: submission.derived_cases(t.alerts).select("entity_id", "case_id", "status", "disposition_code", "open_ts", "close_ts"),
+       f"select entity_id, 'CAS-' || alert_id as case_id, case when i % 2 = 0 then 'CLOSED' else 'OPEN' end as status, case when i % 3 = 0 then 'TRUE_POSITIVE' else 'BENIGN' end as disposition_code, detected_ts as open_ts, case when i % 2 = 0 then detected_ts end as close_ts from ({_PLACE('alert_id', 'alerts')})")
+_SEEN = "(select distinct entity_id, asset_id from alerts)"
+_b.add("map_10_derived_assets", lambda t: submission.derived_assets(t.alerts), f"select entity_id, asset_id, lower(replace(asset_id, ' ', '-')) || '.corp' as hostname, case when i % 2 = 0 then 'high' else 'medium' end as criticality, 'production' as environment, case when i % 2 = 0 then 'linux' else 'windows' end as os_family, i % 3 = 0 as internet_facing from ({_PLACE('asset_id', _SEEN)})")
+_b.add("map_11_derived_telemetry", lambda t: submission.derived_telemetry(t.alerts, AS_OF), f"select entity_id, 'TEL-' || entity_id || '-' || asset_id as telemetry_id, asset_id, 'edr_sensor' as source, timestamp '{AS_OF}' as observed_ts from {_SEEN}")
+
+
+def _sent(t) -> dict[str, DataFrame]:
+    """Raw tables as entities send them: every third entity has no inventory, every fourth no cases, none has telemetry; some rows lack what they need."""
+    at = lambda df: df.join(t.registry.select("entity_id", "nk"), "entity_id")
+    return {
+        "alerts": _raw(t).withColumn("Host ID", F.when(F.col("Alert-ID").endswith("3"), F.lit(None)).otherwise(F.col("Host ID"))),
+        "assets": at(t.assets).filter("nk % 3 > 0").select("entity_id", "asset_id", F.col("hostname").alias("Host Name"), F.nullif("criticality", F.lit("low")).alias("Asset Criticality"), F.col("environment").alias("env"), F.col("os_family").alias("OS"), F.col("internet_facing").cast("string").alias("Internet Exposed"), F.lit("x").alias("extra")),
+        "cases": at(t.cases).filter("nk % 4 > 0").select("entity_id", F.col("case_id").alias("Incident ID"), F.col("severity_norm").alias("Priority"), F.expr("case when ok % 10 = 0 then 'gone away' else lower(status) end").alias("State"), F.date_format("open_ts", "yyyy-MM-dd HH:mm:ss").alias("Opened"), F.date_format("close_ts", "yyyy-MM-dd HH:mm:ss").alias("Closed")),
+        "investigations": t.investigations.select("entity_id", F.col("investigation_id").alias("id"), "case_id", F.col("notes").alias("Comments")),
+        "escalations": t.escalations.select("entity_id", "escalation_id", "case_id", F.lower("from_tier").alias("source_tier"), F.col("to_tier").alias("target tier")),
+    }
+
+
+def _submitted(t) -> submission.Submission:
+    return submission.materialize(_sent(t), "run", AS_OF)
+
+
+_SUBMITTED = [
+    "kr as (select r.nk, x.* from cases x join registry r using (entity_id))",
+    "ar as (select r.nk, x.* from assets x join registry r using (entity_id))",
+    "al as (select r.nk, x.*, alert_id like '%3' as bad from alerts x join registry r using (entity_id))",
+    "sent as (select entity_id, 'alerts' as record_type, bad from al union all select entity_id, 'assets', criticality = 'low' from ar where nk % 3 > 0 "
+    "union all select entity_id, 'assets', false from (select distinct entity_id, asset_id from al where nk % 3 = 0 and not bad) "
+    "union all select entity_id, 'cases', ok % 10 = 0 from kr where nk % 4 > 0 union all select entity_id, 'cases', false from al where nk % 4 = 0 "
+    "union all select entity_id, 'investigations', false from investigations union all select entity_id, 'escalations', false from escalations "
+    "union all select entity_id, 'telemetry', false from (select distinct entity_id, asset_id from al where not bad))",
+]
+_b.add("map_13_submission", lambda t: _submitted(t).report, "select entity_id, record_type, count(*) as total_rows, count(*) filter (where not bad) as valid_rows, count(*) filter (where bad) as quarantined_rows from sent group by 1, 2", *_SUBMITTED)
+_b.add("map_13_rejected", lambda t: _submitted(t).rejected.groupBy("entity_id", "record_type", "reason_code").agg(F.sum("copies").alias("n")), "select entity_id, record_type, case when record_type = 'cases' then 'ENUM_INVALID' else 'REQUIRED_MISSING' end as reason_code, count(*)::bigint as n from sent where bad group by 1, 2", *_SUBMITTED)
+_b.add("map_13_assets", lambda t: _submitted(t).tables["assets"].select("entity_id", "asset_id", "hostname", "criticality", "environment", "os_family", "internet_facing"),
+       f"select entity_id, asset_id, hostname, criticality, environment, os_family, internet_facing from ar where nk % 3 > 0 and criticality <> 'low' union all select entity_id, asset_id, lower(asset_id) || '.corp', case when i % 2 = 0 then 'high' else 'medium' end, 'production', case when i % 2 = 0 then 'linux' else 'windows' end, i % 3 = 0 from ({_PLACE('asset_id', '(select distinct entity_id, asset_id from al where nk % 3 = 0 and not bad)')})", *_SUBMITTED)
+_three = lambda t: {"alerts": t.alerts, "cases": t.cases.drop("ok", "alert_ids"), "investigations": t.investigations}
+_b.add("rpt_02_quality", lambda t: records.quality(_three(t), ingest.quarantine(_checked(t), "run")),
+       "select entity_id, total, greatest(0, total - bad) as valid, bad as quarantined, round(bad / greatest(1, total), 4) as quarantine_rate, empty as null_cells, case when bad > 0 then 'partial feed' else '-' end as top_reason from (select entity_id, sum(n)::bigint as total, sum(e)::bigint as empty, sum(b)::bigint as bad from (select entity_id, 1 as n, (alert_id is null)::int + (asset_id is null)::int + (title is null)::int + (severity_norm is null)::int + (status is null)::int + (category is null)::int + (analyst_id is null)::int + (detected_ts is null)::int + (ack_ts is null)::int + (ingest_ts is null)::int as e, 0 as b from alerts "
+       "union all select entity_id, 1, (asset_id is null)::int + (severity_norm is null)::int + (status is null)::int + (tier is null)::int + (reopen_count is null)::int + (analyst_id is null)::int + (alert_ref is null)::int + (is_duplicate_of is null)::int + (open_ts is null)::int + (detected_ts is null)::int + (ack_ts is null)::int + (disposition_code is null)::int + (close_ts is null)::int, (reason is not null)::int from checked "
+       "union all select entity_id, 1, (case_id is null)::int + (analyst_id is null)::int + (notes is null)::int, 0 from investigations) group by 1)", CHECKED)
+_b.add("src_09_entities", lambda t: records.entities(t.registry, t.alerts), "select distinct entity_id from alerts")
+_b.add("src_17_quarantine_rate", lambda t: records.quarantine_rates(ingest.quarantine(_checked(t), "run"), t.alerts), "select entity_id, round(coalesce(b, 0) / greatest(1, coalesce(n, 0)), 6) as quarantine_rate from (select entity_id, count(*) as n from alerts group by 1) full join (select entity_id, count(*) as b from checked where reason is not null group by 1) using (entity_id)", CHECKED)
+_b.add("scr_06_windows", lambda t: records.window_labels(t.registry, t.alerts), "select entity_id, coalesce(strftime(min(detected_ts), '%Y-%m-%d') || '..' || strftime(max(detected_ts), '%Y-%m-%d'), 'unknown') as \"window\" from registry left join alerts using (entity_id) group by 1")
 _b.add("snk_04_upsert", lambda t: sinks.upsert(t.assets.filter("cast(asset_id as int) % 2 = 0").withColumn("hostname", F.lit("new")), t.assets, "asset_id").select("asset_id", "hostname"), "select asset_id, case when asset_id::int % 2 = 0 then 'new' else hostname end as hostname from assets")
 
 _b.add("scr_05_ranking", lambda t: _scored(t).select("entity_id", "queue", "rank", "score", "completeness", "confidence"))

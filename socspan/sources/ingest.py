@@ -1,21 +1,15 @@
-"""Reading, mapping, validating and quarantining raw submissions (SRC-*, MAP-*, VAL-*, SNK-01..03)."""
+"""Reading, mapping, validating and quarantining raw submissions (SRC-01..08, MAP-05, MAP-07, VAL-*, SNK-02); whole submissions are in submission."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import minutes_between, pseudonym, strip_formula
+from ..functions.scalars import minutes_between
 from ..params import DEFAULT, DISPOSITIONS, SEVERITIES, SEVERITY_MAP, STATUSES, TIERS, Params
 
 #: Time formats that are tried in order.
 TIME_FORMATS = ["yyyy-MM-dd'T'HH:mm:ssZ", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm"]
-#: Names under which submissions send the canonical columns.
-ALIASES = {
-    "alert_id": ["alertid", "id", "alertnumber", "eventid"], "asset_id": ["assetid", "asset", "host", "hostname", "device"], "title": ["title", "name", "summary", "alertname"],
-    "severity_raw": ["severityraw", "severity", "priority", "level"], "status": ["status", "state"], "category": ["category", "type", "alerttype"],
-    "detected_ts": ["detectedts", "detected", "timestamp", "createdat", "time"], "ack_ts": ["ackts", "acknowledged", "ackat"],
-}
 TIMES = ["detected_ts", "ack_ts", "triage_start_ts", "triage_end_ts", "open_ts", "close_ts"]
 
 
@@ -41,21 +35,10 @@ def read_submissions(spark: SparkSession, base: str, table: str, suffix: str) ->
 
 
 def read_corpus(spark: SparkSession, base: str, table: str, schema: str) -> DataFrame:
-    """SRC-08, SRC-09: canonical parquet of all entities; columns missing from a file are null."""
+    """SRC-08: canonical parquet of all entities; columns missing from a file are null."""
     return spark.read.schema(schema).parquet(f"{base}/{table}")
 
 
-def alias_mapping(columns: list[str]) -> dict[str, str]:
-    """MAP-02: canonical column -> source column, ignoring case and punctuation; the first in source order wins, canonical names pass through."""
-    plain = {c: "".join(x for x in c.lower() if x.isalnum()) for c in columns}
-    out = {}
-    for target, names in ALIASES.items():
-        hit = next((c for c in columns if c == target), None) or next((c for c in columns if plain[c] in names), None)
-        if hit:
-            out[target] = hit
-    return out | {c: c for c in columns if c not in out.values() and c not in out}
-
-
 def parse_time(c: Column, zone: str = "UTC", formats: list[str] = TIME_FORMATS) -> Column:
     """MAP-07: text in the first format that fits, as UTC; times without an offset are of the zone. Null where none fits."""
     out = []
@@ -71,32 +54,6 @@ def severity_norm(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.upper(F.trim(raw))), F.lit("UNKNOWN"))
 
 
-def map_alerts(raw: DataFrame, zone: str = "UTC", salt: str = "") -> DataFrame:
-    """MAP-01, MAP-08, MAP-12: raw text rows as canonical alerts, with offset, hashes and the row as it came."""
-    m = alias_mapping([c for c in raw.columns if c != "entity_id"])
-    text = lambda t: strip_formula(F.col(m[t]).cast("string")) if t in m else F.lit(None).cast("string")
-    status = F.upper(F.replace(F.trim(text("status")), F.lit(" "), F.lit("_")))
-    source = F.sha2(F.to_json(F.struct(*sorted(raw.columns)), {"ignoreNullFields": "false"}), 256)
-    return raw.select(
-        "entity_id", text("alert_id").alias("alert_id"), text("asset_id").alias("asset_id"), F.coalesce(text("title"), F.lit("")).alias("title"), text("severity_raw").alias("severity_raw"), severity_norm(text("severity_raw")).alias("severity_norm"),
-        F.when(status.isin(STATUSES), status).otherwise("OPEN").alias("status"), F.coalesce(F.nullif(F.trim(text("category")), F.lit("")), F.lit("SECURITY")).alias("category"),
-        *(parse_time(text(t), zone).alias(t) for t in ("detected_ts", "ack_ts")), F.regexp_extract(text("detected_ts"), "([+-]\\d{2}:?\\d{2})$", 1).alias("detected_ts_orig_offset"),
-        (pseudonym(F.col(m["analyst_id"]), salt) if "analyst_id" in m else F.lit(None).cast("string")).alias("analyst_id"), source.alias("record_hash"),
-    )
-
-
-def derived_cases(alerts: DataFrame) -> DataFrame:
-    """MAP-09: a case for each alert where a submission has none; closed on even positions, true positive on every third."""
-    d = alerts.withColumn("i", F.row_number().over(Window.partitionBy("entity_id").orderBy("alert_id")) - 1)
-    return d.select("entity_id", F.concat(F.lit("case-"), "alert_id").alias("case_id"), "asset_id", F.array("alert_id").alias("alert_ids"), "severity_norm", F.when(F.col("i") % 2 == 0, "CLOSED").otherwise("OPEN").alias("status"), F.when(F.col("i") % 3 == 0, "TRUE_POSITIVE").otherwise("FALSE_POSITIVE").alias("disposition_code"), F.col("detected_ts").alias("open_ts"))
-
-
-def derived_assets(alerts: DataFrame) -> DataFrame:
-    """MAP-10, MAP-11: distinct assets of alerts with a profile by position; each also sends one edr row of telemetry."""
-    d = alerts.filter("asset_id is not null").select("entity_id", "asset_id").distinct().withColumn("i", F.row_number().over(Window.partitionBy("entity_id").orderBy("asset_id")) - 1)
-    return d.select("entity_id", "asset_id", F.when(F.col("i") % 3 == 0, "high").otherwise("medium").alias("criticality"), F.lit("production").alias("environment"), F.when(F.col("i") % 2 == 0, "linux").otherwise("windows").alias("os_family"), (F.col("i") % 2 == 0).alias("internet_facing"), F.lit("edr_sensor").alias("telemetry_source"))
-
-
 def check(rows: DataFrame, as_of: str, required: list[str], enums: dict[str, list[str]], assets: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
     """VAL-01..05: rows with reason: the first rule broken, of future times, order of times, unknown asset, missing value, unknown enum; else null."""
     late = F.lit(as_of).cast("timestamp") + F.expr(f"interval {p.future_seconds} seconds")
@@ -118,10 +75,13 @@ CASE_ENUMS = {"severity_norm": SEVERITIES, "status": STATUSES, "disposition_code
 
 
 def quarantine(checked: DataFrame, run_id: str) -> DataFrame:
-    """VAL-05, VAL-07: rejected rows as text, with a fingerprint that doesn't depend on the run."""
-    raw = F.substring(F.to_json(F.struct(*(c for c in checked.columns if c != "reason"))), 1, 500)
-    d = checked.filter("reason is not null").select("entity_id", F.lit(run_id).alias("run_id"), F.col("reason").alias("reason_code"), raw.alias("details"))
-    return d.withColumn("_fingerprint", F.sha2(F.concat_ws("|", "entity_id", "reason_code", "details"), 256))
+    """VAL-05, VAL-07: rejected rows as text, equal ones once with their number of copies, and a fingerprint of the whole row that doesn't depend on the run.
+
+    details is the row's first 500 characters, for display.
+    """
+    raw = F.to_json(F.struct(*(c for c in checked.columns if c != "reason")), {"ignoreNullFields": "false"})
+    d = checked.filter("reason is not null").groupBy("entity_id", F.col("reason").alias("reason_code"), raw.alias("raw_record")).agg(F.count(F.lit(1)).alias("copies"))
+    return d.select("entity_id", F.lit(run_id).alias("run_id"), "reason_code", "raw_record", "copies", F.substring("raw_record", 1, 500).alias("details"), F.sha2(F.concat_ws("|", "entity_id", "reason_code", "copies", "raw_record"), 256).alias("_fingerprint"))
 
 
 def append_new(new: DataFrame, existing: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from socspan.functions import scalars as fn
 from socspan.operators import audit, coverage, evidence, peers, scoring, signals, temporal, text, validation, workflow
-from socspan.sources import ingest, sinks
+from socspan.sources import ingest, records, sinks, submission
 
 T0 = datetime(2024, 1, 1, 12)
 
@@ -152,8 +152,8 @@ def test_ledger(spark):
 
 
 def test_ingest(spark):
-    raw = spark.createDataFrame([("e", "=a1", "h1", "P1 ", "2024-01-02T03:04:05+0530", "closed"), ("e", "a2", "h2", "odd", "02/01/2024 03:04", None)], "entity_id string, `Alert ID` string, host string, Severity string, detected string, state string")
-    a, b = sorted(ingest.map_alerts(raw, "Asia/Kolkata").collect(), key=lambda r: r.alert_id)
+    raw = spark.createDataFrame([("e", "=a1", "h1", "P1 ", "2024-01-02T03:04:05+0530", "closed"), ("e", "a2", "h2", "odd", "02/01/2024 03:04", None)], "entity_id string, `Alert ID` string, `host-id` string, Severity string, created_at string, state string")
+    a, b = sorted(submission.map_table(raw, "alerts", "2024-02-01 00:00:00", zone="Asia/Kolkata").collect(), key=lambda r: r.alert_id)
     assert (a.alert_id, a.severity_norm, a.status, a.detected_ts, a.detected_ts_orig_offset) == ("a1", "CRITICAL", "CLOSED", datetime(2024, 1, 1, 21, 34, 5), "+0530")
     assert (b.severity_norm, b.status, b.detected_ts) == ("UNKNOWN", "OPEN", datetime(2024, 1, 1, 21, 34))
     rows = spark.createDataFrame([("e", "1", T0, T0, "HIGH"), ("e", "2", T0, T0 - timedelta(hours=1), "HIGH"), ("e", "3", T0 + timedelta(days=99), T0, "HIGH"), ("e", None, T0, T0, "HIGH"), ("e", "5", T0, T0, "BANANA"), ("e", "6", None, None, None)], "entity_id string, alert_id string, detected_ts timestamp, ack_ts timestamp, severity_norm string")
@@ -180,6 +180,64 @@ def test_files(spark, tmp_path):
     assert {(r.entity_id, r.x) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("a", 5), ("b", 2)}
 
 
+def test_submission(spark, tmp_path):
+    raw = {
+        "alerts": spark.createDataFrame([("e", "a1", " ", "P1", "2024-01-02 03:04:05"), ("e", "", "h", None, "no time"), ("f", "a1", None, "P2", None)], "entity_id string, id string, hostname string, priority string, timestamp string"),
+        "escalations": spark.createDataFrame([("e", "x", "c", " t 1 ", "extra")], "entity_id string, id string, incident_id string, source_tier string, other string"),
+    }
+    s = submission.materialize(raw, "r", "2024-02-01 00:00:00", {"escalations": {"escalation_id": submission.Field("id"), "case_id": submission.Field("incident_id", hashed=True), "from_tier": submission.Field("source_tier")}}, salt="s")
+    counts = {(r.entity_id, r.record_type): (r.total_rows, r.valid_rows) for r in s.report.collect()}
+    assert counts == {("e", "alerts"): (2, 1), ("f", "alerts"): (1, 0), ("e", "cases"): (2, 1), ("f", "cases"): (1, 0), ("e", "assets"): (2, 2), ("e", "telemetry"): (2, 2), ("e", "escalations"): (1, 0)}
+    a = s.tables["alerts"].first()
+    assert (a.alert_id, a.asset_id, a.severity_norm, a.status, a.category) == ("a1", "AST-e-01", "CRITICAL", "OPEN", "SECURITY") and a.title.startswith("Alert ") and len(a.record_hash) == 64
+    assert {(r.record_type, r.entity_id, r.reason_code) for r in s.rejected.collect()} == {("alerts", "e", "REQUIRED_MISSING"), ("alerts", "f", "REQUIRED_MISSING"), ("cases", "e", "REQUIRED_MISSING"), ("cases", "f", "REQUIRED_MISSING"), ("escalations", "e", "ENUM_INVALID")}
+    submission.write_submission(s, f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out/assets").count() == 2 and spark.read.json(f"{tmp_path}/out/ingest_report").count() == 7
+    none = submission.materialize({t: df.limit(0) for t, df in raw.items()}, "r", "2024-02-01 00:00:00")
+    assert none.report.count() == 0 and none.rejected.count() == 0
+    with pytest.raises(ValueError):
+        submission.materialize({}, "r", "2024-02-01 00:00:00")
+    hundred = spark.range(300).select(F.lit("e").alias("entity_id"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    assert sorted(r.i for r in submission.numbered(hundred, "h").collect()) == list(range(300))
+
+
+def test_quarantine_keeps_copies(spark):
+    long = "x" * 600
+    rows = spark.createDataFrame([("e", long + "1", "R"), ("e", long + "2", "R"), ("e", long + "2", "R"), ("e", None, "R"), ("e", "fine", None)], "entity_id string, v string, reason string")
+    q = ingest.quarantine(rows, "run")
+    assert sorted(r.copies for r in q.collect()) == [1, 1, 2] and q.select("_fingerprint").distinct().count() == 3
+
+
+def test_readers(spark, tmp_path):
+    labels = spark.createDataFrame([("e", "EG-001", "", 1, None, "why"), ("f", "EG-002", "MEDIUM", 0, 0.5, "")], "entity_id string, signal_id string, severity string, expected_flag int, confidence double, rationale string")
+    assert sorted((r.entity_id, r.severity, r.confidence, r.note) for r in records.expert_labels(labels).collect()) == [("e", "HIGH", 0.0, "why"), ("f", "MEDIUM", 0.5, None)]
+    other = spark.createDataFrame([("e", "S1", "n")], "entity_id string, issue_type string, note string")
+    assert records.expert_labels(other).first() == ("e", "S1", "LOW", "synthetic", 1.0, "n")
+    assert records.training_labels(other) is None and records.training_labels(labels.limit(0)) is None and records.training_labels(labels).count() == 2
+    for read in (records.ledger, records.adjudications):
+        assert read(spark, f"{tmp_path}/none").count() == 0
+    runs, last = records.review_runs(spark, f"{tmp_path}/none.json")
+    assert runs.count() == 0 and last.count() == 0
+    (tmp_path / "h.json").write_text('{"runs": [{"run_id": "r0", "queue": [{"entity_id": "e", "signal_id": "s"}]},\n {"run_id": "r1", "queue": []}], "last_reviewed": {"e": "2024-01-01T00:00:00"}}')
+    runs, last = records.review_runs(spark, f"{tmp_path}/h.json")
+    assert [tuple(r) for r in runs.collect()] == [("r0", 0, "e", "s")] and [tuple(r) for r in last.collect()] == [("e", datetime(2024, 1, 1))]
+    (tmp_path / "l.jsonl").write_text('{"run_id": "r", "seq": 1}\n\n{"run_id": "r", "seq": 2}\n')
+    assert records.ledger(spark, f"{tmp_path}/l.jsonl").count() == 2
+    (tmp_path / "bad.jsonl").write_text('{"run_id": "r", "seq": 1}\n{oops\n')
+    with pytest.raises(Exception):
+        records.ledger(spark, f"{tmp_path}/bad.jsonl").collect()
+    (tmp_path / "v.jsonl").write_text('{"disagreement_id": "d", "verdict": "agree"}\n')
+    assert records.adjudications(spark, f"{tmp_path}/v.jsonl").first().verdict == "agree"
+    (tmp_path / "a.csv").write_bytes(b"x")
+    assert submission.file_hashes(spark, f"{tmp_path}/a.csv").first().source_file_hash == hashlib.sha256(b"x").hexdigest()
+
+
+def test_oracles_are_sql():
+    import __spark_entry__ as entry
+
+    assert all(isinstance(v, str) and "select" in v for v in entry.oracle_sql().values()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_validation(spark):
     labels = spark.createDataFrame([("e", "EG-001", "S1", "HIGH", ""), ("e", "NS-001", None, "LOW", "planted"), ("f", "EG-001", "S1", "LOW", "not planted")], "entity_id string, signal_id string, scenario_id string, severity string, note string")
     found = spark.createDataFrame([("e", "EG-001", "HIGH", 1.0), ("f", "EG-001", "HIGH", 0.5)], "entity_id string, signal_id string, severity string, score double")
