@@ -36,6 +36,26 @@ def reasons(results: DataFrame) -> DataFrame:
     return results.select("finding_id", "entity_id", "signal_id", F.concat(F.lit("RC-"), "signal_id").alias("code"), names[F.col("signal_id")].alias("label"), F.when(F.col("insufficient_data"), F.lit("not enough data")).otherwise(text).alias("sentence"))
 
 
+def find_finding(results: DataFrame, finding: str) -> DataFrame:
+    """EXP-04: the result with this finding_id; raises KeyError where there is none."""
+    found = results.filter(F.col("finding_id") == finding)
+    if found.isEmpty():
+        raise KeyError(f"finding not found: {finding}")
+    return found
+
+
+def explain(results: DataFrame, bundle: DataFrame, confidence: DataFrame, ledger: DataFrame) -> DataFrame:
+    """EXP-12: reason, evidence, counterfactual, confidence and ledger entry of each given finding, one row each.
+
+    confidence has a row for each entity (confidence, confidence_reason);
+    ledger entries name their finding in payload_json. What isn't there is
+    null; of more entries for a finding the first counts.
+    """
+    seq = ledger.groupBy(F.get_json_object("payload_json", "$.finding_id").alias("finding_id")).agg(F.min("seq").alias("audit_seq"), F.min_by("entry_hash", "seq").alias("audit_hash"))
+    d = reasons(results).join(bundle.drop("entity_id", "signal_id"), "finding_id", "left").join(counterfactuals(results).select("finding_id", "clearing_value", F.col("reason").alias("no_clearing")), "finding_id", "left")
+    return d.join(confidence.select("entity_id", "confidence", "confidence_reason"), "entity_id", "left").join(seq, "finding_id", "left")
+
+
 def composite_members(results: DataFrame) -> DataFrame:
     """EXP-06, EXP-13: members of each composite by entity, fired and not."""
     ids = F.array(*(F.struct(F.lit(c).alias("composite"), F.lit(m).alias("member")) for c, (_, t) in COMPOSITES.items() for m in members(t) if m != "high_band"))

@@ -140,10 +140,13 @@ _b.add_raw("scr_19_fingerprint", lambda s, d: scoring.fingerprint(_labelled(s, d
 
 # Evidence
 
-_b.add("exp_01_evidence_rows", lambda t: evidence.evidence_rows(t.cases).select("entity_id", "signal_id", "row_id"),
-       f"select entity_id, signal_id, row_id from (select *, row_number() over (partition by entity_id, signal_id order by row_id) as k from (select entity_id, case_id as row_id, unnest(list_filter([case when severity_norm = 'CRITICAL' and {mins('open_ts', 'close_ts')} >= 0 and {mins('open_ts', 'close_ts')} < 5 then 'EG-001' end, case when reopen_count >= 2 then 'EG-002' end, case when {mins('open_ts', 'close_ts')} > 72 * 60 then 'EG-005' end, case when hour(close_ts) >= 22 or hour(close_ts) < 6 then 'EG-008' end, case when alert_ref is null then 'EG-012' end], lambda x: x is not null)) as signal_id from cases)) where k <= 5")
+EVIDENCE = f"select entity_id, signal_id, row_id from (select *, row_number() over (partition by entity_id, signal_id order by row_id) as k from (select entity_id, case_id as row_id, unnest(list_filter([case when severity_norm = 'CRITICAL' and {mins('open_ts', 'close_ts')} >= 0 and {mins('open_ts', 'close_ts')} < 5 then 'EG-001' end, case when reopen_count >= 2 then 'EG-002' end, case when {mins('open_ts', 'close_ts')} > 72 * 60 then 'EG-005' end, case when hour(close_ts) >= 22 or hour(close_ts) < 6 then 'EG-008' end, case when alert_ref is null then 'EG-012' end], lambda x: x is not null)) as signal_id from cases)) where k <= 5"
+_b.add("exp_01_evidence_rows", lambda t: evidence.evidence_rows(t.cases).select("entity_id", "signal_id", "row_id"), EVIDENCE)
 _b.add("exp_02_bundles", lambda t: evidence.bundles(found(t), evidence.evidence_rows(t.cases)).select("entity_id", "signal_id", F.size("supporting").alias("n_supporting"), "absent_reason", "evidence_id"))
 _b.add("exp_05_reasons", lambda t: evidence.reasons(found(t)).select("entity_id", "signal_id", "code", "label", "sentence"))
+_logged = lambda r: audit.build_chain(r.filter("is_flagged").select(F.col("entity_id").alias("run_id"), F.row_number().over(temporal.Window.partitionBy("entity_id").orderBy("signal_id")).alias("seq"), F.lit("2024-02-01 00:00:00").alias("ts"), F.lit("FINDING").alias("event_type"), F.to_json(F.struct("finding_id")).alias("payload_json")))
+_b.add("exp_12_explain", lambda t: evidence.explain(r := found(t), evidence.bundles(r, evidence.evidence_rows(t.cases)), _scored(t), _logged(r)).select("entity_id", "signal_id", "code", F.size("supporting").cast("long").alias("n_supporting"), "clearing_value", F.col("confidence").isNotNull().alias("has_confidence"), F.col("audit_seq").cast("long").alias("audit_seq")),
+       f"select r.entity_id, r.signal_id, 'RC-' || r.signal_id as code, coalesce(e.n, 0) as n_supporting, case when not insufficient_data and is_flagged and r.signal_id like 'EG-%' then round(threshold - greatest(abs(threshold), 1.0) * 1e-6, 6) end as clearing_value, true as has_confidence, l.audit_seq from results r left join (select entity_id, signal_id, count(*) as n from ({EVIDENCE}) group by 1, 2) e on e.entity_id = r.entity_id and e.signal_id = r.signal_id left join (select entity_id, signal_id, row_number() over (partition by entity_id order by signal_id) as audit_seq from results where is_flagged) l on l.entity_id = r.entity_id and l.signal_id = r.signal_id", *RESULTS)
 _b.add("exp_06_composite_members", lambda t: evidence.composite_members(found(t)), "select entity_id, composite, coalesce(string_agg(case when is_flagged then signal_id end, ',' order by signal_id), '') as fired, coalesce(string_agg(case when not is_flagged then signal_id end, ',' order by signal_id), '') as counter from results join (" + " union all ".join(f"select '{c}' as composite, '{m}' as member" for c, (_, tr) in signals.COMPOSITES.items() for m in signals.members(tr) if m != "high_band") + ") m on m.member = signal_id group by 1, 2", *RESULTS)
 _b.add("exp_08_counterfactuals", lambda t: evidence.counterfactuals(found(t)).select("entity_id", "signal_id", "clearing_value", "reason"), "select entity_id, signal_id, case when not insufficient_data and is_flagged and signal_id like 'EG-%' then round(threshold - greatest(abs(threshold), 1.0) * 1e-6, 6) end as clearing_value, case when insufficient_data then 'insufficient data' when not is_flagged then 'not firing' when signal_id not like 'EG-%' then 'not a single measure' end as reason from results", *RESULTS)
 _b.add("exp_10_narratives", lambda t: evidence.narratives(r := found(t), evidence.bundles(r, evidence.evidence_rows(t.cases))).select("entity_id", "signal_id", "narrative"))

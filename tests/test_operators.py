@@ -258,6 +258,13 @@ def test_guard_and_coverage(spark):
     assert space.filter("gap_flag").count() == 4 and space.count() == 5
 
 
+def test_find_finding(spark):
+    r = spark.createDataFrame([("f1", "e"), ("f2", "e")], "finding_id string, entity_id string")
+    assert evidence.find_finding(r, "f2").count() == 1
+    with pytest.raises(KeyError):
+        evidence.find_finding(r, "f3")
+
+
 def test_signal_invariants(spark):
     from socspan.plans.views import canonical
 
