@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,24 @@ from pyspark.sql import types as T
 BATCH_ROWS = 500
 
 
+def refuse(df: DataFrame, *names: str) -> DataFrame:
+    """df, if none of its columns has one of these names, which an operator adds or uses; else a ValueError says which."""
+    if clash := sorted({c for c in df.columns if c.lower() in {n.lower() for n in names}}):
+        raise ValueError(f"columns named {', '.join(clash)} are in the way; rename them first")
+    return df
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors see.
 
-    Where that setting is missing (a local session in tests), a temporary
-    folder of this machine is set as checkpoint folder first.
+    Where that setting is missing in a local session (as in tests), a temporary
+    folder of this machine is set as checkpoint folder first; a cluster must
+    name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="socspan-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -51,6 +62,11 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def embeddings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings table."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_pack, warc
+from . import decontaminate, language_id, line_dedup, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_pack, warc, whitening
 
 QUERIES = {
     "op1_token_pack": token_pack.op1_token_pack,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_language_id": language_id.op10_language_id,
+    "op11_whitening": whitening.op11_whitening,
 }
 
 ORACLES: dict[str, str] = {
