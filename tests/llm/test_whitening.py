@@ -98,7 +98,7 @@ def test_few_dimensions_large_entries_and_names(spark):
     m = w.fit(df)
     assert m.components.shape == (2, 3)  # the third dimension is constant
     out = w.whiten(df, m)
-    assert out.columns == [*df.columns, "_white"] and w.identity_error(out) < 1e-9
+    assert out.columns == [*df.columns, "_white"] and w.identity_error(out) < 1e-4  # of entries of 1e12 that nearly cancel
     assert out.filter("_white.deviation is null").count() == out.count()
     with pytest.raises(ValueError, match="_White"):
         w.whiten(df.withColumnRenamed("label", "_White"), m)
