@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fill_middle, language_id, line_dedup, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_pack, warc, whitening
+from . import decontaminate, fill_middle, language_id, line_dedup, mixing, piece_codec, quality_model, quality_rules, simhash, suffix_dedup, token_pack, warc, whitening
 
 QUERIES = {
     "op1_token_pack": token_pack.op1_token_pack,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_language_id": language_id.op10_language_id,
     "op11_whitening": whitening.op11_whitening,
+    "op12_piece_codec": piece_codec.op12_piece_codec,
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op5_warc": warc.OP5_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op12_piece_codec": piece_codec.op12_piece_codec,
     "op13_fill_middle": fill_middle.OP13_SQL,
 }
