@@ -3,17 +3,16 @@
 With the marker standing for a space, a text is a row of chunks: markers, then
 other characters. Where no piece of the model has a marker after another
 character (checked on the vocabulary), nothing is ever merged across a chunk's
-start, so chunks can be segmented one by one:
-
-1. tasks cut their texts in blocks of whole documents, give each distinct
-   chunk of a block a number, and write the documents as numbers;
-2. the distinct chunks of all blocks are found by Spark, and the library
-   segments each of them once: the chunk table;
-3. a block's chunks are joined with the table, and ids are put back in place
-   of the numbers, block by block.
-
-A chunk meets the table once a block however often it occurs, so the most
-frequent word costs a row a block. Ids are decoded in the same way.
+start, so chunks can be segmented one by one.
+
+A task keeps a table of the distinct chunks it has met, each with a number.
+The texts of a batch become numbers first; the chunks new to the table are
+segmented by the library in one call, each once, and decoded once; then ids,
+their decimals and the decoded text are joined back by position. Rows never
+leave their task: a table for the whole corpus would send every chunk of every
+task through three exchanges to save segmenting it a second time (see README
+for figures). The table is begun anew at TABLE_CHARS characters, so memory is
+bounded.
 """
 
 from __future__ import annotations
@@ -21,19 +20,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import docs_of, refuse, short_batches, struct_of, written
+from .common import docs_of, refuse, short_batches, struct_of
 
 MARKER = "▁"
-BLOCK_CHARS = 8 << 20  # a block of documents is closed when it has so many characters
+TABLE_CHARS = 16 << 20  # a table with so many characters of chunks is given up for a new one
 _CHUNK = re.compile(f"{MARKER}+[^{MARKER}]*")
 
 
@@ -71,61 +69,42 @@ def chunks_of(text: str) -> list[str]:
     return _CHUNK.findall(MARKER + text.replace(" ", MARKER)) if text else []
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as numbers of their block's chunks (int32), and at each block's end a row with its distinct chunks."""
-    block, numbers, size, schema = TaskContext.get().partitionId() << 32, {}, 0, None
+class ChunkTable:
+    """Distinct chunks by number, with their ids, the decimals of these and the decoded text."""
+
+    def __init__(self, of: Codec):
+        self.codec = of
+        self.clear()
 
-    def rows(row: pa.Array, blocks: list[int], codes: list[bytes | None], chunks: list[list[str] | None]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), row, pa.array(codes, pa.binary()), pa.array(chunks, pa.list_(pa.string()))], ["block", "_row", "codes", "chunks"])
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.ids: list[list[int]] = []
+        self.decimals: list[str] = []
+        self.surface: list[str] = []
+        self.chars = 0
 
-    for batch in batches:
-        schema, blocks, codes = batch.schema.field("_row").type, [], []
-        for text in batch.column("_text").to_pylist():
-            if size >= BLOCK_CHARS:
-                yield rows(pa.nulls(1, schema), [block], [None], [list(numbers)])
-                block, numbers, size = block + 1, {}, 0
+    def place(self, texts: list[str]) -> list[list[int]]:
+        """The texts as numbers of chunks; chunks not yet there are added."""
+        if self.chars > TABLE_CHARS:
+            self.clear()
+        numbers, known, out = self.numbers, len(self.numbers), []
+        for text in texts:
             found = chunks_of(text)
             for c in found:
                 if c not in numbers:
                     numbers[c] = len(numbers)
-            blocks.append(block)
-            codes.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)).tobytes())
-            size += len(text)
-        yield rows(batch.column("_row"), blocks, codes, [None] * len(codes))
-    if numbers:
-        yield rows(pa.nulls(1, schema), [block], [None], [list(numbers)])
-
-
-def chunk_table(chunks: DataFrame, model: str) -> DataFrame:
-    """(chunk, ids, surface) of each distinct chunk of chunks (chunk)."""
-
-    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
-        for batch in batches:
-            ids = c.segment(batch.column("chunk").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(ids, pa.list_(pa.int32())), pa.array(c.surface(ids), pa.string())], ["chunk", "ids", "surface"])
-
-    return chunks.select("chunk").distinct().mapInArrow(segmented, "chunk string, ids array<int>, surface string")
-
+            out.append([numbers[c] for c in found])
+        new = list(numbers)[known:] if known < len(numbers) else []
+        ids = self.codec.segment(new)
+        self.ids += ids
+        self.decimals += [",".join(map(str, x)) for x in ids]
+        self.surface += self.codec.surface(ids)
+        self.chars += sum(map(len, new))
+        return out
 
-def _joined(full: bool, out: pa.Schema):
-    """A block's documents with its chunks' ids, by number: what the texts become."""
 
-    def block(docs: pa.Table, table: pa.Table) -> pa.Table:
-        table = table.sort_by("code")
-        ids, surface = table.column("ids").to_pylist(), table.column("surface").to_pylist()
-        said = [",".join(map(str, x)) for x in ids]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        found = []
-        for codes in docs.column("codes").to_pylist():
-            at = np.frombuffer(codes, np.int32).tolist()
-            decoded = "".join([surface[c] for c in at])[1:]
-            text_ids = [i for c in at for i in ids[c]] if full else None
-            sha = (hashlib.sha256(x.encode()).hexdigest() for x in (",".join([said[c] for c in at]), decoded))
-            found.append({"n_tokens": int(sizes[at].sum()), "ids_sha256": next(sha), "decoded_sha256": next(sha), "ids": text_ids, "decoded": decoded if full else None})
-        return pa.Table.from_arrays([docs.column("_row").combine_chunks(), pa.array(found, out.field("_pieces").type)], schema=out)
-
-    return block
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 PIECES = T.StructType([*struct_of("n_tokens long, ids_sha256 string, decoded_sha256 string").fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
@@ -137,23 +116,28 @@ def encode(docs: DataFrame, model: str, full: bool = True) -> DataFrame:
     The ids are those of the library's encode() of the whole text without begin
     and end ids, the decoded text is that of its decode() of these ids. Null
     text counts as empty; repeated rows all stay; an empty table stays empty; a
-    text without spaces is one chunk however long. Columns _pieces, _row and
-    _text are refused, all others are kept whatever their names.
+    text without spaces is one chunk however long. Columns _pieces and _text
+    are refused, all others are kept whatever their names.
     """
-    refuse(docs, "_pieces", "_row", "_text")
+    refuse(docs, "_pieces", "_text")
     short_batches(docs.sparkSession)
     codec(model)  # refuses an unfit model here rather than in tasks
     kept = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*(docs[c] for c in kept)).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
-    row = T.StructField("_row", rows.schema["_row"].dataType)
-    coded = T.StructType([T.StructField("block", T.LongType()), row, T.StructField("codes", T.BinaryType()), T.StructField("chunks", T.ArrayType(T.StringType()))])
-    blocks = written(rows.mapInArrow(_coded, coded), "piece-codes")
-    uses = blocks.filter("codes is null").select(F.col("block").alias("at"), F.posexplode("chunks").alias("code", "chunk"))
-    table = written(chunk_table(uses, model), "piece-table")
-    found = uses.join(table, "chunk").select("at", "code", "ids", "surface")
-    out = T.StructType([row, T.StructField("_pieces", PIECES)])
-    grouped = blocks.filter("codes is not null").select("block", "_row", "codes").groupBy("block").cogroup(found.groupBy("at"))
-    return grouped.applyInArrow(_joined(full, to_arrow_schema(out)), out).select(*(F.col("_row")[c].alias(c) for c in kept), "_pieces")
+    pieces = to_arrow_schema(T.StructType([T.StructField("_pieces", PIECES)])).field("_pieces").type
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ChunkTable(codec(model))
+        for batch in batches:
+            found = []
+            for codes in table.place(batch.column("_text").to_pylist()):
+                decoded = "".join([table.surface[c] for c in codes])[1:]
+                ids = list(chain.from_iterable([table.ids[c] for c in codes])) if full else None
+                n = sum([len(table.ids[c]) for c in codes])
+                found.append({"n_tokens": n, "ids_sha256": _sha256(",".join([table.decimals[c] for c in codes])), "decoded_sha256": _sha256(decoded), "ids": ids, "decoded": decoded if full else None})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pieces)], [*kept, "_pieces"])
+
+    rows = docs.select(*(docs[c] for c in kept), F.coalesce("text", F.lit("")).alias("_text"))
+    return rows.mapInArrow(encoded, T.StructType([*rows.drop("_text").schema.fields, T.StructField("_pieces", PIECES)]))
 
 
 def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

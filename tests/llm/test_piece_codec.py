@@ -25,9 +25,7 @@ def texts():
     return out + ["".join(r.choices(BITS, k=r.randint(1, 40))) for _ in range(500)]
 
 
-@pytest.mark.parametrize("block", [1, 900, 1 << 23])
-def test_against_library(spark, lib, monkeypatch, block):
-    monkeypatch.setattr(pc, "BLOCK_CHARS", block)
+def test_against_library(spark, lib):
     rows = [(i if i % 50 else None, t) for i, t in enumerate(texts())] + [(3, "twice"), (3, "twice")]
     df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, ids string, block int").repartition(3)
     out = pc.encode(df, MODEL)
@@ -45,18 +43,23 @@ def test_query(spark, lib, tmp_path):
     assert {r[0]: tuple(r[1:]) for r in pc.op12_piece_codec(spark, str(tmp_path)).collect()} == want
 
 
-def test_each_chunk_is_segmented_once(spark):
-    df = spark.createDataFrame([(f"▁{w}",) for w in ["a", "b", "a", "c", "a"] * 20], "chunk string").repartition(4)
-    rows = pc.chunk_table(df, MODEL).collect()
-    assert sorted(r.chunk for r in rows) == ["▁a", "▁b", "▁c"]
+def test_each_chunk_is_segmented_once(lib, monkeypatch):
+    table, asked = pc.ChunkTable(pc.codec(MODEL)), []
+    monkeypatch.setattr(table.codec, "segment", lambda chunks, f=table.codec.segment: asked.extend(chunks) or f(chunks))
+    for batch in (["a b a", "", "b c", "a  b"], ["c a", "d"]):
+        for text, codes in zip(batch, table.place(batch), strict=True):
+            assert [i for c in codes for i in table.ids[c]] == lib.encode(text)
+    assert asked == ["▁a", "▁b", "▁c", "▁▁b", "▁d"]
+    monkeypatch.setattr(pc, "TABLE_CHARS", 3)
+    assert [table.ids[c] for c in table.place(["d"])[0]] == [lib.encode("d")] and len(table.numbers) == 1
 
 
 def test_empty_and_names(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pc.encode(df, MODEL).count() == 0
     assert pc.encode(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), MODEL).select("_pieces.n_tokens").collect() == [(0,), (0,)]
-    with pytest.raises(ValueError, match="_row"):
-        pc.encode(df.withColumnRenamed("doc_id", "_row"), MODEL)
+    with pytest.raises(ValueError, match="_text"):
+        pc.encode(df.withColumnRenamed("doc_id", "_text"), MODEL)
 
 
 def test_unfit_model_is_refused(monkeypatch):
