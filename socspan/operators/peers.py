@@ -6,8 +6,11 @@ Peers of an entity are all others, or those of its cohort.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import finite, normal_pvalue
 from ..params import DEFAULT, Params
@@ -30,17 +33,73 @@ def peer_values(values: DataFrame, extra: Column | None = None) -> DataFrame:
     return pairs if extra is None else pairs.filter(extra)
 
 
-def modified_z(values: DataFrame, pairs: DataFrame) -> DataFrame:
-    """PEER-01, ENT-07: z of each value among its peers: by MAD, else IQR, else range, else 0."""
-    keys = ["entity_id", "metric"]
-    s = pairs.groupBy(*keys).agg(F.first("value").alias("value"), F.count("peer").alias("n_peers"), F.median("peer").alias("median"), F.percentile("peer", F.lit(0.75)).alias("q75"), F.percentile("peer", F.lit(0.25)).alias("q25"), (F.max("peer") - F.min("peer")).alias("span"))
-    off = pairs.select(*keys, "peer").join(s.select(*keys, "median"), keys).groupBy(*keys).agg(F.median(F.abs(F.col("peer") - F.col("median"))).alias("mad"))
-    s = s.drop("value").join(off, keys)
-    d = values.select(*keys, "value").join(s, keys, "left")
+def _without_each(a: np.ndarray, at: np.ndarray, q: float) -> np.ndarray:
+    """Quantile q of the sorted a without the element at each place; a place past the end leaves all in."""
+    left = len(a) - (at < len(a)) - 1
+    pos = q * left
+    low, high = np.floor(pos).astype(int), np.ceil(pos).astype(int)
+    x, y = (a[np.minimum(k + (k >= at), len(a) - 1)] for k in (low, high))
+    return x + (y - x) * (pos - low)
+
+
+def _left_out(table: pa.Table) -> pa.Table:
+    """Statistics of a group's values without each entity's own.
+
+    Ranks say where the own value lies among the sorted ones, so every order
+    statistic of the others is an index. Leaving one out gives three medians
+    at most; for each, the sorted deviations are indexed in the same way.
+    """
+    v = table.column("value").to_numpy(zero_copy_only=False).astype(float)
+    mine = np.isfinite(v)
+    a = np.sort(v[mine])
+    at = np.full(len(v), len(a))
+    at[np.flatnonzero(mine)[np.argsort(v[mine], kind="stable")]] = np.arange(len(a))
+    n = len(a) - mine
+    out = {"n_peers": n, "below": np.searchsorted(a, v)}
+    out |= {k: np.full(len(v), np.nan) for k in ("median", "q25", "q75", "span", "mad")}
+    some = n > 0
+    if some.any():
+        at = at[some]
+        q = {k: _without_each(a, at, x) for k, x in (("median", 0.5), ("q25", 0.25), ("q75", 0.75), ("low", 0.0), ("high", 1.0))}
+        mad = np.zeros(len(at))
+        for m in np.unique(q["median"]):
+            off = np.abs(a - m)
+            order = np.argsort(off, kind="stable")
+            place = np.full(len(a) + 1, len(a))
+            place[order] = np.arange(len(a))
+            here = q["median"] == m
+            mad[here] = _without_each(off[order], place[at[here]], 0.5)
+        for k, x in {"median": q["median"], "q25": q["q25"], "q75": q["q75"], "span": q["high"] - q["low"], "mad": mad}.items():
+            out[k][some] = x
+    names = [c for c in table.column_names if c != "value"]
+    return pa.table({**{c: table.column(c) for c in names}, **{k: pa.array(x, pa.int64() if k in ("n_peers", "below") else pa.float64(), mask=None if k == "n_peers" else ~some) for k, x in out.items()}})
+
+
+def left_out(values: DataFrame, *groups: str) -> DataFrame:
+    """PEER-01, ENT-07: (groups, metric, entity_id, n_peers, below, median, q25, q75, span, mad) of the others' finite values.
+
+    No pairs of entities are made: a group's values, one double an entity, are
+    sorted once. A group without others has null statistics.
+    """
+    keys = [*groups, "metric"]
+    rows = values.select(*keys, "entity_id", F.col("value").cast("double").alias("value"))
+    out = T.StructType([*(f for f in rows.schema if f.name != "value"), *(T.StructField(c, T.LongType()) for c in ("n_peers", "below")), *(T.StructField(c, T.DoubleType()) for c in ("median", "q25", "q75", "span", "mad"))])
+    return rows.groupBy(*keys).applyInArrow(_left_out, out)
+
+
+def scored(stats: DataFrame) -> DataFrame:
+    """stats with z and method of value among the others: by MAD, else IQR, else range, else 0."""
     x, iqr = F.col("value") - F.col("median"), F.col("q75") - F.col("q25")
     z = F.when(F.col("mad") > 0, 0.6745 * x / F.col("mad")).when(iqr > 0, 0.7413 * x / F.nullif(iqr, F.lit(0.0))).when(F.col("span") > 0, x / F.nullif(F.col("span"), F.lit(0.0))).otherwise(0.0)
     method = F.when(F.col("mad") > 0, "MAD").when(iqr > 0, "IQR").when(F.col("span") > 0, "RANGE").otherwise("SKIP")
-    return d.select(*keys, "value", "median", "mad", F.coalesce("n_peers", F.lit(0)).alias("n_peers"), z.alias("z"), method.alias("method"))
+    return stats.withColumns({"z": z, "method": method})
+
+
+def modified_z(values: DataFrame) -> DataFrame:
+    """PEER-01, ENT-07: z of each value (entity_id, metric, value) among those of all other entities."""
+    keys = ["entity_id", "metric"]
+    d = values.select(*keys, "value").join(left_out(values), keys)
+    return scored(d).select(*keys, "value", "median", "mad", "n_peers", "z", "method")
 
 
 def benjamini_hochberg(p_values: DataFrame, keys: list[str], tie: str = "metric") -> DataFrame:
@@ -55,7 +114,7 @@ def benjamini_hochberg(p_values: DataFrame, keys: list[str], tie: str = "metric"
 def peer_tests(features: DataFrame, metrics: list[str] = PEER_METRICS) -> DataFrame:
     """z, p and adjusted p of each entity's metrics among all other entities."""
     values = long_form(features, metrics)
-    z = modified_z(values, peer_values(values))
+    z = modified_z(values)
     return benjamini_hochberg(z.withColumn("p", normal_pvalue(F.col("z"))), ["entity_id"])
 
 
@@ -67,13 +126,12 @@ def cohorts(registry: DataFrame) -> DataFrame:
 def benchmark(features: DataFrame, registry: DataFrame, metrics: list[str], p: Params = DEFAULT) -> DataFrame:
     """PEER-03: z and percentile rank among the cohort, or among all entities (with a confidence penalty) where it has too few others."""
     values = long_form(features, metrics).join(cohorts(registry), "entity_id", "left").withColumn("cohort_id", F.coalesce("cohort_id", F.lit("GLOBAL")))
-    pairs = peer_values(values)
-    own = pairs.groupBy("entity_id", "metric").agg(F.count_if(F.col("cohort_id") == F.col("peer_cohort_id")).alias("cohort_n"))
-    pairs = pairs.join(own, ["entity_id", "metric"])
-    pairs = pairs.filter((F.col("cohort_n") < p.cohort_min) | (F.col("cohort_id") == F.col("peer_cohort_id")))
-    below = pairs.groupBy("entity_id", "metric").agg((F.count_if(F.col("peer") < F.col("value")) / F.count("peer")).alias("percentile_rank"))
-    z = modified_z(values, pairs)
-    d = z.join(own, ["entity_id", "metric"], "left").join(below, ["entity_id", "metric"], "left")
-    n = F.coalesce("cohort_n", F.lit(0))
-    penalty = F.when(n >= p.cohort_min, 0.0).when(n <= 1, p.cohort_penalty_most).otherwise(p.cohort_penalty)
-    return d.select("entity_id", "metric", "value", "median", "z", "method", n.alias("cohort_n"), (n < p.cohort_min).alias("fell_back"), penalty.alias("penalty"), F.coalesce("percentile_rank", F.lit(0.0)).alias("percentile_rank"))
+    keys, facts = ["entity_id", "metric"], ["n_peers", "below", "median", "q25", "q75", "span", "mad"]
+    near = left_out(values, "cohort_id").select(*keys, F.struct(*facts).alias("near"))
+    far = left_out(values).select(*keys, F.struct(*facts).alias("far"))
+    enough = F.col("near.n_peers") >= p.cohort_min
+    d = values.join(near, keys).join(far, keys).withColumn("s", F.when(enough, F.col("near")).otherwise(F.col("far")))
+    n = F.col("near.n_peers")
+    penalty = F.when(enough, 0.0).when(n <= 1, p.cohort_penalty_most).otherwise(p.cohort_penalty)
+    d = scored(d.select(*keys, "value", "s.*", n.alias("cohort_n"), (~enough).alias("fell_back"), penalty.alias("penalty")))
+    return d.select(*keys, "value", "median", "z", "method", "cohort_n", "fell_back", "penalty", F.coalesce(F.col("below") / F.col("n_peers"), F.lit(0.0)).alias("percentile_rank"))

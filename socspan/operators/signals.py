@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp01, clean_float, finding_id, share
+from ..functions.tables import written
 from ..params import DEFAULT, SEVERITY_RANK, Params
 from .coverage import coverage_summary, daily_alerts, detrended, facing_assets, is_critical, is_facing, perimeter_blind
 from .temporal import bursts
@@ -68,6 +69,7 @@ COMPOSITES = {
     "COMP-003": ("Metric theatre", ("and", "EG-007", "EG-010", "EG-006")),
 }
 
+RULES_AT_ONCE = 7  # rules in one generated method; more don't fit into 64 KB of code
 SEVERITY_ORDER = ["INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
 CONFIDENCE_ORDER = ["LOW", "MEDIUM", "HIGH"]
 
@@ -81,7 +83,7 @@ def asset_counts(assets: DataFrame, alerts: DataFrame, telemetry: DataFrame) ->
     seen = alerts.filter("asset_id is not null").select("entity_id", "asset_id", F.lit(True).alias("alerted")).distinct()
     a = assets.join(seen, ["entity_id", "asset_id"], "left")
     silent = F.col("alerted").isNull()
-    n = a.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_assets"), F.count_if(is_critical()).alias("n_critical_assets"), F.count_if(is_critical() & silent).alias("critical_silent"), F.count_if(is_facing()).alias("n_facing"), F.count_if(is_facing() & silent).alias("facing_silent"), F.coalesce(F.bool_or(F.upper("criticality") == "HIGH"), F.lit(False)).alias("high_band"))
+    n = a.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_assets"), F.count_if(is_critical()).alias("n_critical_assets"), F.count_if(is_critical() & silent).alias("critical_silent"), F.count_if(is_facing()).alias("n_facing"), F.count_if(is_facing() & silent).alias("facing_silent"))
     blind = perimeter_blind(assets, telemetry).groupBy("entity_id").agg(F.count(F.lit(1)).alias("perimeter_blind"))
     return n.join(blind, "entity_id", "left")
 
@@ -111,10 +113,9 @@ def gaming(rates: DataFrame) -> DataFrame:
 
 def category_z(coverage: DataFrame) -> DataFrame:
     """Input of NS-003: modified z of the number of missing categories among the other entities."""
-    from .peers import long_form, modified_z, peer_values
+    from .peers import long_form, modified_z
 
-    v = long_form(coverage, ["category_missing"])
-    return modified_z(v, peer_values(v)).select("entity_id", F.col("z").alias("category_z"))
+    return modified_z(long_form(coverage, ["category_missing"])).select("entity_id", F.col("z").alias("category_z"))
 
 
 def needed(signals: list[Signal]) -> set[str]:
@@ -141,7 +142,8 @@ def metrics(t, p: Params = DEFAULT, only: set[str] | None = None) -> DataFrame:
         "n_escalations nowhere_rate": lambda: t.escalations.join(c, ["entity_id", "case_id"], "left").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_escalations"), share(nowhere).alias("nowhere_rate")),
         "telemetry_gap_ratio silence_max category_missing tactic_coverage expected_absent_count space_rows": lambda: cover,
         "category_z": lambda: category_z(cover),
-        "n_assets n_critical_assets critical_silent n_facing facing_silent high_band perimeter_blind": lambda: asset_counts(t.assets, t.alerts, t.telemetry),
+        "high_band": lambda: t.assets.groupBy("entity_id").agg(F.coalesce(F.bool_or(F.upper("criticality") == "HIGH"), F.lit(False)).alias("high_band")),
+        "n_assets n_critical_assets critical_silent n_facing facing_silent perimeter_blind": lambda: asset_counts(t.assets, t.alerts, t.telemetry),
         "n_days residual_mean_7 residual_std": lambda: activity(t.alerts, p),
         "n_windows feed_baseline feed_now": lambda: feed_windows(t.alerts, p),
     }
@@ -155,14 +157,21 @@ def metrics(t, p: Params = DEFAULT, only: set[str] | None = None) -> DataFrame:
 
 def evaluate(wide: DataFrame, window: Column | None = None, p: Params = DEFAULT, seed: int = 42, signals: list[Signal] = SIGNALS) -> DataFrame:
     """SIG-F1, SIG-F2: the long results of all signals from metrics(): value, flag, score, and the gate for small samples."""
+    out = None
+    for some in (signals[i : i + RULES_AT_ONCE] for i in range(0, len(signals), RULES_AT_ONCE)):
+        part = wide.select("entity_id", "high_band", F.inline(F.array(*_rules(some, p))))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("finding_id", finding_id(F.col("signal_id"), F.col("entity_id"), F.lit("") if window is None else window, seed))
+
+
+def _rules(signals: list[Signal], p: Params) -> list[Column]:
     rules = []
     for s in signals:
         enough = F.coalesce(F.expr((s.gate or f"{s.n} >= {{min_n}}").format(min_n=p.min_n, perfect_min=max(p.min_n, p.perfect_min))), F.lit(False))
         value = F.when(enough, clean_float(F.expr(s.value).cast("double"))).otherwise(0.0)
         flag = F.expr(s.flag) if s.flag else value >= s.threshold
         rules.append(F.struct(F.lit(s.id).alias("signal_id"), value.alias("value"), F.lit(float(s.threshold)).alias("threshold"), F.expr(s.n).cast("long").alias("sample_size"), (enough & F.coalesce(flag, F.lit(False))).alias("is_flagged"), F.when(enough, clamp01(value / s.threshold)).otherwise(0.0).alias("score"), F.when(enough, s.severity).otherwise("INFO").alias("severity"), F.when(enough, s.confidence).otherwise("LOW").alias("confidence"), (~enough).alias("insufficient_data")))
-    d = wide.select("entity_id", "high_band", F.inline(F.array(*rules)))
-    return d.withColumn("finding_id", finding_id(F.col("signal_id"), F.col("entity_id"), F.lit("") if window is None else window, seed))
+    return rules
 
 
 def members(tree) -> list[str]:
@@ -208,6 +217,11 @@ def composites(results: DataFrame, trees: dict = COMPOSITES, seed: int = 42) ->
 
 
 def run_all(t, p: Params = DEFAULT) -> DataFrame:
-    """SIG-F3: results of all signals and composites of all entities."""
-    r = evaluate(metrics(t, p), p=p).persist()  # few rows an entity, read by the composites too
-    return r.unionByName(composites(r).drop("members_fired"))
+    """SIG-F3: results of all signals and composites of all entities.
+
+    t should be stored(): its tables are read many times. The inputs and the
+    results are written too, a few rows an entity, as four groups of rules, the
+    composites and what follows read them.
+    """
+    r = written(evaluate(written(metrics(t, p), "signal-inputs"), p=p), "signal-results")
+    return written(r.unionByName(composites(r).drop("members_fired")), "results")

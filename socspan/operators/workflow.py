@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import minutes_between, share
+from ..functions.tables import written
 from ..params import DEFAULT, SEVERITIES, TIERS, Params
 
 
@@ -45,16 +46,17 @@ def duplicate_depth(cases: DataFrame) -> DataFrame:
     ancestor and the number of links within 2^k steps. Chains that run into a
     cycle count as long as all links at most, and end where they leave the
     table. Rounds stop once none grows, or after the logarithm of the links;
-    only cases that take part in a link are moved.
+    only cases that take part in a link are moved. Each round is written, so
+    its lineage doesn't double.
     """
     link = cases.filter("is_duplicate_of is not null and is_duplicate_of <> case_id").select("entity_id", "case_id", F.col("is_duplicate_of").alias("to"))
-    jump = link.groupBy("entity_id", "case_id").agg(F.min("to").alias("to")).withColumn("depth", F.lit(1))
+    jump = written(link.groupBy("entity_id", "case_id").agg(F.min("to").alias("to")).withColumn("depth", F.lit(1)), "chains")
     n = jump.count()
     for _ in range(n.bit_length()):
         ahead = jump.select("entity_id", F.col("case_id").alias("to"), F.col("to").alias("then"), F.col("depth").alias("more"))
         j = jump.join(ahead, ["entity_id", "to"], "left")
         jump = j.select("entity_id", "case_id", F.coalesce("then", "to").alias("to"), F.least(F.col("depth") + F.coalesce("more", F.lit(0)), F.lit(n)).alias("depth"), F.col("then").isNotNull().alias("grew"))
-        jump = jump.checkpoint() if jump.sparkSession.sparkContext.getCheckpointDir() else jump.persist()
+        jump = written(jump, "chains")
         if jump.filter("grew").isEmpty():
             break
         jump = jump.drop("grew")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import coverage, peers, temporal, text, workflow
-from ..params import EXPECTED_SOURCES, PLACEHOLDER, SEVERITIES, TAXONOMY, TIERS
+from ..params import DEFAULT, EXPECTED_SOURCES, PLACEHOLDER, SEVERITIES, TAXONOMY, TIERS, Params
 from .common import Book
 
 _b = Book()
@@ -158,10 +158,22 @@ Z = [
     "ps as (select entity_id, metric, any_value(value) as value, count(*) as n_peers, median(peer) as med, quantile_cont(peer, 0.75) - quantile_cont(peer, 0.25) as iqr, max(peer) - min(peer) as span from pv group by 1, 2)",
     "pz as (select s.entity_id, s.metric, s.value, s.med, m.mad, s.n_peers, case when m.mad > 0 then 0.6745 * (s.value - s.med) / m.mad when s.iqr > 0 then 0.7413 * (s.value - s.med) / s.iqr when s.span > 0 then (s.value - s.med) / s.span else 0.0 end as z, case when m.mad > 0 then 'MAD' when s.iqr > 0 then 'IQR' when s.span > 0 then 'RANGE' else 'SKIP' end as method from ps s join (select p.entity_id, p.metric, median(abs(p.peer - s.med)) as mad from pv p join ps s on s.entity_id = p.entity_id and s.metric = p.metric group by 1, 2) m on m.entity_id = s.entity_id and m.metric = s.metric)",
 ]
-_b.add("peer_01_modified_z", lambda t: peers.modified_z(v := peers.long_form(workflow.case_rates(t.cases, t.escalations), _METRICS), peers.peer_values(v)), "select entity_id, metric, round(value, 6) as value, round(med, 6) as median, round(mad, 6) as mad, n_peers, round(z, 6) as z, method from pz", CX, RATES, LONG, *Z)
+_b.add("peer_01_modified_z", lambda t: peers.modified_z(peers.long_form(workflow.case_rates(t.cases, t.escalations), _METRICS)), "select entity_id, metric, round(value, 6) as value, round(med, 6) as median, round(mad, 6) as mad, n_peers, round(z, 6) as z, method from pz", CX, RATES, LONG, *Z)
 _b.add("peer_02_cohorts", lambda t: peers.cohorts(t.registry), "select entity_id, cohort_id from registry")
-_b.add("peer_03_benchmark", lambda t: peers.benchmark(workflow.case_rates(t.cases, t.escalations), t.registry, _METRICS).select("entity_id", "metric", "value", "z", "method", "cohort_n", "fell_back", "penalty", "percentile_rank"),
-       "select z.entity_id, z.metric, round(z.value, 6) as value, round(z.z, 6) as z, z.method, 4::bigint as cohort_n, true as fell_back, 0.2::double as penalty, round(k.r, 6) as percentile_rank from pz z join (select entity_id, metric, count(*) filter (where peer < value) / count(*) as r from pv group by 1, 2) k on k.entity_id = z.entity_id and k.metric = z.metric", CX, RATES, LONG, *Z)
+
+
+def _benchmark(least: int) -> None:
+    """PEER-03 with cohorts that count from so many peers on; the regions have four."""
+    p = Params(cohort_min=least)
+    pairs = "pc as (select a.entity_id, a.metric, a.value, b.value as peer, ra.cohort_id = rb.cohort_id as same from v a join v b on a.metric = b.metric and a.entity_id <> b.entity_id join registry ra on ra.entity_id = a.entity_id join registry rb on rb.entity_id = b.entity_id)"
+    size = "cn as (select entity_id, metric, count(*) filter (where same) as n from pc group by 1, 2)"
+    used = f"pv as (select entity_id, metric, value, peer from pc join cn using (entity_id, metric) where n < {least} or same)"
+    _b.add("peer_03_benchmark" if least == DEFAULT.cohort_min else f"peer_03_cohorts_of_{least}", lambda t: peers.benchmark(workflow.case_rates(t.cases, t.escalations), t.registry, _METRICS, p).select("entity_id", "metric", "value", "z", "method", "cohort_n", "fell_back", "penalty", "percentile_rank"),
+           f"select z.entity_id, z.metric, round(z.value, 6) as value, round(z.z, 6) as z, z.method, cn.n as cohort_n, cn.n < {least} as fell_back, case when cn.n >= {least} then 0.0 when cn.n <= 1 then {p.cohort_penalty_most} else {p.cohort_penalty} end::double as penalty, round(k.r, 6) as percentile_rank from pz z join cn using (entity_id, metric) join (select entity_id, metric, count(*) filter (where peer < value) / count(*) as r from pv group by 1, 2) k using (entity_id, metric)", CX, RATES, LONG, pairs, size, used, *Z[1:])
+
+
+_benchmark(DEFAULT.cohort_min)
+_benchmark(4)
 _b.add("peer_04_peer_values", lambda t: peers.peer_values(peers.long_form(workflow.case_rates(t.cases, t.escalations), _METRICS)).groupBy("entity_id", "metric").agg(F.count("peer").alias("n"), F.sum("peer").alias("total")), "select entity_id, metric, count(*) as n, round(sum(peer), 6) as total from pv group by 1, 2", CX, RATES, LONG, Z[0])
 _b.add("ent_08_benjamini_hochberg", lambda t: peers.benjamini_hochberg(peers.long_form(workflow.case_rates(t.cases, t.escalations), _METRICS).withColumnRenamed("value", "p"), ["entity_id"]),
        "select entity_id, metric, round(p, 6) as p, round(least(1.0, min(raw) over (partition by entity_id order by p, metric rows between current row and unbounded following)), 6) as p_adjusted from (select entity_id, metric, value as p, value * count(*) over (partition by entity_id) / row_number() over (partition by entity_id order by value, metric) as raw from v)", CX, RATES, LONG)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,10 @@ _b = Book()
 AS_OF = "2030-01-01 00:00:00"
 
 
+@lru_cache(maxsize=4)
 def found(t) -> DataFrame:
-    """The results of all signals and composites."""
-    return signals.run_all(t)
+    """The results of all signals and composites; written, and computed once for the tables of a query."""
+    return signals.run_all(t.stored())
 
 
 ORDER = "list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)"
