@@ -7,10 +7,11 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import share
-from ..operators import audit, coverage, evidence, reports, scoring, signals, temporal, validation, workflow
+from ..functions.scalars import finding_id, share
+from ..functions.tables import shared_dir, written
+from ..operators import audit, coverage, evidence, ledger, reports, scoring, signals, temporal, validation, workflow
 from ..params import DOMAIN_WEIGHTS, SEVERITY_WEIGHT
-from ..sources import ingest, records, sinks, submission
+from ..sources import ingest, records, sinks, submission, versions
 from . import signal_queries as sq
 from .common import Book
 from .entity_queries import mins
@@ -166,6 +167,57 @@ _b.add("aud_01_chain", lambda t: audit.build_chain(_events(t)).select("run_id",
 _b.add("aud_02_verify", lambda t: audit.verify_chain(audit.build_chain(_events(t)).withColumn("payload_json", F.when(F.expr("seq = 7"), F.lit("{}")).otherwise(F.col("payload_json")))).select("run_id", "n", "ok", F.col("first_broken_seq").cast("long").alias("first_broken_seq")), "select run_id, count(*) as n, count(*) < 7 as ok, case when count(*) >= 7 then 7::bigint end as first_broken_seq from ev group by 1", LEDGER[0])
 _b.add("aud_03_reconcile", lambda t: audit.reconcile(e := _events(t), e.filter("seq <> 5")).select("run_id", F.col("first_difference").cast("long").alias("first_difference")), "select run_id, case when count(*) >= 5 then 5::bigint end as first_difference from ev group by 1", LEDGER[0])
 _b.add("aud_04_05_manifest", lambda t: audit.manifest(audit.build_chain(_events(t)), "unit-key"))
+# One chain over all runs, its mirror, and look-ups of stored results
+
+_all_events = lambda t: _events(t).drop("seq")
+CHAIN_ALL = ["ea as (select row_number() over (order by ts, run_id, payload) - 1 as seq, run_id, ts, payload from ev)",
+             f"ca(seq, run_id, h) as (select seq, run_id, sha256('{audit.GENESIS}' || '||' || payload || '||' || seq || '||' || ts || '||' || run_id || '||ESCALATED') from ea where seq = 0 union all select c.seq + 1, e.run_id, sha256(c.h || '||' || e.payload || '||' || e.seq || '||' || e.ts || '||' || e.run_id || '||ESCALATED') from ca c join ea e on e.seq = c.seq + 1)"]
+
+
+def _ledger(t) -> str:
+    path = shared_dir(t.escalations.sparkSession, "ledger")
+    early = written(_all_events(t), "events")
+    cut = early.agg(F.percentile(F.unix_timestamp("ts"), F.lit(0.5)).cast("timestamp").cast("string")).first()[0] or ""
+    ledger.append(early.filter(F.col("ts") < cut), path, "first")
+    ledger.append(early.filter(F.col("ts") >= cut), path, "second")
+    return path
+
+
+def _mirrored(t) -> DataFrame:
+    spark, path, mirror = t.escalations.sparkSession, _ledger(t), shared_dir(t.escalations.sparkSession, "mirror")
+    for part, rows in ((0, ledger.read(spark, path).filter("part = 0 and seq % 3 <> 1")), (7_000_000, ledger.read(spark, path).limit(2))):
+        rows.drop("part").write.parquet(f"{mirror}/part={part}")
+    ledger.rebuild_mirror(spark, path, mirror)
+    return ledger.read(spark, mirror).select("seq", "run_id", "entry_hash")
+
+
+_b.add("aud_01_ledger", lambda t: ledger.read(t.escalations.sparkSession, _ledger(t)).select("seq", "run_id", "entry_hash"), "select seq, run_id, h as entry_hash from ca", LEDGER[0], *CHAIN_ALL)
+_b.add("aud_02_ledger_verify", lambda t: ledger.verify(ledger.read(t.escalations.sparkSession, _ledger(t)).withColumn("run_id", F.when(F.expr("seq = 11"), F.lit("?")).otherwise(F.col("run_id")))), "select count(*) as n, count(*) < 12 as ok, case when count(*) >= 12 then 11::bigint end as first_broken_seq from ev", LEDGER[0])
+_b.add("aud_03_mirror", _mirrored, "select seq, run_id, h as entry_hash from ca", LEDGER[0], *CHAIN_ALL)
+_b.add("aud_04_merkle", lambda t: ledger.merkle_roots(audit.build_chain(_events(t))), "select run_id, h as merkle_root from lv where n = 1", *LEDGER,
+       "lv(run_id, i, h, n) as (select run_id, seq - 1, h, count(*) over (partition by run_id) from ch union all select c.run_id, c.i // 2, sha256(unhex(min_by(c.h, c.i)) || unhex(max_by(c.h, c.i))), (any_value(c.n) + 1) // 2 from lv c where c.n > 1 group by c.run_id, c.i // 2)")
+_ROW = ["finding_id", "entity_id", "signal_id", "value", "score", "severity", "confidence", "is_flagged"]
+
+
+def _index(t) -> versions.VersionedTable:
+    spark = t.cases.sparkSession
+    index = versions.finding_index(spark, shared_dir(spark, "findings"))
+    for run in ("run-1", "run-2", "run-2"):
+        index.upsert(found(t).select(*_ROW).withColumn("run_id", F.lit(run)).filter((F.col("run_id") == "run-2") | F.col("is_flagged")), run)
+    return index
+
+
+def _looked_up(t) -> DataFrame:
+    """All findings of one entity, by their ids."""
+    index, spark = _index(t), t.cases.sparkSession
+    ids = [*(x.id for x in signals.SIGNALS), *signals.COMPOSITES]  # ids of the rules
+    keys = spark.createDataFrame([(i,) for i in ids], "s string").select(finding_id(F.col("s"), F.lit("NATION_7"), F.lit("")).alias("k")).collect()
+    return index.lookup([r["k"] for r in keys]).select("run_id", "entity_id", "signal_id", "score", "is_flagged")
+
+
+_RUNS = "ru as (select 'run-1' as run_id, entity_id, signal_id, score, is_flagged from results where is_flagged union all select 'run-2', entity_id, signal_id, score, is_flagged from results)"
+_b.add("snk_09_finding_index", lambda t: _index(t).read().select("run_id", "entity_id", "signal_id", "score", "is_flagged"), "select run_id, entity_id, signal_id, round(score, 6) as score, is_flagged from ru", *RESULTS, _RUNS)
+_b.add("rpt_11_finding_lookup", _looked_up, "select run_id, entity_id, signal_id, round(score, 6) as score, is_flagged from ru where entity_id = 'NATION_7'", *RESULTS, _RUNS)
 _b.add("aud_06_verify_runs", lambda t: audit.verify_runs(audit.build_chain(_events(t))), "select distinct run_id, true as all_ok from ev", LEDGER[0])
 
 # Validation against planted labels: the planted entities by signal, as text "signal:key,key".

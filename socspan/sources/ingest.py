@@ -81,7 +81,7 @@ def quarantine(checked: DataFrame, run_id: str) -> DataFrame:
     """
     raw = F.to_json(F.struct(*(c for c in checked.columns if c != "reason")), {"ignoreNullFields": "false"})
     d = checked.filter("reason is not null").groupBy("entity_id", F.col("reason").alias("reason_code"), raw.alias("raw_record")).agg(F.count(F.lit(1)).alias("copies"))
-    return d.select("entity_id", F.lit(run_id).alias("run_id"), "reason_code", "raw_record", "copies", F.substring("raw_record", 1, 500).alias("details"), F.sha2(F.concat_ws("|", "entity_id", "reason_code", "copies", "raw_record"), 256).alias("_fingerprint"))
+    return d.select("entity_id", F.lit(run_id).alias("run_id"), "reason_code", "raw_record", "copies", F.substring("raw_record", 1, 500).alias("details"), F.sha2(F.concat_ws("|", "entity_id", "reason_code", "raw_record"), 256).alias("_fingerprint"))
 
 
 def append_new(new: DataFrame, existing: DataFrame) -> DataFrame:
