@@ -68,9 +68,9 @@ _b.add("val_03_orphan_references", lambda t: ingest.check(t.alerts, "2030-01-01
 _b.add("val_06_scorecard", lambda t: ingest.scorecard(_checked(t)).select("entity_id", "total_rows", "valid_rows", "quarantined_rows", "quarantine_rate", ingest.health(F.col("quarantine_rate")).alias("health"), F.coalesce(F.try_element_at("reasons", F.lit("ENUM_INVALID")), F.lit(0)).alias("enum_invalid")),
        "select entity_id, total_rows, valid_rows, total_rows - valid_rows as quarantined_rows, round((total_rows - valid_rows) / total_rows, 6) as quarantine_rate, case when (total_rows - valid_rows) / total_rows >= 0.2 then 'POOR' when (total_rows - valid_rows) / total_rows >= 0.05 then 'DEGRADED' else 'HEALTHY' end as health, enum_invalid from (select entity_id, count(*) as total_rows, count(*) filter (where reason is null) as valid_rows, count(*) filter (where reason = 'ENUM_INVALID') as enum_invalid from checked group by 1)", CHECKED)
 _b.add("snk_02_quarantine_append", lambda t: ingest.append_new(q := ingest.quarantine(_checked(t), "run"), q.filter("reason_code = 'ENUM_INVALID'")).groupBy("entity_id", "reason_code").agg(F.count(F.lit(1)).alias("n")), "select entity_id, reason as reason_code, count(*) as n from checked where reason is not null and reason <> 'ENUM_INVALID' group by 1, 2", CHECKED)
-_raw = lambda t: t.alerts.select("entity_id", F.concat(F.lit("="), "alert_id").alias("Alert-ID"), F.col("asset_id").alias("Host ID"), F.col("title").alias("Alert Name"), F.element_at(F.array(F.lit(" p1"), F.lit("Med"), F.lit("weird")), (F.col("alert_id").cast("int") % 3 + 1)).alias("Priority"), F.lower("status").alias("State"), F.date_format("detected_ts", "dd/MM/yyyy HH:mm").alias("Timestamp"))
+_raw = lambda t: t.alerts.select("entity_id", F.concat(F.lit("="), "alert_id").alias("Alert-ID"), F.col("asset_id").alias("Host ID"), F.col("title").alias("Alert Name"), F.element_at(F.array(F.lit(" p1"), F.lit("Med"), F.lit("weird")), (F.col("alert_id").cast("int") % 3 + 1)).alias("Priority"), F.lower("status").alias("State"), F.when(F.expr("cast(alert_id as int) % 2 = 0"), F.date_format("detected_ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).otherwise(F.date_format("detected_ts", "dd/MM/yyyy HH:mm")).alias("Timestamp"))
 _b.add("map_01_map_alerts", lambda t: submission.map_table(_raw(t), "alerts", AS_OF, zone="Asia/Kolkata").select("entity_id", "alert_id", "asset_id", "severity_norm", "status", "category", "detected_ts"),
-       "select entity_id, alert_id, asset_id, case alert_id::int % 3 when 0 then 'CRITICAL' when 1 then 'MEDIUM' else 'UNKNOWN' end as severity_norm, status, 'SECURITY' as category, date_trunc('minute', detected_ts) - interval 330 minute as detected_ts from alerts")
+       "select entity_id, alert_id, asset_id, case alert_id::int % 3 when 0 then 'CRITICAL' when 1 then 'MEDIUM' else 'UNKNOWN' end as severity_norm, status, 'SECURITY' as category, case when alert_id::int % 2 = 0 then date_trunc('millisecond', detected_ts) else date_trunc('minute', detected_ts) - interval 330 minute end as detected_ts from alerts")
 _PLACE = lambda key, rows: f"select *, row_number() over (partition by entity_id order by sha256({key})) - 1 as i from {rows}"
 _b.add("map_09_derived_cases", lambda t: submission.derived_cases(t.alerts).select("entity_id", "case_id", "status", "disposition_code", "open_ts", "close_ts"),
        f"select entity_id, 'CAS-' || alert_id as case_id, case when i % 2 = 0 then 'CLOSED' else 'OPEN' end as status, case when i % 3 = 0 then 'TRUE_POSITIVE' else 'BENIGN' end as disposition_code, detected_ts as open_ts, case when i % 2 = 0 then detected_ts end as close_ts from ({_PLACE('alert_id', 'alerts')})")
@@ -105,7 +105,7 @@ _SUBMITTED = [
     "union all select entity_id, 'investigations', false from investigations union all select entity_id, 'escalations', false from escalations "
     "union all select entity_id, 'telemetry', false from (select distinct entity_id, asset_id from al where not bad))",
 ]
-_b.add("map_13_submission", lambda t: _submitted(t).report, "select entity_id, record_type, count(*) as total_rows, count(*) filter (where not bad) as valid_rows, count(*) filter (where bad) as quarantined_rows from sent group by 1, 2", *_SUBMITTED)
+_b.add("map_13_submission", lambda t: _submitted(t).report.drop("times_unread"), "select entity_id, record_type, count(*) as total_rows, count(*) filter (where not bad) as valid_rows, count(*) filter (where bad) as quarantined_rows from sent group by 1, 2", *_SUBMITTED)
 _b.add("map_13_rejected", lambda t: _submitted(t).rejected.groupBy("entity_id", "record_type", "reason_code").agg(F.sum("copies").alias("n")), "select entity_id, record_type, case when record_type = 'cases' then 'ENUM_INVALID' else 'REQUIRED_MISSING' end as reason_code, count(*)::bigint as n from sent where bad group by 1, 2", *_SUBMITTED)
 _b.add("map_13_assets", lambda t: _submitted(t).tables["assets"].select("entity_id", "asset_id", "hostname", "criticality", "environment", "os_family", "internet_facing"),
        f"select entity_id, asset_id, hostname, criticality, environment, os_family, internet_facing from ar where nk % 3 > 0 and criticality <> 'low' union all select entity_id, asset_id, lower(asset_id) || '.corp', case when i % 2 = 0 then 'high' else 'medium' end, 'production', case when i % 2 = 0 then 'linux' else 'windows' end, i % 3 = 0 from ({_PLACE('asset_id', '(select distinct entity_id, asset_id from al where nk % 3 = 0 and not bad)')})", *_SUBMITTED)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import minutes_between
 from ..params import DEFAULT, DISPOSITIONS, SEVERITIES, SEVERITY_MAP, STATUSES, TIERS, Params
 
-#: Time formats that are tried in order.
-TIME_FORMATS = ["yyyy-MM-dd'T'HH:mm:ssZ", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm"]
+#: Time formats that are tried in order; seconds may have a fraction.
+TIME_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]Z", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]", "dd/MM/yyyy HH:mm"]
 TIMES = ["detected_ts", "ack_ts", "triage_start_ts", "triage_end_ts", "open_ts", "close_ts"]
 
 
@@ -17,7 +17,7 @@ def read_submissions(spark: SparkSession, base: str, table: str, suffix: str) ->
     """SRC-01..04, SRC-07: a table's files of all entities below base/<entity>/, all columns text but for parquet; entity_id from the path.
 
     A JSON file may hold a list, or an object with a list under "records" or
-    the table's name.
+    the table's name; any other document raises a ValueError.
     """
     path = f"{base}/*/{table}.{suffix}"
     if suffix == "csv":
@@ -25,9 +25,16 @@ def read_submissions(spark: SparkSession, base: str, table: str, suffix: str) ->
     elif suffix in ("jsonl", "ndjson"):
         df = spark.read.option("primitivesAsString", True).json(path)
     elif suffix == "json":
+        whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("f"), F.ltrim("value").alias("v"))
+        lists = F.coalesce(*(F.get_json_object("v", f"$.{k}") for k in ("records", table)), F.lit(""))
+        odd = whole.filter(~F.startswith("v", F.lit("[")) & ~F.startswith(lists, F.lit("["))).select("f").first()
+        if odd:
+            raise ValueError(f"{odd['f']} holds no list of records")
         df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
         if lists := [c for c in ("records", table) if c in df.columns]:
-            df = df.select(F.inline(F.coalesce(*lists)), F.col("_metadata.file_path").alias("_path"))
+            at, own = F.col("_metadata.file_path").alias("_path"), [c for c in df.columns if c not in lists]
+            one_by_one = df.filter(F.coalesce(*lists).isNull()).select(*own, at)
+            df = df.select(F.inline(F.coalesce(*lists)), at).unionByName(one_by_one, allowMissingColumns=True)
     else:
         df = spark.read.parquet(path)
     at = F.col("_path") if "_path" in df.columns else F.col("_metadata.file_path")
@@ -40,12 +47,17 @@ def read_corpus(spark: SparkSession, base: str, table: str, schema: str) -> Data
 
 
 def parse_time(c: Column, zone: str = "UTC", formats: list[str] = TIME_FORMATS) -> Column:
-    """MAP-07: text in the first format that fits, as UTC; times without an offset are of the zone. Null where none fits."""
-    out = []
+    """MAP-07: text in the first format that fits, as UTC; times without an offset are of the zone.
+
+    What no format fits is read as Spark reads a time (a date alone, minutes
+    without seconds, a space before the offset); null where that fails too.
+    """
+    c, out = F.trim(c), []
     for f in formats:
         t = F.try_to_timestamp(c, F.lit(f))
         out.append(t if f.endswith(("Z", "X")) else F.to_utc_timestamp(t, zone))
-    return F.coalesce(*out)
+    general = F.try_to_timestamp(c)
+    return F.coalesce(*out, F.when(c.rlike("(Z|UTC|GMT|[+-]\\d{2}:?\\d{2})$") & c.rlike("\\d:\\d"), general).otherwise(F.to_utc_timestamp(general, zone)))
 
 
 def severity_norm(raw: Column) -> Column:
@@ -54,6 +66,12 @@ def severity_norm(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.upper(F.trim(raw))), F.lit("UNKNOWN"))
 
 
+def severity_like(raw: Column) -> Column:
+    """MAP-08: the trimmed upper-case text if it is a level, else the level that it names in part, else MEDIUM."""
+    t = F.upper(F.trim(raw))
+    return F.when(t.isin(SEVERITIES), t).when(t.contains("CRIT"), "CRITICAL").when(t.contains("HIGH"), "HIGH").when(t.contains("LOW"), "LOW").otherwise("MEDIUM")
+
+
 def check(rows: DataFrame, as_of: str, required: list[str], enums: dict[str, list[str]], assets: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
     """VAL-01..05: rows with reason: the first rule broken, of future times, order of times, unknown asset, missing value, unknown enum; else null."""
     late = F.lit(as_of).cast("timestamp") + F.expr(f"interval {p.future_seconds} seconds")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import pseudonym, strip_formula
 from ..params import DEFAULT, STATUSES, Params
-from .ingest import ALERT_ENUMS, CASE_ENUMS, TIERS, check, parse_time, quarantine, severity_norm
+from .ingest import ALERT_ENUMS, CASE_ENUMS, TIERS, check, parse_time, quarantine, severity_like, severity_norm
 
 # Names under which submissions send the canonical columns (case and punctuation don't count).
 ALIASES = {
@@ -48,10 +48,11 @@ CODES = ["status", "disposition_code", "from_tier", "to_tier"]
 
 @dataclass(frozen=True)
 class Field:
-    """Where a canonical column comes from; a hashed one is pseudonymised with the job's salt."""
+    """Where a canonical column comes from; a hashed one is pseudonymised with the job's salt, a severity that isn't looked up goes by the level it names."""
 
     source: str
     hashed: bool = False
+    looked_up: bool = True
 
 
 @dataclass(frozen=True)
@@ -97,7 +98,8 @@ def map_table(raw: DataFrame, table: str, as_of: str, mapping: dict[str, Field]
 
     Unmapped columns go. A null in a required mapped column stays null (check
     rejects it); a blank, or a column that the source lacks, gets the default
-    of alerts. Times that no format fits are as_of; null times stay null.
+    of alerts. Times that no format fits are as_of,
+    and times_unread counts them; null times stay null.
     """
     given = [c for c in raw.columns if c not in ("entity_id", "source_file_hash")]
     m = auto_mapping(table, given) if mapping is None else mapping
@@ -116,7 +118,9 @@ def map_table(raw: DataFrame, table: str, as_of: str, mapping: dict[str, Field]
         elif t == "internet_facing":
             cols[t] = F.coalesce(F.lower(F.trim(text)).isin("true", "1", "yes"), F.lit(False))
         else:
-            cols[t] = F.when(text.isNotNull(), severity_norm(text)) if t == "severity_norm" else text
+            cols[t] = F.when(text.isNotNull(), severity_norm(text) if f.looked_up else severity_like(text)) if t == "severity_norm" else text
+    times = [F.col(f"`{f.source}`").isNotNull() & parse_time(strip_formula(F.col(f"`{f.source}`").cast("string")), zone).isNull() for t, f in m.items() if t.endswith("_ts")]
+    cols["times_unread"] = reduce(lambda a, b: a + b, [x.cast("int") for x in times], F.lit(0))
     rows = raw.select("entity_id", *(c.alias(t) for t, c in cols.items()), F.lit(as_of).cast("timestamp").alias("ingest_ts"))
     return _alert_defaults(rows, as_of) if table == "alerts" else rows
 
@@ -183,10 +187,10 @@ def materialize(raw: dict[str, DataFrame], run_id: str, as_of: str, mappings: di
         d = check(df, as_of, need, enums, None, p)
         reason = F.coalesce("reason", F.lit("REQUIRED_MISSING")) if lacks else F.coalesce("reason", F.when(~F.col("record_hash").rlike("^[0-9a-f]{64}$"), "SCHEMA_INVALID"))
         checked[t] = d.withColumn("reason", reason)
-    counts = [d.groupBy("entity_id", F.lit(t).alias("record_type")).agg(F.count(F.lit(1)).alias("total_rows"), F.count(F.when(F.col("reason").isNull(), 1)).alias("valid_rows")) for t, d in checked.items()]
+    counts = [d.groupBy("entity_id", F.lit(t).alias("record_type")).agg(F.count(F.lit(1)).alias("total_rows"), F.count(F.when(F.col("reason").isNull(), 1)).alias("valid_rows"), F.coalesce(F.sum("times_unread" if "times_unread" in d.columns else F.lit(0)), F.lit(0)).alias("times_unread")) for t, d in checked.items()]
     report = reduce(DataFrame.unionByName, counts).withColumn("quarantined_rows", F.col("total_rows") - F.col("valid_rows"))
     rejected = reduce(DataFrame.unionByName, [quarantine(d, run_id).withColumn("record_type", F.lit(t)) for t, d in checked.items()])
-    return Submission({t: d.filter("reason is null").drop("reason") for t, d in checked.items()}, rejected, report)
+    return Submission({t: d.filter("reason is null").drop("reason", "times_unread") for t, d in checked.items()}, rejected, report)
 
 
 def write_submission(s: Submission, path: str) -> None:
