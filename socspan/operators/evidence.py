@@ -2,31 +2,139 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import evidence_id
+from ..functions.scalars import evidence_id, minutes_between
+from ..params import DEFAULT, TACTICS, Params
+from .coverage import daily_alerts, detrended, is_critical, is_facing, negative_space
+from .peers import left_out
 from .signals import COMPOSITES, SIGNALS, members
+from .workflow import is_backfilled, is_night, with_escalated
 
 ROWS = 5
 PRESCRIPTIVE = r"(?i)\b(must|should|immediately|terminate|punish|fire the)\b"
 PERSONAL = r"(?i)[\w.+-]+@[\w-]+\.[\w.]+|\b\d{1,3}(\.\d{1,3}){3}\b|\+?\d[\d -]{8,}\d"
 
 
-def evidence_rows(cases: DataFrame) -> DataFrame:
-    """EXP-01: for the case signals the first ROWS rows that support them, as (entity_id, signal_id, row_id, row_json)."""
-    rules = [("EG-001", "severity_norm = 'CRITICAL' and timestampdiff(SECOND, open_ts, close_ts) between 0 and 299"), ("EG-002", "reopen_count >= 2"), ("EG-005", "timestampdiff(SECOND, open_ts, close_ts) > 72 * 3600"), ("EG-008", "hour(close_ts) >= 22 or hour(close_ts) < 6"), ("EG-012", "size(alert_ids) = 0")]
-    fired = F.filter(F.array(*(F.when(F.expr(c), F.lit(s)) for s, c in rules)), lambda x: x.isNotNull())
-    d = cases.select("entity_id", F.explode(fired).alias("signal_id"), F.col("case_id").alias("row_id"), F.to_json(F.struct("case_id", "severity_norm", "status", "reopen_count")).alias("row_json"))
-    return d.withColumn("k", F.row_number().over(Window.partitionBy("entity_id", "signal_id").orderBy("row_id"))).filter(F.col("k") <= ROWS).drop("k")
+class Rule(NamedTuple):
+    """Which rows of a table speak for a signal and which against it: SQL conditions that read facts(); rows outside `among` do neither."""
+
+    signal_id: str
+    table: str
+    supports: str
+    among: str = "true"
+    counters: str = ""  # by default what is among and doesn't support
+
+
+_CLOSED, _CRITICAL = "close_ts is not null", "severity_norm = 'CRITICAL'"
+#: Beside the conditions of SIGNALS. Conditions are plain SQL, so that they can be checked in another engine.
+RULES = [
+    Rule("EG-001", "cases", "minutes >= 0 and minutes < 5", f"{_CRITICAL} and {_CLOSED}"),
+    Rule("EG-002", "cases", "reopen_count >= 2"),
+    Rule("EG-003", "cases", "not escalated", _CRITICAL),
+    Rule("EG-004", "alerts", _CRITICAL, _CRITICAL),
+    Rule("EG-004", "cases", "false", _CRITICAL),
+    Rule("EG-005", "cases", "minutes > 72 * 60", _CLOSED),
+    Rule("EG-006", "cases", "burst_end", _CLOSED),
+    Rule("EG-007", "cases", _CLOSED, _CLOSED),
+    Rule("EG-008", "cases", "night", _CLOSED),
+    Rule("EG-009", "alerts", "late"),
+    Rule("EG-010", "investigations", "notes is not null", "notes is not null"),
+    Rule("EG-011", "cases", "disposition_code = 'DUPLICATE' or is_duplicate_of is not null"),
+    Rule("EG-012", "cases", "not has_alert"),
+    Rule("EG-013", "cases", "minutes >= 0 and minutes <= 72 * 60", _CLOSED),
+    Rule("EG-014", "escalations", "nowhere"),
+    Rule("NS-001", "space", "gap_flag", "critical"),
+    Rule("NS-002", "space", "gap_flag"),
+    Rule("NS-003", "alerts", "false"),
+    Rule("NS-004", "alerts", "false", f"category in ({', '.join(repr(c) for c in TACTICS)})"),
+    Rule("NS-005", "space", "gap_flag"),
+    Rule("NS-006", "assets", "blind", "facing"),
+    Rule("NS-007", "days", "residual < 0", "back <= 7"),
+    Rule("NS-008", "assets", "silent", "facing"),
+    Rule("NS-009", "space", "gap_flag", "critical"),
+    Rule("NS-010", "assets", "silent", "critical"),
+    Rule("NS-011", "cases", "not night", _CLOSED),
+    Rule("NS-012", "feed", "back = 1", "back <= 4"),
+]
+#: Id and shown columns of the tables that rules read.
+SHOWN = {
+    "cases": ("case_id", ["case_id", "severity_norm", "status", "reopen_count"]), "alerts": ("alert_id", ["alert_id", "severity_norm", "status", "category"]), "investigations": ("investigation_id", ["investigation_id", "case_id"]),
+    "escalations": ("escalation_id", ["escalation_id", "case_id", "from_tier", "to_tier"]), "assets": ("asset_id", ["asset_id", "criticality", "internet_facing"]), "space": ("row_id", ["asset_id", "expected_source", "gap_flag"]),
+    "days": ("row_id", ["day", "cnt"]), "feed": ("row_id", ["window_start", "cnt"]),
+}
+
+
+def facts(t, p: Params = DEFAULT) -> dict[str, DataFrame]:
+    """The tables that rules read, with what their conditions need."""
+    w = Window.partitionBy("entity_id", F.coalesce("analyst_id", F.lit("UNKNOWN")), F.coalesce("disposition_code", F.lit("UNKNOWN"))).orderBy("close_ts", "case_id")
+    cases = with_escalated(t.cases, t.escalations).withColumns({"minutes": minutes_between(F.col("open_ts"), F.col("close_ts")), "night": F.coalesce(is_night("close_ts", p), F.lit(False)), "has_alert": F.size("alert_ids") > 0})
+    ended = t.cases.filter("close_ts is not null").withColumn("from", F.lag("close_ts", p.burst_count - 1).over(w)).filter(minutes_between(F.col("from"), F.col("close_ts")) * 60 <= p.burst_seconds)
+    cases = cases.join(ended.select("entity_id", "case_id", F.lit(True).alias("burst_end")).distinct(), ["entity_id", "case_id"], "left").na.fill(False, ["burst_end"])
+    c = t.cases.select("entity_id", "case_id", F.col("status").alias("_status"), F.col("tier").alias("_tier"))
+    nowhere = F.col("accepted_ts").isNull() & (F.col("_status") == "CLOSED") & (F.col("_tier") == F.col("from_tier"))
+    alerted = t.alerts.filter("asset_id is not null").select("entity_id", "asset_id", F.lit(False).alias("silent")).distinct()
+    seen = t.telemetry.filter(F.col("source").isin("firewall", "ids")).select("entity_id", "asset_id", F.lit(False).alias("blind")).distinct()
+    assets = t.assets.join(alerted, ["entity_id", "asset_id"], "left").join(seen, ["entity_id", "asset_id"], "left").na.fill(True, ["silent", "blind"]).withColumns({"critical": is_critical(), "facing": is_facing()})
+    days = detrended(daily_alerts(t.alerts), p).withColumns({"back": F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("day"))), "row_id": F.col("day").cast("string")})
+    feed = t.alerts.filter("detected_ts is not null").groupBy("entity_id", F.window("detected_ts", f"{p.window_days} days").start.cast("date").alias("window_start")).agg(F.count(F.lit(1)).alias("cnt"))
+    return {
+        "cases": cases, "alerts": t.alerts.withColumn("late", is_backfilled(p=p)), "investigations": t.investigations,
+        "escalations": t.escalations.join(c, ["entity_id", "case_id"], "left").withColumn("nowhere", F.coalesce(nowhere, F.lit(False))), "assets": assets,
+        "space": negative_space(t.assets, t.telemetry, p).withColumn("row_id", F.concat_ws("/", "asset_id", "expected_source")), "days": days,
+        "feed": feed.withColumns({"back": F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("window_start"))), "row_id": F.col("window_start").cast("string")}),
+    }
+
+
+def evidence_rows(t, p: Params = DEFAULT, rules: list[Rule] = RULES) -> DataFrame:
+    """EXP-01: (entity_id, signal_id, side, row_id, row_json): the first ROWS rows for and against each signal, by id.
+
+    Each table is passed once: a row names all signals and sides it belongs to.
+    The window keeps no more than ROWS rows of a group on each task before the
+    exchange (Catalyst's window group limit), so a hot entity isn't moved.
+    """
+    have, out = facts(t, p), None
+    for table in dict.fromkeys(r.table for r in rules):
+        key, shown = SHOWN[table]
+        sides = []
+        for r in (r for r in rules if r.table == table):
+            among, supports = F.coalesce(F.expr(r.among), F.lit(False)), F.coalesce(F.expr(r.supports), F.lit(False))
+            against = F.coalesce(F.expr(r.counters), F.lit(False)) if r.counters else ~supports
+            sides += [F.when(among & supports, F.struct(F.lit(r.signal_id).alias("signal_id"), F.lit("supports").alias("side"))), F.when(among & against, F.struct(F.lit(r.signal_id).alias("signal_id"), F.lit("counters").alias("side")))]
+        d = have[table].select("entity_id", F.col(key).cast("string").alias("row_id"), F.to_json(F.struct(*shown)).alias("row_json"), F.inline(F.array_compact(F.array(*sides))))
+        d = d.withColumn("k", F.row_number().over(Window.partitionBy("entity_id", "signal_id", "side").orderBy("row_id", "row_json"))).filter(F.col("k") <= ROWS).drop("k")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def comparison(results: DataFrame) -> DataFrame:
+    """EXP-02: (entity_id, signal_id, cohort): how the value stands among all other entities: their number, median, and the share below it."""
+    stats = left_out(results.select("entity_id", F.col("signal_id").alias("metric"), "value"))
+    return stats.select("entity_id", F.col("metric").alias("signal_id"), F.struct("n_peers", "median", (F.col("below") / F.nullif("n_peers", F.lit(0))).alias("share_below")).alias("cohort"))
 
 
 def bundles(results: DataFrame, rows: DataFrame) -> DataFrame:
-    """EXP-02, EXP-03: a bundle for each finding: supporting rows, the reason where there are none, and a stable id."""
-    b = rows.groupBy("entity_id", "signal_id").agg(F.sort_array(F.collect_list("row_json")).alias("supporting"), evidence_id(F.collect_list("row_id")).alias("evidence_id"))
-    d = results.join(b, ["entity_id", "signal_id"], "left")
-    none = F.when(F.col("supporting").isNull(), F.when(F.col("insufficient_data"), "not enough rows").otherwise("no row-level evidence for this signal"))
-    return d.select("finding_id", "entity_id", "signal_id", F.coalesce("supporting", F.array().cast("array<string>")).alias("supporting"), none.alias("absent_reason"), F.coalesce("evidence_id", evidence_id(F.array().cast("array<string>"))).alias("evidence_id"))
+    """EXP-02, EXP-03: a bundle for each finding: rows for and against it, the reason where there are none, its cohort comparison, and a stable id.
+
+    A composite has the fired members of its tree for it and the others
+    against it. The id is that of the supporting rows.
+    """
+    names = F.array(*(F.struct(F.lit(c).alias("composite"), F.lit(m).alias("member")) for c, (_, tree) in COMPOSITES.items() for m in members(tree) if m != "high_band"))
+    parts = results.select("entity_id", "signal_id", "is_flagged", "score", F.inline(names)).filter("signal_id = member")
+    parts = parts.select("entity_id", F.col("composite").alias("signal_id"), F.when(F.col("is_flagged"), "supports").otherwise("counters").alias("side"), F.col("member").alias("row_id"), F.to_json(F.struct("member", "is_flagged")).alias("row_json"))
+    pick = lambda side, c: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("row_id", "row_json")))), lambda x: x[c])
+    b = rows.unionByName(parts).groupBy("entity_id", "signal_id").agg(pick("supports", "row_json").alias("supporting"), pick("counters", "row_json").alias("counter"), pick("supports", "row_id").alias("ids"))
+    d = results.join(b, ["entity_id", "signal_id"], "left").join(comparison(results), ["entity_id", "signal_id"], "left")
+    none = F.array().cast("array<string>")
+    side = lambda c: F.coalesce(c, none)
+    return d.select(
+        "finding_id", "entity_id", "signal_id", side("supporting").alias("supporting"), side("counter").alias("counter"),
+        F.when(F.size(side("supporting")) == 0, F.when(F.col("insufficient_data"), "not enough rows").otherwise("no row supports this signal")).alias("absent_reason"),
+        F.when(F.size(side("counter")) == 0, "no counter-examples in window").alias("counter_none_reason"), "cohort", evidence_id(side("ids")).alias("evidence_id"),
+    )
 
 
 def reasons(results: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.tables import shared_dir, written
 from ..operators import audit, coverage, evidence, ledger, reports, scoring, signals, temporal, validation, workflow
 from ..params import DOMAIN_WEIGHTS, SEVERITY_WEIGHT
 from ..sources import ingest, records, sinks, submission, versions
+from . import entity_queries as q
 from . import signal_queries as sq
 from .common import Book
 from .entity_queries import mins
@@ -144,16 +145,45 @@ _b.add_raw("scr_19_fingerprint", lambda s, d: scoring.fingerprint(_labelled(s, d
 
 # Evidence
 
-EVIDENCE = f"select entity_id, signal_id, row_id from (select *, row_number() over (partition by entity_id, signal_id order by row_id) as k from (select entity_id, case_id as row_id, unnest(list_filter([case when severity_norm = 'CRITICAL' and {mins('open_ts', 'close_ts')} >= 0 and {mins('open_ts', 'close_ts')} < 5 then 'EG-001' end, case when reopen_count >= 2 then 'EG-002' end, case when {mins('open_ts', 'close_ts')} > 72 * 60 then 'EG-005' end, case when hour(close_ts) >= 22 or hour(close_ts) < 6 then 'EG-008' end, case when alert_ref is null then 'EG-012' end], lambda x: x is not null)) as signal_id from cases)) where k <= 5"
-_b.add("exp_01_evidence_rows", lambda t: evidence.evidence_rows(t.cases).select("entity_id", "signal_id", "row_id"), EVIDENCE)
-_b.add("exp_02_bundles", lambda t: evidence.bundles(found(t), evidence.evidence_rows(t.cases)).select("entity_id", "signal_id", F.size("supporting").alias("n_supporting"), "absent_reason", "evidence_id"))
+_FACTS = [
+    q.CX, q.EXPECT, q.SPACE, q.DAYS, q.DETREND,
+    "be as (select distinct entity_id, case_id from (select *, lag(close_ts, 49) over (partition by entity_id, coalesce(analyst_id, 'UNKNOWN'), coalesce(disposition_code, 'UNKNOWN') order by close_ts, case_id) as f from cases where close_ts is not null) where epoch_us(close_ts) - epoch_us(f) <= 60000000)",
+    "f_cases as (select x.* exclude (m), x.m as minutes, coalesce(hour(x.close_ts) >= 22 or hour(x.close_ts) < 6, false) as night, x.alert_ref is not null as has_alert, be.case_id is not null as burst_end, x.case_id as row_id from cx x left join be on be.entity_id = x.entity_id and be.case_id = x.case_id)",
+    f"f_alerts as (select *, coalesce({q.LATE}, false) as late, alert_id as row_id from alerts)",
+    "f_investigations as (select *, investigation_id as row_id from investigations)",
+    "f_escalations as (select e.*, coalesce(e.accepted_ts is null and k.status = 'CLOSED' and k.tier = e.from_tier, false) as nowhere, e.escalation_id as row_id from escalations e left join cases k on k.entity_id = e.entity_id and k.case_id = e.case_id)",
+    "f_assets as (select a.*, upper(criticality) in ('HIGH', 'CRITICAL') as critical, internet_facing as facing, not exists (select 1 from alerts x where x.entity_id = a.entity_id and x.asset_id = a.asset_id) as silent, not exists (select 1 from telemetry x where x.entity_id = a.entity_id and x.asset_id = a.asset_id and x.source in ('firewall', 'ids')) as blind, asset_id as row_id from assets a)",
+    "f_space as (select *, asset_id || '/' || expected_source as row_id from space)",
+    "f_days as (select *, row_number() over (partition by entity_id order by day desc) as back, cast(day as varchar) as row_id from detrend)",
+    "fe as (select entity_id, cast(time_bucket(interval '7 days', detected_ts, timestamp '1970-01-01') as date) as w, count(*) as cnt from alerts group by 1, 2)",
+    "f_feed as (select *, row_number() over (partition by entity_id order by w desc) as back, cast(w as varchar) as row_id from fe)",
+    "er as (" + " union all ".join(f"select entity_id, '{r.signal_id}' as signal_id, case when coalesce({r.supports}, false) then 'supports' else 'counters' end as side, row_id from f_{r.table} where {r.among}" for r in evidence.RULES) + ")",
+    "ev5 as (select entity_id, signal_id, side, row_id from (select *, row_number() over (partition by entity_id, signal_id, side order by row_id) as k from er) where k <= 5)",
+]
+_MEMBERS = "mb as (select * from (values " + ", ".join(f"('{c}', '{m}')" for c, (_, tree) in signals.COMPOSITES.items() for m in signals.members(tree) if m != "high_band") + ") v(composite, member))"
+_BUNDLES = [
+    _MEMBERS, "al5 as (select * from ev5 union all select r.entity_id, m.composite, case when r.is_flagged then 'supports' else 'counters' end, m.member from results r join mb m on m.member = r.signal_id)",
+    "bu as (select entity_id, signal_id, count(*) filter (where side = 'supports') as ns, count(*) filter (where side = 'counters') as nc, coalesce(string_agg(row_id, '|' order by row_id) filter (where side = 'supports'), '') as ids from al5 group by 1, 2)",
+    "co as (select a.entity_id, a.signal_id, count(*) as n_peers, median(b.value) as median, count(*) filter (where b.value < a.value) / count(*) as share_below from results a join results b on a.signal_id = b.signal_id and a.entity_id <> b.entity_id group by 1, 2)",
+]
+
+
+@lru_cache(maxsize=4)
+def _rows(t) -> DataFrame:
+    """The evidence rows of a query's tables; written, five for and against each finding."""
+    return written(evidence.evidence_rows(t.stored()), "evidence-rows")
+
+
+_b.add("exp_01_evidence_rows", lambda t: _rows(t).select("entity_id", "signal_id", "side", "row_id"), "select * from ev5", *_FACTS)
+_b.add("exp_02_bundles", lambda t: evidence.bundles(found(t), _rows(t)).select("entity_id", "signal_id", F.size("supporting").cast("long").alias("n_supporting"), F.size("counter").cast("long").alias("n_counter"), "absent_reason", "counter_none_reason", "cohort.n_peers", "cohort.median", "cohort.share_below", "evidence_id"),
+       "select r.entity_id, r.signal_id, coalesce(ns, 0) as n_supporting, coalesce(nc, 0) as n_counter, case when coalesce(ns, 0) = 0 then if(insufficient_data, 'not enough rows', 'no row supports this signal') end as absent_reason, case when coalesce(nc, 0) = 0 then 'no counter-examples in window' end as counter_none_reason, n_peers, round(median, 6) as median, round(share_below, 6) as share_below, sha256(coalesce(ids, '')) as evidence_id from results r left join bu using (entity_id, signal_id) left join co using (entity_id, signal_id)", *RESULTS, *[c for c in _FACTS if c not in RESULTS], *_BUNDLES)
 _b.add("exp_05_reasons", lambda t: evidence.reasons(found(t)).select("entity_id", "signal_id", "code", "label", "sentence"))
 _logged = lambda r: audit.build_chain(r.filter("is_flagged").select(F.col("entity_id").alias("run_id"), F.row_number().over(temporal.Window.partitionBy("entity_id").orderBy("signal_id")).alias("seq"), F.lit("2024-02-01 00:00:00").alias("ts"), F.lit("FINDING").alias("event_type"), F.to_json(F.struct("finding_id")).alias("payload_json")))
-_b.add("exp_12_explain", lambda t: evidence.explain(r := found(t), evidence.bundles(r, evidence.evidence_rows(t.cases)), _scored(t), _logged(r)).select("entity_id", "signal_id", "code", F.size("supporting").cast("long").alias("n_supporting"), "clearing_value", F.col("confidence").isNotNull().alias("has_confidence"), F.col("audit_seq").cast("long").alias("audit_seq")),
-       f"select r.entity_id, r.signal_id, 'RC-' || r.signal_id as code, coalesce(e.n, 0) as n_supporting, case when not insufficient_data and is_flagged and r.signal_id like 'EG-%' then round(threshold - greatest(abs(threshold), 1.0) * 1e-6, 6) end as clearing_value, true as has_confidence, l.audit_seq from results r left join (select entity_id, signal_id, count(*) as n from ({EVIDENCE}) group by 1, 2) e on e.entity_id = r.entity_id and e.signal_id = r.signal_id left join (select entity_id, signal_id, row_number() over (partition by entity_id order by signal_id) as audit_seq from results where is_flagged) l on l.entity_id = r.entity_id and l.signal_id = r.signal_id", *RESULTS)
+_b.add("exp_12_explain", lambda t: evidence.explain(r := found(t), evidence.bundles(r, _rows(t)), _scored(t), _logged(r)).select("entity_id", "signal_id", "code", F.size("supporting").cast("long").alias("n_supporting"), "clearing_value", F.col("confidence").isNotNull().alias("has_confidence"), F.col("audit_seq").cast("long").alias("audit_seq")),
+       f"select r.entity_id, r.signal_id, 'RC-' || r.signal_id as code, coalesce(e.ns, 0) as n_supporting, case when not insufficient_data and is_flagged and r.signal_id like 'EG-%' then round(threshold - greatest(abs(threshold), 1.0) * 1e-6, 6) end as clearing_value, true as has_confidence, l.audit_seq from results r left join bu e on e.entity_id = r.entity_id and e.signal_id = r.signal_id left join (select entity_id, signal_id, row_number() over (partition by entity_id order by signal_id) as audit_seq from results where is_flagged) l on l.entity_id = r.entity_id and l.signal_id = r.signal_id", *RESULTS, *[c for c in _FACTS if c not in RESULTS], *_BUNDLES[:3])
 _b.add("exp_06_composite_members", lambda t: evidence.composite_members(found(t)), "select entity_id, composite, coalesce(string_agg(case when is_flagged then signal_id end, ',' order by signal_id), '') as fired, coalesce(string_agg(case when not is_flagged then signal_id end, ',' order by signal_id), '') as counter from results join (" + " union all ".join(f"select '{c}' as composite, '{m}' as member" for c, (_, tr) in signals.COMPOSITES.items() for m in signals.members(tr) if m != "high_band") + ") m on m.member = signal_id group by 1, 2", *RESULTS)
 _b.add("exp_08_counterfactuals", lambda t: evidence.counterfactuals(found(t)).select("entity_id", "signal_id", "clearing_value", "reason"), "select entity_id, signal_id, case when not insufficient_data and is_flagged and signal_id like 'EG-%' then round(threshold - greatest(abs(threshold), 1.0) * 1e-6, 6) end as clearing_value, case when insufficient_data then 'insufficient data' when not is_flagged then 'not firing' when signal_id not like 'EG-%' then 'not a single measure' end as reason from results", *RESULTS)
-_b.add("exp_10_narratives", lambda t: evidence.narratives(r := found(t), evidence.bundles(r, evidence.evidence_rows(t.cases))).select("entity_id", "signal_id", "narrative"))
+_b.add("exp_10_narratives", lambda t: evidence.narratives(r := found(t), evidence.bundles(r, _rows(t))).select("entity_id", "signal_id", "narrative"))
 _b.add_raw("exp_11_guard", lambda s, d: evidence.guard(s.read.parquet(f"{d}/documents.parquet"), "doc_id"),
            f"select doc_id, case when regexp_matches(text, '{evidence.PERSONAL}') then 'personal data' when regexp_matches(text, '{evidence.PRESCRIPTIVE}') then 'prescriptive' when length(text) > 4000 then 'too long' end as failed from documents")
 _b.add("cov_07_cells", lambda t: coverage.coverage_cells(coverage.negative_space(t.assets, t.telemetry), found(t)).drop("finding_id"), "select entity_id, asset_id, expected_source, gap_flag, case when gap_flag then 'gap' else 'ok' end as css, linked_signal from space left join (select entity_id, min(signal_id) as linked_signal from results where is_flagged and signal_id like 'NS-%' group by 1) using (entity_id) order by entity_id, asset_id, expected_source limit 500", *RESULTS)
@@ -246,7 +276,7 @@ _b.add("vld_12_disagreements", lambda t: validation.disagreements(_flag(t), labe
 
 # Reports
 
-_b.add("rpt_01_findings", lambda t: reports.findings_table(r := found(t), evidence.bundles(r, evidence.evidence_rows(t.cases)), evidence.counterfactuals(r)).select("entity_id", "signal_id", "severity", "score", "n_supporting", "clearing_value"))
+_b.add("rpt_01_findings", lambda t: reports.findings_table(r := found(t), evidence.bundles(r, _rows(t)), evidence.counterfactuals(r)).select("entity_id", "signal_id", "severity", "score", "n_supporting", "clearing_value"))
 _IDS = [*(x.id for x in signals.SIGNALS), *signals.COMPOSITES]
 _plain = lambda i: i.lower().replace("-", "_")
 _b.add("rpt_07_heatmap", lambda t: reports.heatmap(found(t), _IDS).toDF("entity_id", *map(_plain, _IDS)), "select entity_id, " + ", ".join(f"round(max(score) filter (where signal_id = '{i}'), 6) as {_plain(i)}" for i in _IDS) + " from results group by 1", *RESULTS)
