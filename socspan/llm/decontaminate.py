@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import docs_of, short_batches, written
+from .common import docs_of, refuse, short_batches, written
 
 LEAST_MATCH = 4  # tokens
 COVERAGE = 0.6
@@ -188,8 +188,10 @@ def find_leaks(docs: DataFrame, bench: DataFrame, tokens_sent: int = TOKENS_SENT
     Null text counts as empty; items without a token or without an id never
     leak; an item shorter than LEAST_MATCH must be there whole; repeated rows
     get equal results and repeated item_ids are one item, that of the greatest
-    text; an empty table of either kind gives no leaks.
+    text; an empty table of either kind gives no leaks; texts of any length are
+    looked through whole. Columns _leaks, _key and _found are refused.
     """
+    refuse(docs, "_leaks", "_key", "_found")
     short_batches(docs.sparkSession)
     bench = bench.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0

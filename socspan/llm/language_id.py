@@ -11,16 +11,16 @@ close, the text is flagged as ambiguous.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, short_batches, struct_of
+from .common import docs_of, refuse, short_batches, struct_of
 
 GRAM_BITS = 12
 GRAMS = 1 << GRAM_BITS
@@ -30,7 +30,7 @@ UNIT = 1_000_000  # a text's grams are counted in parts of this, so each text we
 AMBIGUOUS = 0.15  # of the mean loss of a bit
 SHARPNESS = 12.0  # of the score
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # letters only: no superscripts, fractions or circled numbers
 
 
 def grams(text: str) -> np.ndarray:
@@ -121,7 +121,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with the struct _language (lang_pred, score, ambiguous); only the text goes to Python.
 
     "und" with score 0 for a null text, one without a letter, or where no language was learnt.
+    Equal texts get equal predictions; long ones are read whole; an empty table
+    stays empty. A column _language is refused.
     """
+    refuse(docs, "_language")
     spark = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast(model)

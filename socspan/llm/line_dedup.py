@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, written
+from .common import docs_of, refuse, written
 
 RUN = 3  # lines from which a run counts
 LONG = 50  # words beyond which shorter runs count as well
@@ -40,6 +40,9 @@ _KEPT = """array_join(flatten(transform(sequence(0, size(_gone)), k -> slice(_sp
     if(k = size(_gone), size(_split), _gone[k]) - if(k = 0, 0, _gone[k - 1] + 1)))), '\\n')"""
 
 
+_RESERVED = ["_id", "_hash", "_text", "_split", "_late_id", "_late_hash", "_late", "_covered", "_worded", "_gone", "_dedup"]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(text), "_text": text})
@@ -78,8 +81,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id and its text are the same occurrence: neither is
     the later one. Null text counts as empty; texts without a run that counts
     stay as they are; an empty table stays empty. Columns of docs may have any
-    name that doesn't begin with an underscore.
+    name but those added on the way (_RESERVED), which are refused.
     """
+    refuse(docs, *_RESERVED)
     late = repeated_extents(docs).withColumnsRenamed({"_id": "_late_id", "_hash": "_late_hash"})
     rows = _keyed(docs).join(late, F.col("_id").eqNullSafe(F.col("_late_id")) & (F.col("_hash") == F.col("_late_hash")), "left")
     rows = _split(rows).withColumns({"_covered": F.expr(_COVERED), "_worded": F.expr(_WORDED)}).withColumn("_gone", F.expr(_GONE))

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of, written
+from .common import docs_of, refuse, written
 
 TOPICS = 8
 TOLERANCE = 1e-6
@@ -124,8 +124,10 @@ def mix(docs: DataFrame, keep: float = KEEP, looked: DataFrame | None = None, go
 
     A row is drawn by a hash of its doc_id, so rows that share one are drawn
     alike within a cell. Texts without a word have no weight and aren't drawn;
-    an empty table stays empty. The cells are joined as the small side.
+    an empty table stays empty. The cells are joined as the small side. Columns
+    _cell and _p are refused beside those of look().
     """
+    refuse(docs, "_cell", "_p", *(() if looked is not None else ("_mix",)))
     looked = look(docs, topic) if looked is None else looked
     cells = written(looked.groupBy("_mix.source", "_mix.lang", "_mix.topic").agg(F.sum("_mix.tokens").alias("tokens")).filter("tokens > 0"), "mix-cells")
     p = written(probabilities(rake(cells, targets(cells) if goals is None else present(goals, cells)), keep).select(F.struct("source", "lang", "topic").alias("_cell"), F.col("p").alias("_p")), "mix-chances")

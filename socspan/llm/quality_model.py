@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, short_batches, struct_of, written
+from .common import docs_of, refuse, short_batches, struct_of, written
 from .quality_rules import counts_of
 
 LABELLERS = 8
@@ -174,7 +174,12 @@ def fit(docs: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the struct _quality: weak_label (the labellers' posterior) and score (the scorer's), both from 0 to 1."""
+    """docs with the struct _quality: weak_label (the labellers' posterior) and score (the scorer's), both from 0 to 1.
+
+    Null text counts as empty; equal texts get equal scores; long texts are
+    read whole; an empty table stays empty. A column _quality is refused.
+    """
+    refuse(docs, "_quality")
     spark = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, short_batches, struct_of, written
+from .common import docs_of, refuse, short_batches, struct_of, written
 
 SPREADS = 4
 GROUP_LEAST = 30
@@ -172,8 +172,11 @@ def filter_quality(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty and fails; an empty table stays empty; rows with
     equal text, lang and source get equal verdicts. The counts are taken twice
-    (for the sketches, then for the verdict) so that no text is shuffled.
+    (for the sketches, then for the verdict) so that no text is shuffled. The
+    columns that it adds on the way, such as _quality_counts, are refused; all
+    others are kept whatever their names.
     """
+    refuse(docs, "_quality_counts", "_kept", "_t_lang", "_t_source", "_t_fences")
     counts = with_counts(docs.select("text", "lang", "source")).select("lang", "source", "_quality_counts.*")
     limits = written(thresholds(counts), "quality-fences")
     return judged(with_counts(docs), limits, "_quality_counts.").filter("_kept").select(*(docs[c] for c in docs.columns))
