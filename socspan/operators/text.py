@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import share, tokens
+from ..functions.tables import written
 from ..params import DEFAULT, PLACEHOLDER, Params
 
 BLANK = "empty note placeholder"
@@ -20,19 +30,96 @@ def _filled(notes: str = "notes") -> Column:
 # Arrays that are used more than once are bound as a lambda's variable, transform(array(x), v -> ...)[0]; as
 # columns they would be inlined and evaluated anew for each element.
 
-#: Words of two or more word characters, then pairs of neighbours, of the text _note.
-_WORD_GRAMS = r"""transform(array(regexp_extract_all(_note, '(\\w\\w+)', 1)), w -> concat(w, if(size(w) > 1,
-    transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])), cast(array() as array<string>))))[0]"""
-#: Runs of two and three characters of the text _note, white space runs counted as one space.
-_CHAR_GRAMS = r"""transform(array(split(regexp_replace(_note, '\\s\\s+', ' '), '')), c -> concat(
-    if(size(c) > 1, transform(sequence(0, size(c) - 2), i -> concat(c[i], c[i + 1])), cast(array() as array<string>)),
-    if(size(c) > 2, transform(sequence(0, size(c) - 3), i -> concat(c[i], c[i + 1], c[i + 2])), cast(array() as array<string>))))[0]"""
 #: The sorted set of 3-word shingles of notes; all words where there are fewer.
 _SHINGLES = """array_sort(array_distinct(transform(array(regexp_extract_all(lower(coalesce(notes, '')), '([a-z0-9]+)', 1)), t -> case
     when size(t) >= 3 then transform(sequence(0, size(t) - 3), i -> concat_ws(' ', t[i], t[i + 1], t[i + 2]))
     when size(t) > 0 then array(array_join(t, ' ')) else cast(array() as array<string>) end)[0]))"""
 
 
+BLOCK_CHARS = 1 << 20  # notes of a group are weighed in blocks of about so many characters
+_WORD = re.compile(r"\w\w+", re.ASCII)
+_SPACES = re.compile(r"\s\s+", re.ASCII)
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+
+
+def _word_grams(note: str) -> np.ndarray:
+    """Words of two or more word characters and pairs of neighbours, as hashes."""
+    h = _hashes(_WORD.findall(note))
+    return np.concatenate([h, (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + np.uint64(0x632BE59BD9B4E019))])
+
+
+def _char_grams(note: str) -> np.ndarray:
+    """Runs of two and three characters, white space runs counted as one space: 21 bits a character, so each number is one run."""
+    c = np.frombuffer(_SPACES.sub(" ", note).encode("utf-32-le", "replace"), "<u4").astype(np.uint64) + np.uint64(1)
+    two = (c[:-1] << np.uint64(21)) | c[1:]
+    return np.concatenate([two, (two[:-1] << np.uint64(21)) | c[2:]])
+
+
+def _weighed(notes: list[str], grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block as a sparse matrix: its distinct grams, and by entry the note, the gram's place and 1 + ln of the count."""
+    rows, found, counts = [], [], []
+    for i, note in enumerate(notes):
+        g, n = np.unique(grams(note), return_counts=True)
+        rows.append(np.full(len(g), i, np.int32))
+        found.append(g)
+        counts.append(n)
+    g, at = np.unique(np.concatenate(found), return_inverse=True)
+    return g.view(np.int64), np.concatenate(rows), at.astype(np.int32), 1 + np.log(np.concatenate(counts))
+
+
+def _blocks(n_keys: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, {}
+
+        def flush(key) -> pa.RecordBatch:
+            nonlocal block
+            notes, _ = held.pop(key)
+            out = []
+            for kind, grams in enumerate((_word_grams, _char_grams)):
+                g, row, at, w = _weighed(notes, grams)
+                out.append({"block": block, "kind": kind, "n": len(notes), "grams": g, "df": np.bincount(at, minlength=len(g)), "row": row.tobytes(), "at": at.tobytes(), "w": w.tobytes()})
+                block += 1
+            fields = [pa.field("block", pa.int64()), pa.field("kind", pa.int32()), pa.field("n", pa.int64()), pa.field("grams", pa.list_(pa.int64())), pa.field("df", pa.list_(pa.int64())), *(pa.field(c, pa.binary()) for c in ("row", "at", "w"))]
+            made = pa.RecordBatch.from_pylist(out, pa.schema(fields))
+            return pa.RecordBatch.from_arrays([*(pa.array([k] * len(out), t) for k, t in zip(key, types, strict=True)), *made.columns], [*names, *made.schema.names])
+
+        names = types = None
+        for batch in batches:
+            names, types = batch.schema.names[:n_keys], [f.type for f in list(batch.schema)[:n_keys]]
+            for *key, note in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = held.setdefault(tuple(key), [[], 0])
+                h[0].append(note)
+                h[1] += len(note)
+                if h[1] >= BLOCK_CHARS:
+                    yield flush(tuple(key))
+            while sum(h[1] for h in held.values()) > 8 * BLOCK_CHARS:  # many small groups: the largest goes first
+                yield flush(max(held, key=lambda k: held[k][1]))
+        for key in list(held):
+            yield flush(key)
+
+    return cut
+
+
+def _summed(keys: list[str], out: pa.Schema):
+    """Of a block: the sums of its unit vectors by gram, and how many aren't zero."""
+
+    def block(rows: pa.Table, idf: pa.Table) -> pa.Table:
+        r = rows.to_pylist()[0]
+        row, at, w = np.frombuffer(r["row"], np.int32), np.frombuffer(r["at"], np.int32), np.frombuffer(r["w"])
+        weight = np.zeros(len(r["grams"]))
+        weight[idf.column("place").to_numpy()] = idf.column("idf").to_numpy()
+        w = w * weight[at]
+        norm = np.sqrt(np.bincount(row, w * w, minlength=r["n"]))
+        s = np.bincount(at, w / norm[row], minlength=len(weight)) if len(w) else np.zeros(0)
+        n = len(s) + 1  # and a row with the number of vectors, whose gram is null
+        return pa.table({**{k: pa.array([r[k]] * n, out.field(k).type) for k in keys}, "kind": pa.array([r["kind"]] * n, pa.int32()), "g": pa.array([*r["grams"], None], pa.int64()), "s": pa.array([*s, float((norm > 0).sum())])}, out)
+
+    return block
+
+
 def note_similarity(notes: DataFrame, keys: list[str]) -> DataFrame:
     """TXT-01, TXT-02: mean cosine of the TF-IDF vectors of all pairs of notes within a group; 0 for fewer than two.
 
@@ -40,22 +127,32 @@ def note_similarity(notes: DataFrame, keys: list[str]) -> DataFrame:
     characters apart; a pair's similarity is the mean of both. All pairs aren't
     formed: for unit vectors their sum follows from the length of the vectors'
     sum, (|sum|^2 - n1) / (n (n - 1)) with n1 vectors that aren't zero.
+
+    Notes are counted in blocks of a group, each a sparse matrix that stays in
+    the shared folder. What is exchanged is a row for each gram of a block (not
+    of a note): the counts of notes that have it, its idf on the way back, and
+    the block's sums. Words are told apart by 64-bit hashes.
     """
-    d = notes.select(*keys, F.monotonically_increasing_id().alias("_id"), F.lower(_filled()).alias("_note"))
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    parts = None
-    for grams in (_WORD_GRAMS, _CHAR_GRAMS):
-        tf = d.select(*keys, "_id", F.explode(F.expr(grams)).alias("g")).groupBy(*keys, "_id", "g").agg(F.count(F.lit(1)).alias("c"))
-        df = tf.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("df"))
-        w = tf.join(df, [*keys, "g"]).join(n, keys).withColumn("w", (1 + F.log("c")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-        norm = w.groupBy(*keys, "_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        total = w.join(norm, [*keys, "_id"]).groupBy(*keys, "g").agg(F.sum(F.col("w") / F.col("norm")).alias("s")).groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("sq"))
-        one = norm.groupBy(*keys).agg(F.count(F.lit(1)).alias("n1"))
-        part = total.join(one, keys).select(*keys, (F.col("sq") - F.col("n1")).alias("pairs"))
-        parts = part if parts is None else parts.unionByName(part)
-    mean = parts.groupBy(*keys).agg((F.sum("pairs") / 2).alias("pairs"))
+    d = notes.select(*keys, F.lower(_filled()).alias("_note"))
+    fields = list(d.select(*keys).schema)
+    long, whole = T.LongType(), T.IntegerType()
+    made = [("block", long), ("kind", whole), ("n", long), ("grams", T.ArrayType(long)), ("df", T.ArrayType(long)), *((c, T.BinaryType()) for c in ("row", "at", "w"))]
+    blocks = written(d.mapInArrow(_blocks(len(keys)), T.StructType([*fields, *(T.StructField(c, t) for c, t in made)])), "note-blocks")
+    n = blocks.filter("kind = 0").groupBy(*keys).agg(F.sum("n").alias("n"))
+    same = lambda a, b, cs: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[f"_{c}"]) for c in cs))  # noqa: E731  # keys may be null
+    each = blocks.select(*keys, "kind", "block", F.inline(F.arrays_zip(F.col("grams").alias("g"), F.col("df").alias("c"), F.sequence(F.lit(0), F.size("grams") - 1).alias("place")))).filter("g is not null")
+    total = each.groupBy(*keys, "kind", "g").agg(F.sum("c").alias("df"))
+    total = total.withColumnsRenamed({c: f"_{c}" for c in (*keys, "kind", "g")})
+    size = n.withColumnsRenamed({k: f"_{k}" for k in keys})
+    weighted = each.join(total, same(each, total, [*keys, "kind", "g"])).select(*keys, F.col("block").alias("of"), "place", "df")
+    weighted = weighted.join(size, same(weighted, size, keys)).select("of", "place", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    out = T.StructType([*fields, T.StructField("kind", whole), T.StructField("g", long), T.StructField("s", T.DoubleType())])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    sums = blocks.groupBy("block").cogroup(weighted.groupBy("of")).applyInArrow(_summed(keys, to_arrow_schema(out)), out).groupBy(*keys, "kind", "g").agg(F.sum("s").alias("s"))
+    pairs = sums.groupBy(*keys).agg((F.sum(F.when(F.col("g").isNotNull(), F.col("s") * F.col("s")).otherwise(-F.col("s"))) / 2).alias("pairs")).withColumnsRenamed({k: f"_{k}" for k in keys})
     sim = F.coalesce(F.col("pairs") / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1)), F.lit(0.0))
-    return n.join(mean, keys, "left").select(*keys, F.col("n").alias("n_notes"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), sim)).alias("similarity"))
+    return n.join(pairs, same(n, pairs, keys), "left").select(*keys, F.col("n").alias("n_notes"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), sim)).alias("similarity"))
 
 
 def embedding_similarity(vectors: DataFrame, keys: list[str], column: str = "embedding") -> DataFrame:
