@@ -23,6 +23,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op5_warc": warc.OP5_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
-    "op12_piece_codec": piece_codec.op12_piece_codec,
     "op13_fill_middle": fill_middle.OP13_SQL,
 }
