@@ -21,11 +21,6 @@ def _json_or_empty(spark: SparkSession, path: str, schema: str, **options) -> Da
         return spark.createDataFrame([], schema)
 
 
-def read_export(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
-    """SRC-05: a table of an embedded database by JDBC; the driver's jar has to be on the session's class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
 def entities(registry: DataFrame, alerts: DataFrame) -> DataFrame:
     """SRC-09: entity_id of registered entities that sent alerts, each once."""
     return registry.select("entity_id").distinct().join(alerts.select("entity_id"), "entity_id", "left_semi")

@@ -21,7 +21,7 @@ def values(df, key="metric"):
 def test_modified_z(spark):
     rows = [("x", "a", 10.0), *((f"p{i}", "a", float(v)) for i, v in enumerate([8, 9, 9, 10, 11])), ("x", "b", 5.0), *((f"p{i}", "b", float(v)) for i, v in enumerate([2, 2, 2, 4, 6])), ("x", "c", 3.0), *((f"p{i}", "c", 3.0) for i in range(3))]
     v = spark.createDataFrame(rows, "entity_id string, metric string, value double")
-    z = values(peers.modified_z(v, peers.peer_values(v)).filter("entity_id = 'x'"))
+    z = values(peers.modified_z(v).filter("entity_id = 'x'"))
     assert (z["a"]["median"], z["a"]["mad"], z["a"]["method"]) == (9, 1, "MAD") and math.isclose(z["a"]["z"], 0.6745)
     assert z["b"]["method"] == "IQR" and (z["c"]["method"], z["c"]["z"]) == ("SKIP", 0)
 
