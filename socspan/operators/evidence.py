@@ -133,7 +133,7 @@ def bundles(results: DataFrame, rows: DataFrame) -> DataFrame:
     return d.select(
         "finding_id", "entity_id", "signal_id", side("supporting").alias("supporting"), side("counter").alias("counter"),
         F.when(F.size(side("supporting")) == 0, F.when(F.col("insufficient_data"), "not enough rows").otherwise("no row supports this signal")).alias("absent_reason"),
-        F.when(F.size(side("counter")) == 0, "no counter-examples in window").alias("counter_none_reason"), "cohort", evidence_id(side("ids")).alias("evidence_id"),
+        F.when(F.size(side("counter")) == 0, "no counter-examples in window").alias("counter_none_reason"), "cohort", side("ids").alias("row_ids"), evidence_id(side("ids")).alias("evidence_id"),
     )
 
 
@@ -178,12 +178,51 @@ def counterfactuals(results: DataFrame) -> DataFrame:
     return results.select("finding_id", "entity_id", "signal_id", F.when(no.isNull(), value).alias("clearing_value"), no.alias("reason"))
 
 
+FIELDS = ["rationale", "what_we_observed", "why_it_matters", "peer_context", "confidence_statement", "suggested_review_focus"]
+
+
 def narratives(results: DataFrame, bundle: DataFrame, seed: int = 42) -> DataFrame:
-    """EXP-10: a template text of each flagged finding; the hedge word goes by a hash's parity."""
-    last = F.conv(F.substring(F.sha2(F.concat_ws("|", "finding_id", F.lit(str(seed))), 256), 64, 1), 16, 10).cast("int")
-    d = results.filter("is_flagged").join(bundle.select("finding_id", "evidence_id", F.size("supporting").alias("n")), "finding_id")
-    text = F.format_string("Signal %s %s at %s (value %.3f, threshold %.3f); %d supporting rows [%s].", "signal_id", F.when(last % 2 == 0, "suggests a gap").otherwise("may indicate a gap"), "entity_id", "value", "threshold", "n", "evidence_id")
-    return d.select("finding_id", "entity_id", "signal_id", text.alias("narrative"))
+    """EXP-10: the six FIELDS of each flagged finding from templates, never empty; narrative joins them.
+
+    Two supporting rows are cited where there are as many. The hedge word goes
+    by a hash of signal and seed, so equal findings read alike in every run.
+    """
+    even = F.conv(F.substring(F.sha2(F.concat_ws("|", "signal_id", F.lit(str(seed))), 256), 64, 1), 16, 10).cast("int") % 2 == 0
+    hedge = F.when(even, "may point to").otherwise("could stem from")
+    cited = F.when(F.size("row_ids") >= 2, F.concat_ws(" and ", F.slice("row_ids", 1, 2))).otherwise(F.lit("the rows of its evidence"))
+    peers = F.when(F.coalesce(F.col("cohort.n_peers"), F.lit(0)) > 0, F.format_string("Among %d other entities the median is %.3f, and %.0f %% of them lie lower; local circumstances may explain a difference.", "cohort.n_peers", "cohort.median", F.col("cohort.share_below") * 100)).otherwise(F.lit("There are no other entities to set this beside."))
+    d = results.filter("is_flagged").join(bundle.select("finding_id", "row_ids", "cohort"), "finding_id")
+    text = {
+        "rationale": F.format_string("%s fired for %s, for example in %s. This %s a gap in the process, and chance isn't ruled out.", "signal_id", "entity_id", cited, hedge),
+        "what_we_observed": F.format_string("The measure is %.3f where up to %.3f is expected, over %d records.", "value", "threshold", "sample_size"),
+        "why_it_matters": F.when(F.col("signal_id").startswith("NS-"), "What isn't recorded isn't looked at, so a silent source can hide real activity.").when(F.col("signal_id").startswith("COMP-"), "Several measures point the same way, which a single slip seldom explains.").otherwise("Work that is only formally done leaves risk open that the figures no longer show."),
+        "peer_context": peers,
+        "confidence_statement": F.format_string("Confidence in this is %s with %d records; more of them would make it firmer.", F.lower("confidence"), "sample_size"),
+        "suggested_review_focus": F.format_string("Which of the steps behind %s were taken, and does the record show all of them?", cited),
+    }
+    d = d.select("finding_id", "entity_id", "signal_id", *(v.alias(k) for k, v in text.items()))
+    return d.withColumn("narrative", F.concat_ws(" ", *FIELDS))
+
+
+#: Identifiers as submissions write them.
+IDENTIFIER = r"\b(?:cse_[a-z0-9_]+|CSE_[A-Z0-9_]+|a\d+|c\d+|i\d+|e\d+|asset\d+)\b"
+
+
+def guard_cited(texts: DataFrame, bundle: DataFrame, most: int = 4000) -> DataFrame:
+    """EXP-11: (finding_id, failed): the first check that a finding's text fails against its own evidence, null where it passes.
+
+    An identifier that no row of the evidence has; personal data that the
+    evidence doesn't have either, prescriptive phrases and length as in guard();
+    fewer than two of the supporting rows cited, where there are two. A finding
+    without a bundle has no evidence, a null text counts as empty.
+    """
+    none = F.array().cast("array<string>")
+    d = texts.select("finding_id", F.coalesce("text", F.lit("")).alias("t")).join(bundle.select("finding_id", F.coalesce("row_ids", none).alias("ids"), F.concat_ws(" ", "supporting", "counter").alias("ev")), "finding_id", "left")
+    d = d.withColumns({"ids": F.coalesce("ids", none), "ev": F.coalesce("ev", F.lit(""))})
+    unknown = lambda pattern: F.exists(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)), lambda x: ~F.contains(F.col("ev"), x))
+    cited = F.size(F.filter("ids", lambda x: F.contains(F.col("t"), x)))
+    why = F.coalesce(F.when(unknown(IDENTIFIER), F.lit("unknown identifier")), F.when(unknown(PERSONAL), F.lit("personal data")), F.when(F.col("t").rlike(PRESCRIPTIVE), F.lit("prescriptive")), F.when(F.length("t") > most, F.lit("too long")), F.when((F.size("ids") >= 2) & (cited < 2), F.lit("fewer than two rows cited")))
+    return d.select("finding_id", why.alias("failed"))
 
 
 def guard(texts: DataFrame, id_col: str, text_col: str = "text", most: int = 4000) -> DataFrame:

@@ -184,6 +184,40 @@ def calibrate(rows: DataFrame, model) -> DataFrame:
     return d.select(*rows.columns, (clamp01(value) * 100).alias("calibrated_score"), F.lit(True).alias("calibrated"))
 
 
+def save_calibrator(model, rows: DataFrame, features: list[str], path: str) -> None:
+    """SCR-16: a model of train_calibrator(), bound to the rows it was trained on (by SCR-19) and to the features behind the score."""
+    spark = rows.sparkSession
+    facts = fingerprint(rows.select("score", "label")).select("fingerprint", F.array(*map(F.lit, features)).cast("array<string>").alias("features"), F.lit(type(model).__name__).alias("kind"))
+    model.write().overwrite().save(f"{path}/model")
+    facts.coalesce(1).write.mode("overwrite").json(f"{path}/facts")  # last: without facts there is no model
+    spark.catalog.refreshByPath(path)
+
+
+def load_calibrator(spark, path: str, rows: DataFrame | None, features: list[str]) -> tuple[object | None, str]:
+    """SCR-16: the saved model, or None and why: there is none, or it was trained on other features or (if rows are given) other rows.
+
+    Give the result to calibrate(), which then returns raw scores and calibrated false.
+    """
+    from pyspark.errors import AnalysisException
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.regression import IsotonicRegressionModel
+
+    try:
+        facts = spark.read.schema("fingerprint string, features array<string>, kind string").json(f"{path}/facts").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        facts = None
+    if facts is None:
+        return None, "no calibrator"
+    if facts["features"] != features:
+        return None, "other features"
+    if rows is not None and fingerprint(rows.select("score", "label")).first()[0] != facts["fingerprint"]:
+        return None, "other training rows"
+    kinds = {k.__name__: k for k in (IsotonicRegressionModel, LogisticRegressionModel)}
+    return kinds[facts["kind"]].load(f"{path}/model"), ""
+
+
 def brier(rows: DataFrame) -> DataFrame:
     """SCR-18: mean squared difference of p and label."""
     return rows.agg(F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("brier"))

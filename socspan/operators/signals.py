@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clamp01, clean_float, finding_id, share
 from ..functions.tables import written
 from ..params import DEFAULT, SEVERITY_RANK, Params
-from .coverage import coverage_summary, daily_alerts, detrended, facing_assets, is_critical, is_facing, perimeter_blind
+from .coverage import coverage_summary, daily_alerts, detrended, is_critical, is_facing, perimeter_blind
 from .temporal import bursts
 from .text import note_similarity
 from .workflow import case_rates, duplicate_depth, is_backfilled

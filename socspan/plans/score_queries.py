@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import finding_id, share
 from ..functions.tables import shared_dir, written
-from ..operators import audit, coverage, evidence, ledger, reports, scoring, signals, temporal, validation, workflow
+from ..operators import audit, coverage, evidence, ledger, reports, scoring, signals, temporal, validation
 from ..params import DOMAIN_WEIGHTS, SEVERITY_WEIGHT
 from ..sources import ingest, records, sinks, submission, versions
 from . import entity_queries as q
@@ -184,6 +184,8 @@ _b.add("exp_12_explain", lambda t: evidence.explain(r := found(t), evidence.bund
 _b.add("exp_06_composite_members", lambda t: evidence.composite_members(found(t)), "select entity_id, composite, coalesce(string_agg(case when is_flagged then signal_id end, ',' order by signal_id), '') as fired, coalesce(string_agg(case when not is_flagged then signal_id end, ',' order by signal_id), '') as counter from results join (" + " union all ".join(f"select '{c}' as composite, '{m}' as member" for c, (_, tr) in signals.COMPOSITES.items() for m in signals.members(tr) if m != "high_band") + ") m on m.member = signal_id group by 1, 2", *RESULTS)
 _b.add("exp_08_counterfactuals", lambda t: evidence.counterfactuals(found(t)).select("entity_id", "signal_id", "clearing_value", "reason"), "select entity_id, signal_id, case when not insufficient_data and is_flagged and signal_id like 'EG-%' then round(threshold - greatest(abs(threshold), 1.0) * 1e-6, 6) end as clearing_value, case when insufficient_data then 'insufficient data' when not is_flagged then 'not firing' when signal_id not like 'EG-%' then 'not a single measure' end as reason from results", *RESULTS)
 _b.add("exp_10_narratives", lambda t: evidence.narratives(r := found(t), evidence.bundles(r, _rows(t))).select("entity_id", "signal_id", "narrative"))
+_b.add("exp_11_guard_cited", lambda t: evidence.guard_cited(evidence.narratives(r := found(t), b := evidence.bundles(r, _rows(t))).select("finding_id", F.col("narrative").alias("text")), b).join(r.select("finding_id", "entity_id", "signal_id"), "finding_id").select("entity_id", "signal_id", "failed"),
+       "select entity_id, signal_id, null::varchar as failed from results where is_flagged", *RESULTS)
 _b.add_raw("exp_11_guard", lambda s, d: evidence.guard(s.read.parquet(f"{d}/documents.parquet"), "doc_id"),
            f"select doc_id, case when regexp_matches(text, '{evidence.PERSONAL}') then 'personal data' when regexp_matches(text, '{evidence.PRESCRIPTIVE}') then 'prescriptive' when length(text) > 4000 then 'too long' end as failed from documents")
 _b.add("cov_07_cells", lambda t: coverage.coverage_cells(coverage.negative_space(t.assets, t.telemetry), found(t)).drop("finding_id"), "select entity_id, asset_id, expected_source, gap_flag, case when gap_flag then 'gap' else 'ok' end as css, linked_signal from space left join (select entity_id, min(signal_id) as linked_signal from results where is_flagged and signal_id like 'NS-%' group by 1) using (entity_id) order by entity_id, asset_id, expected_source limit 500", *RESULTS)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pseudonym, strip_formula
+from ..functions.tables import written
 from ..params import DEFAULT, STATUSES, Params
 from .ingest import ALERT_ENUMS, CASE_ENUMS, TIERS, check, parse_time, quarantine, severity_like, severity_norm
 
@@ -62,6 +63,8 @@ class Submission:
     tables: dict[str, DataFrame]
     rejected: DataFrame
     report: DataFrame
+    checked: dict[str, DataFrame]  # all rows, with their reason
+    run_id: str
 
 
 def auto_mapping(table: str, columns: list[str]) -> dict[str, Field]:
@@ -163,15 +166,18 @@ def derived_telemetry(alerts: DataFrame, as_of: str) -> DataFrame:
     return _assets_of(alerts).select("entity_id", F.concat(F.lit("TEL-"), "entity_id", F.lit("-"), "asset_id").alias("telemetry_id"), "asset_id", F.lit("edr_sensor").alias("source"), F.lit(as_of).cast("timestamp").alias("observed_ts"))
 
 
-def materialize(raw: dict[str, DataFrame], run_id: str, as_of: str, mappings: dict[str, dict[str, Field]] | None = None, zone: str = "UTC", salt: str = "", p: Params = DEFAULT) -> Submission:
+def materialize(raw: dict[str, DataFrame], run_id: str, as_of: str, mappings: dict[str, dict[str, Field]] | None = None, zone: str = "UTC", salt: str = "", p: Params = DEFAULT, stage: bool = False) -> Submission:
     """MAP-13: raw text tables of all entities, by name, as a checked submission; alerts are needed, the others may lack.
 
     Cases, assets and telemetry of an entity that sent none are derived from
-    its alerts. Empty tables give empty results; extra columns go.
+    its alerts. Empty tables give empty results; extra columns go. With stage
+    the mapped rows are written first, as derived tables read the alerts again.
     """
     if "alerts" not in raw:
         raise ValueError("a submission needs a table of alerts")
     rows = {t: map_table(df, t, as_of, (mappings or {}).get(t), zone, salt) for t, df in raw.items()}
+    if stage:
+        rows = {t: written(df, f"mapped-{t}") for t, df in rows.items()}
     for t, make in (("cases", derived_cases), ("assets", derived_assets), ("telemetry", lambda a: derived_telemetry(a, as_of))):
         alerts = rows["alerts"]
         if t in rows:
@@ -187,15 +193,30 @@ def materialize(raw: dict[str, DataFrame], run_id: str, as_of: str, mappings: di
         d = check(df, as_of, need, enums, None, p)
         reason = F.coalesce("reason", F.lit("REQUIRED_MISSING")) if lacks else F.coalesce("reason", F.when(~F.col("record_hash").rlike("^[0-9a-f]{64}$"), "SCHEMA_INVALID"))
         checked[t] = d.withColumn("reason", reason)
+    return _submission(checked, run_id)
+
+
+def _submission(checked: dict[str, DataFrame], run_id: str) -> Submission:
     counts = [d.groupBy("entity_id", F.lit(t).alias("record_type")).agg(F.count(F.lit(1)).alias("total_rows"), F.count(F.when(F.col("reason").isNull(), 1)).alias("valid_rows"), F.coalesce(F.sum("times_unread" if "times_unread" in d.columns else F.lit(0)), F.lit(0)).alias("times_unread")) for t, d in checked.items()]
     report = reduce(DataFrame.unionByName, counts).withColumn("quarantined_rows", F.col("total_rows") - F.col("valid_rows"))
     rejected = reduce(DataFrame.unionByName, [quarantine(d, run_id).withColumn("record_type", F.lit(t)) for t, d in checked.items()])
-    return Submission({t: d.filter("reason is null").drop("reason", "times_unread") for t, d in checked.items()}, rejected, report)
+    return Submission({t: d.filter("reason is null").drop("reason", "times_unread") for t, d in checked.items()}, rejected, report, checked, run_id)
 
 
-def write_submission(s: Submission, path: str) -> None:
-    """SNK-01, SNK-03: canonical parquet of each table partitioned by entity, rejected rows, and the report as JSON, below path."""
+def write_submission(s: Submission, path: str) -> dict[str, dict[str, int]]:
+    """SNK-01, SNK-03: canonical parquet of each table partitioned by entity, rejected rows, and the report as JSON, below path.
+
+    The checked rows of a table are written once, to the shared folder, and
+    the three outputs read them from there, so raw files aren't read again.
+    Returns total, valid and quarantined rows by table, observed in that write.
+    """
+    stored, seen = {}, {}
+    for t, df in s.checked.items():
+        seen[t] = Observation(f"{t}-rows")
+        stored[t] = written(df.observe(seen[t], F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("reason").isNull(), 1)).alias("valid")), f"checked-{t}")
+    s = _submission(stored, s.run_id)
     for t, df in s.tables.items():
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity_id").parquet(f"{path}/{t}")
     s.rejected.write.mode("overwrite").json(f"{path}/quarantine")
     s.report.write.mode("overwrite").json(f"{path}/ingest_report")
+    return {t: {**o.get, "quarantined": o.get["total"] - o.get["valid"]} for t, o in seen.items()}

@@ -48,3 +48,18 @@ def test_json_documents(spark, tmp_path):
     (tmp_path / "d" / "alerts.json").write_text('{"id": 5}')
     with pytest.raises(ValueError, match="d/alerts.json"):
         ingest.read_submissions(spark, str(tmp_path), "alerts", "json")
+
+
+def test_a_submission_is_written_from_one_pass(spark, tmp_path):
+    raw = spark.createDataFrame([(e, f"a{i}", "h", "x" if i else None, "high", "2024-01-02T03:04:05Z") for e in "ef" for i in range(4)], "entity_id string, id string, host_id string, title string, severity string, created_at string")
+    raw = raw.withColumn("severity", F.when(F.expr("id = 'a3' and entity_id = 'e'"), F.lit(None)).otherwise(F.col("severity")))
+    raw.write.parquet(f"{tmp_path}/raw")
+    s = submission.materialize({"alerts": spark.read.parquet(f"{tmp_path}/raw")}, "run", AS_OF, stage=True)
+    for df in [*s.tables.values(), s.report]:  # staged rows stand between the raw files and all that follows
+        assert f"{tmp_path}/raw" not in df._jdf.queryExecution().executedPlan().toString() and not [f for f in df.inputFiles() if "/raw/" in f]
+    counts = submission.write_submission(s, f"{tmp_path}/out")
+    assert counts["alerts"] == {"total": 8, "valid": 8 - s.checked["alerts"].filter("reason is not null").count(), "quarantined": s.checked["alerts"].filter("reason is not null").count()}
+    for t, c in counts.items():
+        assert spark.read.parquet(f"{tmp_path}/out/{t}").count() == c["valid"]
+    report = spark.read.json(f"{tmp_path}/out/ingest_report")
+    assert {r.record_type: r.n for r in report.groupBy("record_type").agg(F.sum("total_rows").alias("n")).collect()} == {t: c["total"] for t, c in counts.items()}
