@@ -20,7 +20,7 @@ from .common import docs_of, refuse, written
 
 TOPICS = 8
 TOLERANCE = 1e-6
-ROUNDS = 40  # margins that contradict each other never meet, of which rake() warns
+WAIT, FALL = 5, 0.98  # raking ends where WAIT rounds leave more than FALL of the largest factor's distance from 1
 KEEP = 0.8
 #: A margin's target share is proportional to its share of tokens raised to this.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.5}
@@ -74,26 +74,34 @@ def rake(cells: DataFrame, goals: DataFrame) -> DataFrame:
 
     goals are rows (margin, value, target) that add up to 1 for each margin;
     cells of a value without one are left out, as are those without a token.
-    Each round is written to the shared folder; its largest factor comes to the
-    driver. Warns if ROUNDS don't bring the margins to their targets; then the
-    last weights count.
+    A cell looks its three goals up once; then each margin's step joins it with
+    that margin's sums and is written to the shared folder, so no plan holds more
+    than one step. Rounds go on until no factor is off by more than TOLERANCE,
+    or the largest one has hardly fallen in the last WAIT rounds: the margins
+    contradict each other, or nearly so. Then the last weights count, with a
+    warning that says how far off they are.
     """
-    goals = written(goals, "mix-goals")
     total = cells.agg(F.sum("tokens").alias("all"))
     cells = cells.filter("tokens > 0").crossJoin(F.broadcast(total)).withColumn("w", F.col("tokens") / F.col("all")).drop("all")  # one row
-    for _ in range(ROUNDS):
+    goals = written(goals, "mix-goals")
+    for margin in POWERS:
+        goal = goals.filter(F.col("margin") == margin).select(F.col("value").alias("_value"), F.col("target").alias(f"to_{margin}"))
+        cells = cells.join(goal, F.col(margin).cast("string") == F.col("_value")).drop("_value")
+    offs: list[float] = []
+    while True:
         cells = cells.withColumn("off", F.lit(0.0))
         for margin in POWERS:
-            sums = cells.groupBy(margin).agg(F.sum("w").alias("s"))
-            goal = goals.filter(F.col("margin") == margin).select(F.col("value").alias("_value"), "target")
-            factor = sums.join(goal, F.col(margin).cast("string") == F.col("_value")).select(margin, (F.col("target") / F.col("s")).alias("f"))
-            cells = cells.join(factor, margin).withColumn("w", F.col("w") * F.col("f")).withColumn("off", F.greatest("off", F.abs(F.col("f") - 1))).drop("f")
-        cells = written(cells, "mix-cells")
+            factor = F.col(f"to_{margin}") / F.col("s")
+            scaled = cells.join(cells.groupBy(margin).agg(F.sum("w").alias("s")), margin)
+            cells = written(scaled.withColumns({"w": F.col("w") * factor, "off": F.greatest("off", F.abs(factor - 1))}).drop("s"), "mix-cells")
         off = cells.agg(F.max("off")).first()[0]
         if off is None or off < TOLERANCE:
-            return cells.drop("off")
-    warnings.warn(f"After {ROUNDS} rounds a margin is still off its targets by a factor of {1 + off}.", stacklevel=2)
-    return cells.drop("off")
+            break
+        offs.append(off)
+        if len(offs) > WAIT and off > FALL * offs[-1 - WAIT]:
+            warnings.warn(f"After {len(offs)} rounds, which no longer help, a margin is still off its targets by a factor of {1 + off}.", stacklevel=2)
+            break
+    return cells.drop("off", *(f"to_{m}" for m in POWERS))
 
 
 def probabilities(cells: DataFrame, keep: float = KEEP) -> DataFrame:

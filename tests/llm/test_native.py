@@ -7,6 +7,8 @@ import re
 from collections import defaultdict
 
 from socspan.llm import line_dedup as ld
+import pytest
+
 from socspan.llm import mixing as mx
 
 
@@ -72,7 +74,7 @@ def test_mixing(spark):
         goals.append({k: v / sum(p.values()) for k, v in p.items()})
     total = sum(cells.values())
     w = {k: v / total for k, v in cells.items()}
-    for _ in range(mx.ROUNDS):
+    for _ in range(1000):
         off = 0
         for m in range(3):
             s = defaultdict(float)
@@ -114,3 +116,12 @@ def test_given_targets_and_topic_column(spark):
     assert abs(len(got) - 1800 * 2 / 3 * 2 / 3) < 80
     for k, v, want in (("source", "books", 0.75), ("source", "code", 0), ("lang", "de", 0.5), ("topic", "x", 0.7), ("topic", "y", 0)):
         assert abs(share(k, v) - want) < 0.05
+
+
+def test_margins_that_contradict_each_other(spark):
+    """A source that alone has a language, but another target: raking ends with a warning, and its weights add up to 1."""
+    cells = spark.createDataFrame([("a", "x", "0", 60), ("b", "y", "0", 40), ("c", "y", "0", 0)], "source string, lang string, topic string, tokens long")
+    goals = [("source", "a", 0.5), ("source", "b", 0.5), ("lang", "x", 0.2), ("lang", "y", 0.8), ("topic", "0", 1.0)]
+    with pytest.warns(UserWarning, match="no longer help"):
+        got = mx.rake(cells, spark.createDataFrame(goals, "margin string, value string, target double")).collect()
+    assert {x.source for x in got} == {"a", "b"} and math.isclose(sum(x.w for x in got), 1, rel_tol=1e-9)
