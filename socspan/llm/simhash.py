@@ -18,13 +18,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow.dataset as ds
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import docs_of, short_batches, written
+from .common import docs_of, file_at, shared_dir, short_batches, written
 
 HOT = 256  # fingerprints that share a segment, beyond which their pairs aren't enumerated
 
@@ -158,7 +158,7 @@ WORDS = 5
 TOP, UNDER = 4, 5
 COMMON_LEAST = 2  # texts of a task's stretch of CHUNK shingles in which a shingle counts as common
 CHUNK = 4_000_000
-COMMON_SENT = 30_000  # common shingles, the most frequent first, that all executors get (0.5 MB); they set an order and change no result
+RANKS = 1 << 22  # buckets by hash of the table of how common shingles are, a byte each; it sets an order and changes no result
 STEP = 1.12  # set sizes whose ratio is below this are one class
 
 
@@ -236,16 +236,26 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield common()
 
 
-def _prefixes(common: Broadcast):
+def _ranks(path: str) -> np.ndarray:
+    """The table of ranks by bucket, from the files below path; 0 where no shingle is common."""
+    fs, name = file_at(path)
+    ranks = np.zeros(RANKS, np.uint8)
+    for batch in ds.dataset(name, filesystem=fs, format="parquet").to_batches():
+        ranks[batch.column("bucket").to_numpy()] = batch.column("rank").to_numpy()
+    return ranks
+
+
+def _prefixes(path: str):
     """The shingles of which two texts of enough similarity have one in common: (key, id, at, n).
 
-    A text's n distinct shingles are ordered by how common they are, then by
-    their value. Two sets of similarity 4/5 share four fifths of either, so of
-    each the first n - ceil(4n / 5) + 1 suffice. at counts those before.
+    A text's n distinct shingles are ordered by the rank of their bucket (how
+    common the commonest shingle in it is), then by their value. Two sets of
+    similarity 4/5 share four fifths of either, so of each the first
+    n - ceil(4n / 5) + 1 suffice. at counts those before.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, rank = common.value
+        ranks = _ranks(path)
         for pdf in batches:
             out = []
             for key, text in dict(zip(pdf["id"].tolist(), pdf["text"], strict=True)).items():
@@ -253,9 +263,7 @@ def _prefixes(common: Broadcast):
                 if not len(s):
                     continue
                 m = len(s) - -(-TOP * len(s) // UNDER) + 1
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.lexsort((s, np.where(known[at] == s, rank[at], 0)))]
+                s = s[np.lexsort((s, ranks[s % RANKS]))]
                 out.append((s[:m], np.full(m, key), np.arange(m), np.full(m, len(s))))
             if out:
                 yield pd.DataFrame(dict(zip(("key", "id", "at", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
@@ -313,7 +321,7 @@ def fingerprint_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return _similar(equal.union(near), texts)
 
 
-def similarity_links(nodes: DataFrame, texts: DataFrame, common, links: DataFrame) -> DataFrame:
+def similarity_links(nodes: DataFrame, texts: DataFrame, ranks: str, links: DataFrame) -> DataFrame:
     """links, and those that connect all other texts of enough similarity: an exact join over prefixes of ordered shingles.
 
     Two rows of a key can only belong to similar texts if what is left of both
@@ -324,7 +332,7 @@ def similarity_links(nodes: DataFrame, texts: DataFrame, common, links: DataFram
     outside its largest component meet all that aren't in their own; for that,
     each looks up the size classes that texts similar to it can have.
     """
-    prefixes = texts.mapInPandas(_prefixes(common), "key long, id long, at int, n int")
+    prefixes = texts.mapInPandas(_prefixes(ranks), "key long, id long, at int, n int")
     shared = prefixes.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("key")
     rows = _rooted(prefixes.join(shared, "key").distinct(), links)
     rows = written(rows.select("key", "id", "root", "n", (F.col("n") - F.col("at")).alias("rest")), "near-rows")
@@ -354,10 +362,11 @@ def similarity_links(nodes: DataFrame, texts: DataFrame, common, links: DataFram
 def near_links(sketch: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect all texts (id, text) of enough similarity, from what _sketched() gave."""
     nodes = sketch.filter("shingle is null").select("id", "fp").distinct()
-    frequent = sketch.filter("shingle is not null").groupBy("shingle").agg(F.sum("texts").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON_SENT)
-    told = frequent.agg(F.sort_array(F.collect_list(F.struct("shingle", F.floor(F.log2("n")).alias("rank")))).alias("all")).select("all.shingle", "all.rank").first()
-    common = texts.sparkSession.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in told))
-    return similarity_links(nodes, texts, common, fingerprint_links(nodes, texts))
+    frequent = sketch.filter("shingle is not null").groupBy("shingle").agg(F.sum("texts").alias("n"))
+    ranks = frequent.groupBy(F.pmod("shingle", F.lit(RANKS)).cast("int").alias("bucket")).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("rank"))
+    path = shared_dir(texts.sparkSession, "near-ranks")
+    ranks.write.parquet(path)
+    return similarity_links(nodes, texts, path, fingerprint_links(nodes, texts))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
