@@ -123,6 +123,13 @@ def cohorts(registry: DataFrame) -> DataFrame:
     return registry.groupBy("entity_id").agg(F.coalesce(F.min("cohort_id"), F.lit("GLOBAL")).alias("cohort_id"))
 
 
+def cohort_sizes(registry: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """PEER-03, SCR-08: (entity_id, cohort_n, fell_back): the others in each entity's cohort, and whether they are too few to compare with."""
+    d = cohorts(registry)
+    n = d.groupBy("cohort_id").agg((F.count(F.lit(1)) - 1).alias("cohort_n"))
+    return d.join(n, "cohort_id").select("entity_id", "cohort_n", (F.col("cohort_n") < p.cohort_min).alias("fell_back"))
+
+
 def benchmark(features: DataFrame, registry: DataFrame, metrics: list[str], p: Params = DEFAULT) -> DataFrame:
     """PEER-03: z and percentile rank among the cohort, or among all entities (with a confidence penalty) where it has too few others."""
     values = long_form(features, metrics).join(cohorts(registry), "entity_id", "left").withColumn("cohort_id", F.coalesce("cohort_id", F.lit("GLOBAL")))

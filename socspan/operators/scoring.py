@@ -86,12 +86,22 @@ def completeness(registry: DataFrame, frames: dict[str, DataFrame], quarantined:
     return d.select("entity_id", rate.alias("quarantine_rate"), F.coalesce("null_share", F.lit(0.0)).alias("null_share"), clamp01(value).alias("completeness"))
 
 
-def confidence(scores: DataFrame, complete: DataFrame) -> DataFrame:
-    """SCR-08: level and reason from completeness, share of adequate signals and missing values."""
-    d = scores.join(complete, "entity_id", "left").na.fill(0.0, ["completeness", "null_share"])
-    level = F.when(F.col("completeness") < 0.6, "LOW").when((F.col("completeness") >= 0.9) & (F.col("adequate_share") >= 0.9) & (F.col("null_share") <= 0.05), "HIGH").when((F.col("completeness") >= 0.7) & (F.col("adequate_share") >= 0.5), "MEDIUM").otherwise("LOW")
-    reason = F.format_string("completeness %.2f, adequate signals %.2f, missing values %.2f", "completeness", "adequate_share", "null_share")
-    return d.withColumns({"confidence": level, "confidence_reason": reason})
+def confidence(scores: DataFrame, complete: DataFrame, sizes: DataFrame) -> DataFrame:
+    """SCR-08: level and reason from completeness, share of adequate signals, cohorts and missing values.
+
+    sizes (entity_id, fell_back) tells whose peers are all entities, as the
+    cohort is too small; that is adequate, and the reason names it. An entity
+    without a row there has no comparison and isn't HIGH. capped says that
+    completeness alone made the level LOW.
+    """
+    d = scores.join(complete, "entity_id", "left").na.fill(0.0, ["completeness", "null_share"]).join(sizes.select("entity_id", "fell_back"), "entity_id", "left")
+    capped, sure = F.col("completeness") < 0.6, F.col("fell_back").isNotNull()
+    high = (F.col("completeness") >= 0.9) & (F.col("adequate_share") >= 0.9) & sure & (F.col("null_share") <= 0.05)
+    level = F.when(capped, "LOW").when(high, "HIGH").when((F.col("completeness") >= 0.7) & (F.col("adequate_share") >= 0.5), "MEDIUM").otherwise("LOW")
+    note = F.when(~sure, "no peer comparison").when(F.col("fell_back"), "cohort too small, compared with all entities").otherwise("cohort large enough for comparison")
+    facts = F.format_string("completeness %.2f; %.0f%% of signals have enough rows; %s", F.col("completeness"), F.col("adequate_share") * 100, note)
+    reason = F.when(capped, F.format_string("completeness %.2f is below 0.60; left out of the ranking until the feed is verified", "completeness")).when(high, F.format_string("%s; missing values %.1f%%", facts, F.col("null_share") * 100)).otherwise(facts)
+    return d.withColumns({"confidence": level, "confidence_reason": reason, "capped": capped}).drop("fell_back")
 
 
 def ranking(scored: DataFrame) -> DataFrame:
@@ -117,11 +127,22 @@ def coverage_gap(entities: DataFrame, reviewed: DataFrame, as_of: str, days: int
     return entities.select("entity_id").distinct().join(last, "entity_id", "left").select("entity_id", F.when(old, up).otherwise(1.0).alias("coverage_gap"))
 
 
-def sample_ids(evidence: DataFrame, seed: int = 42, top: int = 5) -> DataFrame:
-    """SCR-11: of evidence rows (entity_id, signal_id, row_id) the first top ids of each signal, in an order that the seed draws."""
-    w = Window.partitionBy("entity_id", "signal_id").orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "signal_id", "row_id"), 256))
-    d = evidence.distinct().withColumn("k", F.row_number().over(w)).filter(F.col("k") <= top)
-    return d.groupBy("entity_id", "signal_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "row_id"))), lambda x: x.row_id).alias("sample_ids"))
+def sample_ids(rows: DataFrame, alerts: DataFrame, tables: dict[str, str], seed: int = 42, top: int = 5) -> DataFrame:
+    """SCR-11: up to top alert_ids and case_ids that support each signal of an entity, in an order that the seed draws.
+
+    rows are evidence (entity_id, signal_id, side, row_id), tables the table
+    that a signal's rows are of. Ids of alerts must be in alerts; repeated ids
+    count once. Signals with neither have no row.
+    """
+    kinds = F.create_map(*(F.lit(x) for kv in tables.items() for x in kv))
+    d = rows.filter("side = 'supports'").select("entity_id", "signal_id", kinds[F.col("signal_id")].alias("kind"), "row_id").distinct()
+    known = alerts.select("entity_id", F.col("alert_id").cast("string").alias("row_id"))
+    d = d.filter("kind = 'alerts'").join(known, ["entity_id", "row_id"], "left_semi").unionByName(d.filter("kind = 'cases'"))
+    salt = F.concat("signal_id", F.when(F.col("kind") == "alerts", ":alert").otherwise(":case"))
+    w = Window.partitionBy("entity_id", "signal_id", "kind").orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), salt, "row_id"), 256), "row_id")
+    d = d.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= top)
+    of = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("k", "row_id")))), lambda x: x.row_id)
+    return d.groupBy("entity_id", "signal_id").agg(of("alerts").alias("alert_ids"), of("cases").alias("case_ids"))
 
 
 def review_queue(scored: DataFrame, novel: DataFrame, gaps: DataFrame, minutes: int = 10) -> DataFrame:
@@ -131,13 +152,27 @@ def review_queue(scored: DataFrame, novel: DataFrame, gaps: DataFrame, minutes:
     return d.select("entity_id", "priority", "focus_domain", "band", F.greatest(F.lit(1), F.col("n_flagged") * minutes).alias("review_minutes"), F.row_number().over(w).alias("rank"))
 
 
-def portfolio(scored: DataFrame, registry: DataFrame) -> DataFrame:
-    """SCR-13, RPT-04: entities in each of the four bands and the median score of each sector, in long form."""
-    bands = scored.sparkSession.createDataFrame([(b,) for b in ("LOW", "MODERATE", "ELEVATED", "HIGH")], "name string")
+def portfolio(scored: DataFrame, registry: DataFrame, prior: DataFrame | None = None, top: int = 5, shift: float = 2.0) -> DataFrame:
+    """SCR-13, RPT-04: (kind, name, value): entities of each band, the top entities by score, the median of each sector, and the trend.
+
+    The trend compares the median score with that of prior (entity_id, score),
+    an earlier run: DETERIORATING where it is more than shift higher, IMPROVING
+    where it is more than shift lower, else STABLE; its value is the difference,
+    0 without an earlier run. A top entity's value is its place.
+    """
+    spark = scored.sparkSession
+    bands = spark.createDataFrame([(b,) for b in ("LOW", "MODERATE", "ELEVATED", "HIGH")], "name string")
     n = scored.groupBy(F.col("band").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     counts = bands.join(n, "name", "left").na.fill(0.0).select(F.lit("band").alias("kind"), "name", "value")
-    sector = scored.join(registry, "entity_id").groupBy(F.coalesce("sector", F.lit("unknown")).alias("name")).agg(F.median("score").alias("value"))
-    return counts.unionByName(sector.select(F.lit("sector_median").alias("kind"), "name", "value"))
+    sector = scored.join(registry, "entity_id", "left").groupBy(F.coalesce("sector", F.lit("unknown")).alias("name")).agg(F.median("score").alias("value"))
+    order = [F.desc(F.round("score", 9)), F.col("entity_id")]
+    first = scored.orderBy(*order).limit(top).withColumn("value", F.row_number().over(Window.orderBy(*order)).cast("double"))
+    out = counts.unionByName(sector.select(F.lit("sector_median").alias("kind"), "name", "value")).unionByName(first.select(F.lit("top").alias("kind"), F.col("entity_id").alias("name"), "value"))
+    runs = scored.select("score", F.lit(True).alias("now"))
+    runs = runs if prior is None else runs.unionByName(prior.select("score", F.lit(False).alias("now")))
+    moved = F.coalesce(F.median(F.when(F.col("now"), F.col("score"))) - F.median(F.when(~F.col("now"), F.col("score"))), F.lit(0.0))
+    trend = runs.agg(moved.alias("value")).select(F.lit("trend").alias("kind"), F.when(F.col("value") > shift, "DETERIORATING").when(F.col("value") < -shift, "IMPROVING").otherwise("STABLE").alias("name"), "value")
+    return out.unionByName(trend)
 
 
 def trends(history: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Text features of notes (TXT-01..10)."""
+"""Text features of notes (TXT-01..07, TXT-09, TXT-10)."""
 
 from __future__ import annotations
 
@@ -214,20 +214,6 @@ def text_summary(investigations: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return base.join(sim, "entity_id").join(own, "entity_id", "left").withColumn("analyst_similarity_max", F.coalesce("analyst_similarity_max", F.lit(0.0))).join(copy_paste(investigations, keys, p), "entity_id")
 
 
-def text_vectors(notes: DataFrame, id_col: str, dims: int = 128) -> DataFrame:
-    """TXT-08: (id, vector): hashed TF-IDF of words, scaled to unit length, reduced to dims by PCA where the corpus is large enough.
-
-    Fitted once over the whole corpus, so vectors of any two rows compare.
-    """
-    from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
-
-    d = notes.select(id_col, F.transform(tokens(_filled()), lambda x: x).alias("words"))
-    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=1024).transform(d)
-    w = IDF(inputCol="tf", outputCol="w").fit(tf).transform(tf)
-    unit = Normalizer(inputCol="w", outputCol="unit").transform(w)
-    return PCA(k=dims, inputCol="unit", outputCol="vector").fit(unit).transform(unit).select(id_col, "vector")
-
-
 def topics(notes: DataFrame, id_col: str, k: int = 10, seed: int = 42, iterations: int = 10) -> DataFrame:
     """TXT-09: (id, topic): the likeliest of k topics of each note, by LDA over word counts."""
     from pyspark.ml.clustering import LDA

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import coverage, peers, temporal, text, workflow
+from ..operators import coverage, peers, temporal, text, vectors, workflow
 from ..params import DEFAULT, EXPECTED_SOURCES, PLACEHOLDER, SEVERITIES, TAXONOMY, TIERS, Params
 from .common import Book
 
@@ -122,7 +121,7 @@ COPY = [
 _b.add("txt_05_copy_paste", lambda t: text.copy_paste(t.investigations, ["entity_id"]), "select entity_id, round(copy_paste_ratio, 6) as copy_paste_ratio from cp", *COPY)
 _b.add("txt_07_summary", lambda t: text.text_summary(t.investigations))
 _b.add_raw("txt_07_documents_copy_paste", lambda s, d: text.copy_paste(s.read.parquet(f"{d}/documents.parquet").select("lang", F.col("text").alias("notes")), ["lang"]))
-_b.add("txt_08_vectors", lambda t: text.text_vectors(t.investigations, "investigation_id").select("investigation_id", F.size(vector_to_array("vector")).alias("dims")))
+_b.add("txt_08_vectors", lambda t: vectors.text_vectors(t.investigations, "investigation_id"))
 _b.add("txt_09_topics", lambda t: text.topic_table(text.topics(t.investigations, "investigation_id").join(t.investigations, "investigation_id")))
 _b.add("txt_10_labels", lambda t: text.topic_labels(t.investigations.select(F.col("entity_id").alias("topic"), "notes")),
        "select topic, term, round(weight, 6) as weight, rank from (select topic, term, weight, row_number() over (partition by topic order by round(weight, 9) desc, term) as rank from (select f.topic, f.term, sum(f.c * (ln((1 + n.total) / (1 + d.df)) + 1)) / max(m.members) as weight from f join d using (term) join m using (topic) cross join n group by 1, 2)) where rank <= 8",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import finding_id, share
 from ..functions.tables import shared_dir, written
-from ..operators import audit, coverage, evidence, ledger, reports, scoring, signals, temporal, validation
-from ..params import DOMAIN_WEIGHTS, SEVERITY_WEIGHT
+from ..operators import audit, coverage, evidence, ledger, peers, reports, scoring, signals, temporal, validation
+from ..params import DEFAULT, DOMAIN_WEIGHTS, SEVERITY_WEIGHT
 from ..sources import ingest, records, sinks, submission, versions
 from . import entity_queries as q
 from . import signal_queries as sq
@@ -48,14 +49,21 @@ _b.add("scr_01_contributions", lambda t: scoring.contributions(found(t)).select(
 _b.add("scr_02_domain_scores", lambda t: scoring.domain_scores(found(t)).select("entity_id", "domain", "top", "breadth", "domain_score"), "select entity_id, domain, round(top, 6) as top, breadth, round(top * (1 - exp(-0.8 * breadth)), 6) as domain_score from doms", *_S)
 _BAND = "case when score < 25 then 'LOW' when score < 50 then 'MODERATE' when score < 75 then 'ELEVATED' else 'HIGH' end"
 _b.add("scr_03_entity_scores", lambda t: scoring.entity_scores(found(t)).select("entity_id", "score", "band", "focus_domain"), f"select entity_id, round(score, 6) as score, {_BAND} as band, focus_domain from scores", *_S)
-_b.add("scr_13_portfolio", lambda t: scoring.portfolio(scoring.entity_scores(found(t)), t.registry),
-       f"select 'band' as kind, b.name, count(s.entity_id)::double as value from (select unnest(['LOW', 'MODERATE', 'ELEVATED', 'HIGH']) as name) b left join (select entity_id, {_BAND} as band from scores) s on s.band = b.name group by 2 union all select 'sector_median', sector, round(median(score), 6) from scores join registry using (entity_id) group by 2", *_S)
+_shifted = lambda t, scores: scores.join(t.registry, "entity_id").select("entity_id", (F.col("score") - F.expr("3 + nk % 4")).alias("score"))  # noqa: E731  # stands for an earlier run
+_b.add("scr_13_portfolio", lambda t: scoring.portfolio(s := scoring.entity_scores(found(t)), t.registry, _shifted(t, s)),
+       f"select 'band' as kind, b.name, count(s.entity_id)::double as value from (select unnest(['LOW', 'MODERATE', 'ELEVATED', 'HIGH']) as name) b left join (select entity_id, {_BAND} as band from scores) s on s.band = b.name group by 2 union all select 'sector_median', sector, round(median(score), 6) from scores join registry using (entity_id) group by 2 "
+       "union all select 'top', entity_id, k::double from (select entity_id, row_number() over (order by round(score, 9) desc, entity_id) as k from scores) where k <= 5 "
+       "union all select 'trend', case when v > 2 then 'DETERIORATING' when v < -2 then 'IMPROVING' else 'STABLE' end, round(v, 6) from (select median(score) - median(score - 3 - nk % 4) as v from scores join registry using (entity_id))", *_S)
+_b.add("scr_08_confidence", lambda t: scoring.confidence(scoring.entity_scores(found(t)), t.registry.select("entity_id", F.expr("0.5d + nk % 6 * 0.1d").alias("completeness"), F.expr("nk % 3 * 0.03d").alias("null_share")), peers.cohort_sizes(t.registry.withColumn("cohort_id", F.when(F.expr("nk % 5 < 4"), F.col("cohort_id")).otherwise(F.concat_ws("-", "cohort_id", "nk"))), replace(DEFAULT, cohort_min=3))).select("entity_id", "confidence", "confidence_reason", "capped"),
+       "select entity_id, case when c < 0.6 then 'LOW' when high then 'HIGH' when c >= 0.7 and a >= 0.5 then 'MEDIUM' else 'LOW' end as confidence, case when c < 0.6 then printf('completeness %.2f is below 0.60; left out of the ranking until the feed is verified', c) else facts || case when high then printf('; missing values %.1f%%', m * 100) else '' end end as confidence_reason, c < 0.6 as capped from "
+       "(select *, c >= 0.9 and a >= 0.9 and m <= 0.05 as high, printf('completeness %.2f; %.0f%% of signals have enough rows; ', c, a * 100) || case when others < 3 then 'cohort too small, compared with all entities' else 'cohort large enough for comparison' end as facts from "
+       "(select r.entity_id, 0.5::double + r.nk % 6 * 0.1::double as c, r.nk % 3 * 0.03::double as m, count(*) over (partition by case when r.nk % 5 < 4 then r.cohort_id else r.cohort_id || '-' || r.nk end) - 1 as others, x.a from registry r join (select entity_id, avg(case when insufficient_data then 0.0::double else 1 end) as a from results group by 1) x using (entity_id)))", *_S)
 
 
 def _scored(t) -> DataFrame:
     q = ingest.quarantine(_checked(t), "run")
     full = scoring.completeness(t.registry, {"alerts": t.alerts, "cases": t.cases.drop("alert_ids", "alert_ref", "ok"), "assets": t.assets}, q)
-    return scoring.ranking(scoring.confidence(scoring.entity_scores(found(t)), full))
+    return scoring.ranking(scoring.confidence(scoring.entity_scores(found(t)), full, peers.cohort_sizes(t.registry)))
 
 
 def _checked(t) -> DataFrame:
@@ -175,6 +183,10 @@ def _rows(t) -> DataFrame:
 
 
 _b.add("exp_01_evidence_rows", lambda t: _rows(t).select("entity_id", "signal_id", "side", "row_id"), "select * from ev5", *_FACTS)
+_TABLE_OF = {r.signal_id: r.table for r in evidence.RULES}
+_KIND = "case " + " ".join(f"when signal_id in ({', '.join(repr(i) for i, x in _TABLE_OF.items() if x == k)}) then '{k}'" for k in ("alerts", "cases") if k in _TABLE_OF.values()) + " end"
+_b.add("scr_11_samples", lambda t: scoring.sample_ids(_rows(t), t.alerts.filter("cast(alert_id as int) % 3 > 0"), _TABLE_OF).select("entity_id", "signal_id", F.array_join("alert_ids", ",").alias("alert_ids"), F.array_join("case_ids", ",").alias("case_ids")),
+       "select entity_id, signal_id, coalesce(string_agg(row_id, ',' order by h) filter (where kind = 'alerts'), '') as alert_ids, coalesce(string_agg(row_id, ',' order by h) filter (where kind = 'cases'), '') as case_ids from (select *, sha256('42|' || signal_id || if(kind = 'alerts', ':alert', ':case') || '|' || row_id) as h from (select distinct entity_id, signal_id, row_id, " + _KIND + " as kind from ev5 where side = 'supports')) x where kind = 'cases' or (kind = 'alerts' and exists (select 1 from alerts a where a.entity_id = x.entity_id and a.alert_id = x.row_id and a.alert_id::int % 3 > 0)) group by 1, 2", *_FACTS)
 _b.add("exp_02_bundles", lambda t: evidence.bundles(found(t), _rows(t)).select("entity_id", "signal_id", F.size("supporting").cast("long").alias("n_supporting"), F.size("counter").cast("long").alias("n_counter"), "absent_reason", "counter_none_reason", "cohort.n_peers", "cohort.median", "cohort.share_below", "evidence_id"),
        "select r.entity_id, r.signal_id, coalesce(ns, 0) as n_supporting, coalesce(nc, 0) as n_counter, case when coalesce(ns, 0) = 0 then if(insufficient_data, 'not enough rows', 'no row supports this signal') end as absent_reason, case when coalesce(nc, 0) = 0 then 'no counter-examples in window' end as counter_none_reason, n_peers, round(median, 6) as median, round(share_below, 6) as share_below, sha256(coalesce(ids, '')) as evidence_id from results r left join bu using (entity_id, signal_id) left join co using (entity_id, signal_id)", *RESULTS, *[c for c in _FACTS if c not in RESULTS], *_BUNDLES)
 _b.add("exp_05_reasons", lambda t: evidence.reasons(found(t)).select("entity_id", "signal_id", "code", "label", "sentence"))
