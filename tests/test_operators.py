@@ -82,6 +82,22 @@ def test_note_similarity_equals_pairs(spark):
     assert math.isclose(got["e"], sum(sims) / 2, rel_tol=1e-9) and got["one"] == 0
 
 
+def test_note_similarity_over_many_blocks(spark, monkeypatch):
+    """Blocks of a few notes, groups with nulls among their keys, and blank notes of any white space, against one block a group; no stored row outgrows its note."""
+    words = "the host was checked and closed as expected after a scan of mail".split()
+    notes = [" ".join(words[(i * k) % len(words)] for k in range(1, 3 + i % 9)) for i in range(300)] + ["", " \t\n", "a", None] * 5
+    df = spark.createDataFrame([(("x", None, "y")[i % 3], (None, "p")[i % 2], n) for i, n in enumerate(notes)], "entity_id string, analyst_id string, notes string").coalesce(1)
+    whole = {(r.entity_id, r.analyst_id): (r.n_notes, r.similarity) for r in text.note_similarity(df, ["entity_id", "analyst_id"]).collect()}
+    stored = []
+    monkeypatch.setattr(text, "written", lambda d, name, w=text.written: stored.append(w(d, name)) or stored[-1])
+    monkeypatch.setattr(text, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(text, "GROUPS_AT_ONCE", 4)
+    cut = {(r.entity_id, r.analyst_id): (r.n_notes, r.similarity) for r in text.note_similarity(df, ["entity_id", "analyst_id"]).collect()}
+    assert len(whole) == 6 and cut.keys() == whole.keys() and all(cut[k][0] == n and math.isclose(cut[k][1], s, rel_tol=1e-9) for k, (n, s) in whole.items())
+    assert stored[0].select("block").distinct().count() > 30 and stored[0].count() == len(notes)
+    assert stored[0].agg(F.max(F.length("note"))).first()[0] < 100
+
+
 def test_copy_paste_and_richness(spark):
     rows = [("e", "one two three four five six seven eight nine ten eleven twelve"), ("e", "one two three four five six seven eight nine ten eleven twelve"), ("e", "x"), ("e", None)]
     df = spark.createDataFrame(rows, "entity_id string, notes string")
