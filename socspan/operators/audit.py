@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import hmac_sha256
+from ..functions.tables import written
 
 GENESIS = "0" * 64
 
@@ -14,23 +20,31 @@ def _entry(prev: Column, x) -> Column:
     return F.sha2(F.concat_ws("||", prev, x["payload_json"], x["seq"].cast("string"), x["ts"], x["run_id"], x["event_type"]), 256)
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by run and sequence number, with prev_hash and entry_hash in place of tail; a run begins with the genesis hash."""
+    run, last = object(), GENESIS
+    for batch in batches:
+        before, after = [], []
+        for r, tail in zip(batch.column("run_id").to_pylist(), batch.column("tail").to_pylist(), strict=True):
+            if r != run:
+                run, last = r, GENESIS
+            before.append(last)
+            last = hashlib.sha256((last + tail).encode()).hexdigest()
+            after.append(last)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(before, pa.string()), pa.array(after, pa.string())], [*batch.schema.names[:-1], "prev_hash", "entry_hash"])
+
+
 def build_chain(events: DataFrame) -> DataFrame:
     """AUD-01: events (run_id, seq, ts, event_type, payload_json) with prev_hash and entry_hash, a chain for each run.
 
     A chain is sequential, so chains are keyed by run and built side by side;
-    a run's events are folded in one array, which its number of events bounds.
+    a run's sorted events stream through one task, which holds the last hash.
+    Nulls are left out of a hash. The chain is written once.
     """
-    runs = events.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("seq", "ts", "event_type", "payload_json", "run_id"))).alias("e"))
-    start = F.struct(F.lit(GENESIS).alias("h"), F.array().cast("array<string>").alias("all"))
-
-    def step(a, x):
-        h = _entry(a["h"], x)
-        return F.struct(h.alias("h"), F.concat(a["all"], F.array(h)).alias("all"))
-
-    hashes = F.aggregate("e", start, step, lambda a: a["all"])
-    rows = runs.select("run_id", F.inline(F.arrays_zip("e", hashes.alias("h"))))
-    prev = F.coalesce(F.lag("h").over(Window.partitionBy("run_id").orderBy("e.seq")), F.lit(GENESIS))
-    return rows.select("run_id", "e.seq", "e.ts", "e.event_type", "e.payload_json", prev.alias("prev_hash"), F.col("h").alias("entry_hash"))
+    rows = events.select("run_id", "seq", "ts", "event_type", "payload_json")
+    schema = T.StructType([*rows.schema, T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+    rows = rows.withColumn("tail", F.concat_ws("||", F.lit(""), "payload_json", F.col("seq").cast("string"), "ts", "run_id", "event_type"))
+    return written(rows.repartition("run_id").sortWithinPartitions("run_id", "seq", "ts", "event_type", "payload_json").mapInArrow(_folded, schema), "chain")
 
 
 def verify_chain(ledger: DataFrame) -> DataFrame:
