@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,17 +27,11 @@ def _filled(notes: str = "notes") -> Column:
     return F.when(n.rlike("\\S"), n).otherwise(F.lit(BLANK))
 
 
-# Arrays that are used more than once are bound as a lambda's variable, transform(array(x), v -> ...)[0]; as
-# columns they would be inlined and evaluated anew for each element.
-
-#: The sorted set of 3-word shingles of notes; all words where there are fewer.
-_SHINGLES = """array_sort(array_distinct(transform(array(regexp_extract_all(lower(coalesce(notes, '')), '([a-z0-9]+)', 1)), t -> case
-    when size(t) >= 3 then transform(sequence(0, size(t) - 3), i -> concat_ws(' ', t[i], t[i + 1], t[i + 2]))
-    when size(t) > 0 then array(array_join(t, ' ')) else cast(array() as array<string>) end)[0]))"""
-
-
 BLOCK_CHARS = 1 << 20  # notes of a group are weighed in blocks of about so many characters
 GROUPS_AT_ONCE = 1 << 16  # groups with an open block in a task
+RARE_BUCKETS = 1 << 20  # counts by which shingles are ordered; a power of two
+SETS_AT_ONCE = 500  # notes whose sets a task holds
+_TOKEN = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"\w\w+", re.ASCII)
 _SPACES = re.compile(r"\s\s+", re.ASCII)
 
@@ -177,6 +172,41 @@ def is_placeholder() -> Column:
     return n.rlike("^\\s*$") | n.rlike(PLACEHOLDER)
 
 
+def _shingled(note: str) -> np.ndarray:
+    """The set of 3-word shingles of a lower-case note (of all its words where there are fewer) as ascending 64-bit hashes."""
+    w = _TOKEN.findall(note)
+    t = [" ".join(x) for x in zip(w, w[1:], w[2:], strict=False)] if len(w) >= 3 else [" ".join(w)] if w else []
+    return np.unique(_hashes(list(set(t))).view(np.int64))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each note that has words: its set, the set's size and two hashes of it."""
+    row = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        group, notes = batch.column("group").to_pylist(), batch.column("note").to_pylist()
+        for lo in range(0, len(notes), SETS_AT_ONCE):
+            out = [(g, s) for g, s in zip(group[lo : lo + SETS_AT_ONCE], map(_shingled, notes[lo : lo + SETS_AT_ONCE]), strict=True) if len(s)]
+            ids = [[xxhash.xxh64_intdigest(s.tobytes(), seed) - (1 << 63) for _, s in out] for seed in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array(range(row, row + len(out)), pa.int64()), *(pa.array(i, pa.int64()) for i in ids), pa.array([len(s) for _, s in out], pa.int32()), pa.array([s for _, s in out], pa.list_(pa.int64()))], ["group", "row", "id", "id2", "k", "s"])
+            row += len(out)
+
+
+def _rarest(counts, share: float):
+    """Of each set, the first shingles in the order of their buckets' counts: two sets that are similar share one of them."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros(0, np.int64)]
+            for s in batch.column("s"):
+                g = s.values.to_numpy()
+                n = len(g) - math.ceil(len(g) * share - 1e-9) + 1
+                out.append(g[np.lexsort((g, counts.value[g & (len(counts.value) - 1)]))[:n]])
+            size = [len(g) for g in out[1:]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("group", "row", "k")), pa.array(np.concatenate(out))], ["group", "row", "k", "g"])
+
+    return first
+
+
 def copy_paste(notes: DataFrame, keys: list[str], p: Params = DEFAULT) -> DataFrame:
     """TXT-05: pairs of notes whose 3-word shingle sets have a Jaccard similarity of p.copy_paste or more, over all pairs.
 
@@ -185,20 +215,42 @@ def copy_paste(notes: DataFrame, keys: list[str], p: Params = DEFAULT) -> DataFr
     shingles of each (prefix filter) and have nearly equal sizes (length
     filter); pairs that pass both are compared exactly. Notes without words
     have no set and are similar to none.
+
+    Sets are found once and written, a 64-bit hash for each shingle. How rare
+    a shingle is comes from counts by the hash's low bits, a table of fixed
+    size; any one order of shingles is right for the filter. Only the filter's
+    shingles are exchanged, and sets only of the pairs that are left.
     """
-    all_n = notes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    classes = notes.select(*keys, F.expr(_SHINGLES).alias("s")).filter(F.size("s") > 0).groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("m")).withColumn("id", F.xxhash64("s"))
-    same = classes.groupBy(*keys).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("same"))
-    rare = classes.select(*keys, F.explode("s").alias("g")).groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = classes.select(*keys, "id", F.size("s").alias("k"), F.explode("s").alias("g")).join(rare, [*keys, "g"])
-    first = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "id").orderBy("df", "g"))).filter(F.col("r") <= F.col("k") - F.ceil(F.col("k") * p.copy_paste) + 1)
-    a, b = (first.select(*keys, "g", F.col("id").alias(f"{x}_id"), F.col("k").alias(f"{x}_k")) for x in "ab")
-    pairs = a.join(b, [*keys, "g"]).filter((F.col("a_id") < F.col("b_id")) & (F.least("a_k", "b_k") >= p.copy_paste * F.greatest("a_k", "b_k"))).select(*keys, "a_id", "b_id").distinct()
+    group = F.xxhash64(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    d = notes.select(*keys, group.alias("group"), F.lower(F.coalesce(F.col("notes"), F.lit(""))).alias("note"))
+    all_n = d.groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("n"))
+    sets = written(d.select("group", "note").mapInArrow(_sets, "group long, row long, id long, id2 long, k int, s array<long>"), "note-sets")
+    classes = written(sets.groupBy("group", "id", "id2", "k").agg(F.count(F.lit(1)).alias("m"), F.min("row").alias("row")), "note-classes")
+    same = classes.groupBy("group").agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("same"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(RARE_BUCKETS, np.int64)
+        for batch in batches:
+            held += np.bincount(batch.column("s").flatten().to_numpy() & (RARE_BUCKETS - 1), minlength=RARE_BUCKETS)
+        hit = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(held[hit])], ["b", "c"])
+
+    few = sets.select("s").coalesce(max(1, notes.sparkSession.sparkContext.defaultParallelism))
+    seen = few.mapInArrow(count, "b long, c long").groupBy("b").agg(F.sum("c").alias("c")).toArrow()  # a row for each bucket
+    counts = np.zeros(RARE_BUCKETS, np.int64)
+    counts[seen.column("b").to_numpy()] = seen.column("c").to_numpy()
+    sent = notes.sparkSession.sparkContext.broadcast(counts)
+    rare = sets.select("group", "row", "k", "s").mapInArrow(_rarest(sent, p.copy_paste), "group long, row long, k int, g long")
+    first = written(rare.join(classes.select("row"), "row", "left_semi"), "note-shingles")  # of one set of each class
+    a, b = (first.select("group", "g", F.col("row").alias(f"{x}_row"), F.col("k").alias(f"{x}_k")) for x in "ab")
+    pairs = written(a.join(b, ["group", "g"]).filter((F.col("a_row") < F.col("b_row")) & (F.least("a_k", "b_k") >= p.copy_paste * F.greatest("a_k", "b_k"))).select("group", "a_row", "b_row").distinct(), "note-pairs")
+    met = pairs.select(F.explode(F.array("a_row", "b_row")).alias("row")).distinct()
+    held = written(sets.join(met, "row", "left_semi").join(classes.select("row", "m"), "row").select("row", "m", "s"), "note-met")
     for x in "ab":
-        pairs = pairs.join(classes.select(*keys, F.col("id").alias(f"{x}_id"), F.col("s").alias(f"{x}_s"), F.col("m").alias(f"{x}_m")), [*keys, f"{x}_id"])
+        pairs = pairs.join(held.select(F.col("row").alias(f"{x}_row"), F.col("s").alias(f"{x}_s"), F.col("m").alias(f"{x}_m")), f"{x}_row")
     common = F.size(F.array_intersect("a_s", "b_s"))
-    alike = pairs.filter(common >= p.copy_paste * (F.size("a_s") + F.size("b_s") - common)).groupBy(*keys).agg(F.sum(F.col("a_m") * F.col("b_m")).alias("alike"))
-    d = all_n.join(same, keys, "left").join(alike, keys, "left")
+    alike = pairs.filter(common >= p.copy_paste * (F.size("a_s") + F.size("b_s") - common)).groupBy("group").agg(F.sum(F.col("a_m") * F.col("b_m")).alias("alike"))
+    d = all_n.join(same, "group", "left").join(alike, "group", "left")
     hits = F.coalesce("same", F.lit(0.0)) + F.coalesce(F.col("alike").cast("double"), F.lit(0.0))
     return d.select(*keys, F.coalesce(hits / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("copy_paste_ratio"))
 

@@ -106,6 +106,27 @@ def test_copy_paste_and_richness(spark):
     assert [r[0] for r in spark.createDataFrame([("N/A",), ("done.",), ("see above",), ("real words",), ("",)], "notes string").select(text.is_placeholder()).collect()] == [True, True, True, False, True]
 
 
+def test_copy_paste_equals_all_pairs(spark, monkeypatch):
+    """Copies, near copies and a phrase that all notes share, in groups with nulls among their keys, against all pairs; a shingle is stored as a number, and only the filter's are exchanged."""
+    import re
+
+    notes = []
+    for i in range(40):
+        w = [f"w{i // 4}x{j}" for j in range(30 + i // 4)] + "closed as expected after a scan".split()
+        w[i % 4 : i % 4 + (i % 4 > 1)] = [f"y{i}"] * (i % 4 > 1)
+        notes.append(" ".join(w).upper() if i % 2 else ", ".join(w))
+    notes += ["", None, "one", "one two", "One  Two"] * 3
+    rows = [((None, "p")[k], n) for n in notes for k in range(2)]
+    stored = {}
+    monkeypatch.setattr(text, "written", lambda d, name, w=text.written: stored.setdefault(name, w(d, name)))
+    got = {r.lang: r.copy_paste_ratio for r in text.copy_paste(spark.createDataFrame(rows, "lang string, notes string").repartition(5), ["lang"]).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if (w := re.findall("[a-z0-9]+", (n or "").lower())) else set() for n in notes]
+    hits = sum(len(a & b) >= 0.9 * len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a and b)
+    assert hits > 20 and all(math.isclose(got[k], hits / (len(notes) * (len(notes) - 1) / 2)) for k in (None, "p"))
+    assert dict(stored["note-sets"].dtypes)["s"] == "array<bigint>"
+    assert stored["note-shingles"].count() < 0.2 * stored["note-sets"].agg(F.sum("k")).first()[0]
+
+
 def results(spark, rows):
     return spark.createDataFrame(rows, "entity_id string, signal_id string, value double, threshold double, is_flagged boolean, score double, severity string, confidence string, insufficient_data boolean, high_band boolean, sample_size long, finding_id string")
 
