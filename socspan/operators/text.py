@@ -30,6 +30,7 @@ def _filled(notes: str = "notes") -> Column:
 BLOCK_CHARS = 1 << 20  # notes of a group are weighed in blocks of about so many characters
 GROUPS_AT_ONCE = 1 << 16  # groups with an open block in a task
 RARE_BUCKETS = 1 << 20  # counts by which shingles are ordered; a power of two
+FAMILY_BLOCK = 512  # sets of a block, about
 SETS_AT_ONCE = 500  # notes whose sets a task holds
 _TOKEN = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"\w\w+", re.ASCII)
@@ -207,6 +208,22 @@ def _rarest(counts, share: float):
     return first
 
 
+def _alike(share: float):
+    """Of the pairs of two blocks: how many pairs of notes are similar, by group."""
+
+    def count(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        held = {row: (m, s.values.to_numpy()) for row, m, s in zip(sets.column("row").to_pylist(), sets.column("m").to_pylist(), sets.column("s"), strict=True)}
+        found: dict[int, int] = {}
+        for group, a, b in zip(*(pairs.column(c).to_pylist() for c in ("group", "a_row", "b_row")), strict=True):
+            (m, x), (n, y) = held[a], held[b]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common >= share * (len(x) + len(y) - common):
+                found[group] = found.get(group, 0) + m * n
+        return pa.table({"group": pa.array(found.keys(), pa.int64()), "alike": pa.array(found.values(), pa.int64())})
+
+    return count
+
+
 def copy_paste(notes: DataFrame, keys: list[str], p: Params = DEFAULT) -> DataFrame:
     """TXT-05: pairs of notes whose 3-word shingle sets have a Jaccard similarity of p.copy_paste or more, over all pairs.
 
@@ -219,7 +236,9 @@ def copy_paste(notes: DataFrame, keys: list[str], p: Params = DEFAULT) -> DataFr
     Sets are found once and written, a 64-bit hash for each shingle. How rare
     a shingle is comes from counts by the hash's low bits, a table of fixed
     size; any one order of shingles is right for the filter. Only the filter's
-    shingles are exchanged, and sets only of the pairs that are left.
+    shingles are exchanged. Sets that share a shingle with the same first set
+    are a family, dealt to blocks of FAMILY_BLOCK; a set goes once to each
+    block that it has a pair in, not once for each pair.
     """
     group = F.xxhash64(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
     d = notes.select(*keys, group.alias("group"), F.lower(F.coalesce(F.col("notes"), F.lit(""))).alias("note"))
@@ -244,12 +263,16 @@ def copy_paste(notes: DataFrame, keys: list[str], p: Params = DEFAULT) -> DataFr
     first = written(rare.join(classes.select("row"), "row", "left_semi"), "note-shingles")  # of one set of each class
     a, b = (first.select("group", "g", F.col("row").alias(f"{x}_row"), F.col("k").alias(f"{x}_k")) for x in "ab")
     pairs = written(a.join(b, ["group", "g"]).filter((F.col("a_row") < F.col("b_row")) & (F.least("a_k", "b_k") >= p.copy_paste * F.greatest("a_k", "b_k"))).select("group", "a_row", "b_row").distinct(), "note-pairs")
-    met = pairs.select(F.explode(F.array("a_row", "b_row")).alias("row")).distinct()
-    held = written(sets.join(met, "row", "left_semi").join(classes.select("row", "m"), "row").select("row", "m", "s"), "note-met")
+    lead = first.groupBy("group", "g").agg(F.min("row").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    led = written(first.join(lead, ["group", "g"]).groupBy("row").agg(F.min("lead").alias("lead")), "note-leads")
+    parts = led.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).alias("parts"))
+    home = led.join(parts, "lead").select("row", F.xxhash64("lead", F.pmod(F.xxhash64("row"), "parts")).alias("home"))
     for x in "ab":
-        pairs = pairs.join(held.select(F.col("row").alias(f"{x}_row"), F.col("s").alias(f"{x}_s"), F.col("m").alias(f"{x}_m")), f"{x}_row")
-    common = F.size(F.array_intersect("a_s", "b_s"))
-    alike = pairs.filter(common >= p.copy_paste * (F.size("a_s") + F.size("b_s") - common)).groupBy("group").agg(F.sum(F.col("a_m") * F.col("b_m")).alias("alike"))
+        pairs = pairs.join(home.select(F.col("row").alias(f"{x}_row"), F.col("home").alias(f"{x}_home")), f"{x}_row")
+    meet = written(pairs.select("group", "a_row", "b_row", F.xxhash64(F.least("a_home", "b_home"), F.greatest("a_home", "b_home")).alias("meet")), "note-meetings")
+    come = meet.select(F.col("meet").alias("at"), F.explode(F.array("a_row", "b_row")).alias("row")).distinct()
+    brought = come.join(sets.select("row", "s"), "row").join(classes.select("row", "m"), "row").select("at", "row", "m", "s")
+    alike = meet.groupBy("meet").cogroup(brought.groupBy("at")).applyInArrow(_alike(p.copy_paste), "group long, alike long").groupBy("group").agg(F.sum("alike").alias("alike"))
     d = all_n.join(same, "group", "left").join(alike, "group", "left")
     hits = F.coalesce("same", F.lit(0.0)) + F.coalesce(F.col("alike").cast("double"), F.lit(0.0))
     return d.select(*keys, F.coalesce(hits / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("copy_paste_ratio"))

@@ -118,6 +118,7 @@ def test_copy_paste_equals_all_pairs(spark, monkeypatch):
     notes += ["", None, "one", "one two", "One  Two"] * 3
     rows = [((None, "p")[k], n) for n in notes for k in range(2)]
     stored = {}
+    monkeypatch.setattr(text, "FAMILY_BLOCK", 2)
     monkeypatch.setattr(text, "written", lambda d, name, w=text.written: stored.setdefault(name, w(d, name)))
     got = {r.lang: r.copy_paste_ratio for r in text.copy_paste(spark.createDataFrame(rows, "lang string, notes string").repartition(5), ["lang"]).collect()}
     sets = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if (w := re.findall("[a-z0-9]+", (n or "").lower())) else set() for n in notes]
