@@ -309,12 +309,14 @@ def topic_table(assigned: DataFrame) -> DataFrame:
 
 def topic_labels(assigned: DataFrame, top: int = 8) -> DataFrame:
     """TXT-10: the top terms of each topic by mean TF-IDF, from rows (topic, notes)."""
-    d = assigned.select("topic", F.monotonically_increasing_id().alias("_id"), tokens(F.col("notes")).alias("w"))
+    d = assigned.select("topic", tokens(F.col("notes")).alias("w"))
     n = d.groupBy("topic").agg(F.count(F.lit(1)).alias("members"))
-    tf = d.select("topic", "_id", F.explode("w").alias("term")).groupBy("topic", "_id", "term").agg(F.count(F.lit(1)).alias("c"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    row = lambda c, of: lambda x: F.struct(x.alias("term"), F.lit(c).alias("c"), F.lit(of).alias("of"))
+    words = d.select("topic", F.inline(F.concat(F.transform("w", row(1, 0)), F.transform(F.array_distinct("w"), row(0, 1)))))
+    tf = words.groupBy("topic", "term").agg(F.sum("c").alias("c"), F.sum("of").alias("of"))  # a task sends a row for each term of a topic, not of a note
+    df = tf.groupBy("term").agg(F.sum("of").alias("df"))
     total = d.agg(F.count(F.lit(1)).alias("total"))
     w = tf.join(df, "term").crossJoin(F.broadcast(total))  # total is one row
-    s = w.groupBy("topic", "term").agg(F.sum(F.col("c") * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1)).alias("s"))
+    s = w.select("topic", "term", (F.col("c") * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1)).alias("s"))
     r = s.join(n, "topic").select("topic", "term", (F.col("s") / F.col("members")).alias("weight"))
     return r.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 9)), "term"))).filter(F.col("rank") <= top)
