@@ -15,6 +15,7 @@ from .text import _char_grams, _filled, _word_grams
 
 DIMS = 128
 BUCKETS = 4096  # of hashed grams: half of them for words, half for characters
+NOTES_AT_ONCE = 512  # notes whose matrix a task holds
 OVER, PASSES, SEED = 16, 3, 42  # columns beyond DIMS in the sketch, and multiplications by the matrix and its transpose
 
 
@@ -22,23 +23,26 @@ def _counted(note: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a note's grams in ascending order, and 1 + ln of their counts."""
     half, at, w = buckets // 2, [], []
     for kind, grams in enumerate((_word_grams, _char_grams)):
-        b, n = np.unique((grams(note) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(half), return_counts=True)
+        n = np.bincount(((grams(note) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(half)).astype(np.int64), minlength=half)
+        b = np.flatnonzero(n)
         at.append(b.astype(np.int32) + np.int32(kind * half))
-        w.append(1 + np.log(n))
+        w.append(1 + np.log(n[b]))
     return np.concatenate(at), np.concatenate(w)
 
 
-def _unit(at: np.ndarray, w: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Weights of a note by idf, those of words and those of characters each scaled to length 1."""
-    x = w * idf[at]
-    for part in (at < len(idf) // 2, at >= len(idf) // 2):
-        if (norm := np.sqrt((x[part] ** 2).sum())) > 0:
-            x[part] /= norm
-    return x
-
-
-def _rows(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    return ((np.frombuffer(a, np.int32), np.frombuffer(w)) for a, w in zip(pdf["at"], pdf["w"], strict=True))
+def _blocks(pdfs: Iterator[pd.DataFrame], buckets: int, idf: np.ndarray) -> Iterator[np.ndarray]:
+    """Notes by blocks of NOTES_AT_ONCE, each a matrix: weights by idf, those of words and those of characters of a note each scaled to length 1."""
+    for pdf in pdfs:
+        for lo in range(0, len(pdf), NOTES_AT_ONCE):
+            part = pdf[lo : lo + NOTES_AT_ONCE]
+            at, w = np.frombuffer(b"".join(part["at"]), np.int32), np.frombuffer(b"".join(part["w"]))
+            row = np.repeat(np.arange(len(part)), part["at"].map(len) // at.itemsize)
+            vector = row * 2 + (at >= buckets // 2)  # a note has two, of words and of characters
+            x = w * idf[at]
+            norm = np.sqrt(np.bincount(vector, x * x, minlength=2 * len(part)))
+            block = np.zeros((len(part), buckets))
+            block[row, at] = x / norm[vector]
+            yield block
 
 
 def _idf(sparse: DataFrame, n: int, buckets: int) -> np.ndarray:
@@ -47,8 +51,7 @@ def _idf(sparse: DataFrame, n: int, buckets: int) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(buckets, np.int64)
         for pdf in batches:
-            for at, _ in _rows(pdf):
-                held[at] += 1
+            held += np.bincount(np.frombuffer(b"".join(pdf["at"]), np.int32), minlength=buckets)
         hit = np.flatnonzero(held)
         yield pd.DataFrame({"bucket": hit, "n": held[hit]})
 
@@ -59,7 +62,7 @@ def _idf(sparse: DataFrame, n: int, buckets: int) -> np.ndarray:
 
 
 def _times(sparse: DataFrame, idf: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """X'Xv, where X has a row for each note: tasks send a row for each bucket that they met, whatever the number of their notes."""
+    """X'Xv, where X has a row for each note: tasks multiply blocks of notes, and send a row for each bucket that they met, whatever the number of their notes."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
@@ -68,10 +71,8 @@ def _times(sparse: DataFrame, idf: np.ndarray, v: np.ndarray) -> np.ndarray:
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, v = sent.value
         z = np.zeros_like(v)
-        for pdf in batches:
-            for at, w in _rows(pdf):
-                x = _unit(at, w, idf)
-                z[at] += np.outer(x, x @ v[at])
+        for x in _blocks(batches, len(v), idf):
+            z += x.T @ (x @ v)
         if len(hit := np.flatnonzero(z.any(axis=1))):
             yield pd.DataFrame({"bucket": hit, "part": list(z[hit])})
 
@@ -127,6 +128,6 @@ def text_vectors(notes: DataFrame, id_col: str, dims: int = DIMS, buckets: int =
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, basis = sent.value
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "vector": [_unit(at, w, idf) @ basis[at] for at, w in _rows(pdf)]})
+            yield pd.DataFrame({id_col: pdf[id_col], "vector": [v for x in _blocks(iter([pdf]), buckets, idf) for v in x @ basis]})
 
     return sparse.mapInPandas(project, T.StructType([schema[id_col], T.StructField("vector", T.ArrayType(T.DoubleType()))]))

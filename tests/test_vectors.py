@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from socspan.operators import vectors as tv
@@ -61,3 +62,13 @@ def test_one_note_and_none(spark):
     digest = hashlib.sha256(b"Only this").digest()
     assert np.allclose(tv.text_vectors(one, "n").first().vector, [digest[i % 32] / 255 for i in range(tv.DIMS)])
     assert tv.text_vectors(one.limit(0), "n").count() == 0
+
+
+def test_notes_are_multiplied_by_blocks(notes):
+    some = [*notes[:5], "a", *notes[5:9]]  # "a" has no grams
+    rows = [tv._counted(n, 512) for n in some]
+    pdf = pd.DataFrame({"at": [at.tobytes() for at, _ in rows], "w": [w.tobytes() for _, w in rows]})
+    df = np.bincount(np.concatenate([at for at, _ in rows]), minlength=512)
+    blocks = list(tv._blocks(iter([pdf, pdf[:0]]), 512, np.log((1 + len(some)) / (1 + df)) + 1))
+    assert len(blocks) == 1 and not blocks[0][5].any() and np.allclose(blocks[0], _matrix(some, 512))
+    assert sum(len(b) for b in tv._blocks(iter([pd.concat([pdf] * 60)]), 512, np.ones(512))) == 600
