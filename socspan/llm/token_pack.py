@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+import threading
 import uuid
 import zlib
 from array import array
@@ -41,6 +42,7 @@ BLOCK_IDS = 16384  # a multiple of 8, so that every block ends on a byte
 SPAN_IDS = 1 << 20  # ids unpacked at once when a shard is read through
 ENCODE_CHARS = 1 << 20  # about as many characters are encoded at once
 CACHE_WORDS = 1_800_000  # memory bound of the words whose ids a worker remembers
+IDLE_S = 3  # seconds without token work after which a worker forgets them
 
 MANIFEST = "shard long, path string, n_docs long, n_ids long"
 
@@ -201,6 +203,14 @@ class _Words(dict):
 
 
 _WORDS: dict[str, _Words] = {}
+_IDLE: list[threading.Timer] = []
+
+
+def _forget_later() -> None:
+    """Words and model go after IDLE_S, unless a next task asks for them: the worker lives on for other work."""
+    _IDLE.append(timer := threading.Timer(IDLE_S, _WORDS.clear))
+    timer.daemon = True
+    timer.start()
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
@@ -211,6 +221,8 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     texts with other spacing, or with the string of a special token, go to the
     library whole.
     """
+    while _IDLE:
+        _IDLE.pop().cancel()
     words = _WORDS.get(path) or _WORDS.setdefault(path, _Words(path))
     words.age()
     return [words.encode(t) for t in texts]
@@ -242,6 +254,7 @@ def _writer(folder: str, path: str, bits: int, end_id: int):
         if out is not None:
             w.close()
             out.close()
+            _forget_later()
             yield pd.DataFrame({"shard": [shard], "path": [to], "n_docs": [len(w.docs)], "n_ids": [w.n_ids]})
 
     return write

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -77,3 +78,20 @@ def test_random_access(tmp_path):
         r = tp.ShardReader(f)
         assert (r.ids(50_001, 70_007) == ids[50_001:70_007]).all()
         assert len(r.ids(5, 5)) == 0 and r.n_ids == 100_000
+
+
+def test_an_idle_worker_forgets_its_words(spark, tmp_path):
+    def held(batches):
+        import time
+
+        time.sleep(tp.IDLE_S + 1)
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(tp._WORDS)] * len(pdf)})
+
+    docs = spark.createDataFrame([(i, f"word{i} of a text") for i in range(40)], "doc_id long, text string")
+    tp.write_tokens(docs, PATH, folder=str(tmp_path / "tokens")).count()
+    assert {r.n for r in spark.range(0, 16, 1, 16).mapInPandas(held, "n long").collect()} == {0}
+    first = tp.encode(["some words"], PATH)[0]
+    tp._forget_later()
+    assert (tp.encode(["some words"], PATH)[0] == first).all()
+    assert not tp._IDLE and tp._WORDS  # work that goes on keeps them
