@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -92,19 +93,27 @@ def facts(t, p: Params = DEFAULT) -> dict[str, DataFrame]:
 def evidence_rows(t, p: Params = DEFAULT, rules: list[Rule] = RULES) -> DataFrame:
     """EXP-01: (entity_id, signal_id, side, row_id, row_json): the first ROWS rows for and against each signal, by id.
 
-    Each table is passed once: a row names all signals and sides it belongs to.
-    The window keeps no more than ROWS rows of a group on each task before the
-    exchange (Catalyst's window group limit), so a hot entity isn't moved.
+    Each table is passed once: a row has a bit for each signal and side it
+    belongs to. The first ROWS rows of a side are among the first ROWS of each
+    set of bits, so rows are cut down by entity and set before they are repeated
+    for their sides. Windows keep no more than ROWS rows of a group on each task
+    before the exchange (Catalyst's window group limit), so a hot entity isn't
+    moved.
     """
     have, out = facts(t, p), None
     for table in dict.fromkeys(r.table for r in rules):
         key, shown = SHOWN[table]
-        sides = []
+        sides, names = [], []
         for r in (r for r in rules if r.table == table):
             among, supports = F.coalesce(F.expr(r.among), F.lit(False)), F.coalesce(F.expr(r.supports), F.lit(False))
             against = F.coalesce(F.expr(r.counters), F.lit(False)) if r.counters else ~supports
-            sides += [F.when(among & supports, F.struct(F.lit(r.signal_id).alias("signal_id"), F.lit("supports").alias("side"))), F.when(among & against, F.struct(F.lit(r.signal_id).alias("signal_id"), F.lit("counters").alias("side")))]
-        d = have[table].select("entity_id", F.col(key).cast("string").alias("row_id"), F.to_json(F.struct(*shown)).alias("row_json"), F.inline(F.array_compact(F.array(*sides))))
+            sides += [among & supports, among & against]
+            names += [(r.signal_id, "supports"), (r.signal_id, "counters")]
+        bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(c, F.lit(1 << i)).otherwise(0).cast("long") for i, c in enumerate(sides)))
+        d = have[table].select("entity_id", F.col(key).cast("string").alias("row_id"), F.to_json(F.struct(*shown)).alias("row_json"), bits.alias("bits")).filter("bits <> 0")
+        d = d.withColumn("k", F.row_number().over(Window.partitionBy("bits", "entity_id").orderBy("row_id", "row_json"))).filter(F.col("k") <= ROWS)
+        of = [F.when(F.col("bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.struct(F.lit(s).alias("signal_id"), F.lit(side).alias("side"))) for i, (s, side) in enumerate(names)]
+        d = d.select("entity_id", "row_id", "row_json", F.inline(F.array_compact(F.array(*of))))
         d = d.withColumn("k", F.row_number().over(Window.partitionBy("entity_id", "signal_id", "side").orderBy("row_id", "row_json"))).filter(F.col("k") <= ROWS).drop("k")
         out = d if out is None else out.unionByName(d)
     return out
