@@ -313,3 +313,25 @@ def test_signal_invariants(spark):
     for x in r:
         assert 0 <= x.score <= 1 and not math.isnan(x.value)
         assert not (x.insufficient_data and (x.is_flagged or x.value))
+
+
+def test_topics_read_the_notes_a_few_times_whatever_the_iterations(spark):
+    from socspan.operators import text
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    notes = spark.createDataFrame([(i, f"word{i % 3} other{i % 5} same") for i in range(40)], "id long, notes string").mapInPandas(count, "id long, notes string")
+    assert sorted(r.id for r in text.topics(notes, "id", k=2, iterations=6).collect()) == list(range(40))
+    assert seen.value <= 3 * 40
+
+
+def test_all_signals_come_from_one_wide_row(spark):
+    from socspan.plans import signal_queries
+
+    files = signal_queries.QUERIES["sig_all"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/signal-inputs" in f for f in files)
