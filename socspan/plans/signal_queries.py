@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.tables import written
 from ..operators import signals
 from ..operators.signals import COMPOSITES, SIGNALS
 from ..params import SEVERITY_RANK
@@ -75,7 +76,7 @@ def _inputs(s: signals.Signal):
 
 for _s in SIGNALS:
     _b.add("sig_" + _s.id.lower().replace("-", "_"), _inputs(_s), f"select {SELECT} from ({rule(_s)})", *wide(signals.needed([_s])))
-_b.add("sig_all", lambda t: signals.evaluate(signals.metrics(t)).select(*COLUMNS), f"select {SELECT} from results", *wide(), RESULTS)
+_b.add("sig_all", lambda t: signals.evaluate(written(signals.metrics(t.stored()), "signal-inputs")).select(*COLUMNS), f"select {SELECT} from results", *wide(), RESULTS)
 
 
 def _tree(t) -> str:
