@@ -101,7 +101,7 @@ def _sent(t) -> dict[str, DataFrame]:
 
 
 def _submitted(t) -> submission.Submission:
-    return submission.materialize(_sent(t), "run", AS_OF)
+    return submission.materialize(_sent(t), "run", AS_OF, stage=True)
 
 
 _SUBMITTED = [

@@ -10,6 +10,8 @@ from ..params import DEFAULT, DISPOSITIONS, SEVERITIES, SEVERITY_MAP, STATUSES,
 
 #: Time formats that are tried in order; seconds may have a fraction.
 TIME_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]Z", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]", "dd/MM/yyyy HH:mm"]
+#: What a text must match to fit each of them at all: a format that is tried in vain costs an exception, many times a match.
+TIME_SHAPES = ["(?i)t.*[+-]\\d{4}$", "(?i)t.*([+-]\\d{2}:\\d{2}|z)$", "(?i)t.*\\d$", "\\d \\d", "/"]
 TIMES = ["detected_ts", "ack_ts", "triage_start_ts", "triage_end_ts", "open_ts", "close_ts"]
 
 
@@ -53,8 +55,11 @@ def parse_time(c: Column, zone: str = "UTC", formats: list[str] = TIME_FORMATS)
     without seconds, a space before the offset); null where that fails too.
     """
     c, out = F.trim(c), []
+    shapes = dict(zip(TIME_FORMATS, TIME_SHAPES, strict=True))
     for f in formats:
         t = F.try_to_timestamp(c, F.lit(f))
+        if f in shapes:
+            t = F.when(c.rlike(shapes[f]), t)
         out.append(t if f.endswith(("Z", "X")) else F.to_utc_timestamp(t, zone))
     general = F.try_to_timestamp(c)
     return F.coalesce(*out, F.when(c.rlike("(Z|UTC|GMT|[+-]\\d{2}:?\\d{2})$") & c.rlike("\\d:\\d"), general).otherwise(F.to_utc_timestamp(general, zone)))

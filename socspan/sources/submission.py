@@ -181,7 +181,7 @@ def materialize(raw: dict[str, DataFrame], run_id: str, as_of: str, mappings: di
     for t, make in (("cases", derived_cases), ("assets", derived_assets), ("telemetry", lambda a: derived_telemetry(a, as_of))):
         alerts = rows["alerts"]
         if t in rows:
-            alerts = alerts.join(raw[t].select("entity_id").distinct(), "entity_id", "left_anti")
+            alerts = alerts.join((rows if stage else raw)[t].select("entity_id").distinct(), "entity_id", "left_anti")
         new = make(alerts)
         new = new.withColumns({"record_hash": F.sha2(F.to_json(F.struct(*sorted(new.columns))), 256), "source_file_hash": F.sha2(F.concat_ws(":", "entity_id", F.lit(t)), 256), "ingest_ts": F.lit(as_of).cast("timestamp")})
         rows[t] = rows[t].unionByName(new, allowMissingColumns=True) if t in rows else new

@@ -63,3 +63,21 @@ def test_a_submission_is_written_from_one_pass(spark, tmp_path):
         assert spark.read.parquet(f"{tmp_path}/out/{t}").count() == c["valid"]
     report = spark.read.json(f"{tmp_path}/out/ingest_report")
     assert {r.record_type: r.n for r in report.groupBy("record_type").agg(F.sum("total_rows").alias("n")).collect()} == {t: c["total"] for t, c in counts.items()}
+
+
+def test_formats_are_tried_only_where_the_shape_fits(spark):
+    odd = ["2024-01-02t03:04:05z", "2024-01-02T03:04:05-00:30", "2024-01-02T03:04:05.1-0330", "02/01/2024 03:04:05", "2024-01-02  03:04:05", "2024-1-2 3:04:05", "T1", "1/2", "2024-01-02 03:04:05.5+0530", "2024-01-02T03:04:05.123456789", "2024-01-02T03:04:05\n"]
+    df = spark.createDataFrame([(k,) for k in [*TIMES, *odd]], "s string")
+    c, each = F.trim("s"), []
+    for f in ingest.TIME_FORMATS:
+        t = F.try_to_timestamp(c, F.lit(f))
+        each.append((t if f.endswith(("Z", "X")) else F.to_utc_timestamp(t, "Asia/Kolkata"), c.rlike(ingest.TIME_SHAPES[len(each)])))
+    missed = df.select("s", *(F.coalesce(t.isNotNull() & ~m, F.lit(False)).alias(f"x{i}") for i, (t, m) in enumerate(each)))
+    assert not [r for r in missed.collect() if any(r[1:])]
+
+
+def test_the_submission_query_reads_mapped_rows(spark):
+    from socspan.plans import score_queries
+
+    files = score_queries.QUERIES["map_13_rejected"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/mapped-" in f for f in files)
