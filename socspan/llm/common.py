@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +17,10 @@ from pyspark.sql import types as T
 BATCH_ROWS = 500
 
 
+#: Folders that were named within temporary(), if one is entered.
+_MADE: ContextVar[list[str] | None] = ContextVar("_MADE", default=None)
+
+
 def refuse(df: DataFrame, *names: str) -> DataFrame:
     """df, if none of its columns has one of these names, which an operator adds or uses; else a ValueError says which."""
     if clash := sorted({c for c in df.columns if c.lower() in {n.lower() for n in names}}):
@@ -35,7 +42,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="socspan-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Removes on the way out the folders of shared_dir() and written() that were named within; nothing may read them after that."""
+    token = _MADE.set(made := [])
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            fs, name = file_at(path)
+            if fs.get_file_info(name).type == pafs.FileType.Directory:
+                fs.delete_dir(name)
 
 
 def short_batches(spark: SparkSession) -> None:

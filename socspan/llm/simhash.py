@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import docs_of, file_at, shared_dir, short_batches, written
+from .common import docs_of, file_at, shared_dir, short_batches, temporary, written
 
 HOT = 256  # fingerprints that share a segment, beyond which their pairs aren't enumerated
 
@@ -159,6 +159,7 @@ TOP, UNDER = 4, 5
 COMMON_LEAST = 2  # texts of a task's stretch of CHUNK shingles in which a shingle counts as common
 CHUNK = 4_000_000
 RANKS = 1 << 22  # buckets by hash of the table of how common shingles are, a byte each; it sets an order and changes no result
+MARKS = 1 << 26  # bits by hash of the table of texts that are in a pair; it keeps most others from being sent and changes no result
 STEP = 1.12  # set sizes whose ratio is below this are one class
 
 
@@ -282,22 +283,48 @@ def _sets(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["s", "n", "bits"])
 
 
+def _marked(path: str):
+    """Whether an id may be among those of the files below path: never false for one of them, seldom true for another."""
+
+    @F.pandas_udf(T.BooleanType())
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fs, name = file_at(path)
+        marks = np.zeros(MARKS // 8, np.uint8)
+        for batch in ds.dataset(name, filesystem=fs, format="parquet").to_batches():
+            at = batch.column("id").to_numpy() & (MARKS - 1)
+            np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for ids in batches:
+            at = ids.to_numpy() & (MARKS - 1)
+            yield pd.Series((marks[at >> 3] >> (at & 7)) & 1 == 1)
+
+    return of
+
+
+def _in_pairs(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Those rows (id, ..) whose id may be in a pair (a, b), told in their own task before anything is sent, and the ids of pairs."""
+    path = shared_dir(rows.sparkSession, "near-ids")
+    pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().write.parquet(path)
+    return rows.filter(_marked(path)("id")), rows.sparkSession.read.schema("id long").parquet(path)
+
+
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of text ids whose shingle sets have enough similarity; only sets of texts in pairs are made.
 
     Each bit in which the bitmaps of two sets differ is an element that only
     one of them has, and similar sets have a ninth of both sizes of these at
-    most. Pairs that differ more go before the sets are fetched. Copies of a
-    text are dropped in each task before they are sent.
+    most. Pairs that differ more go before the sets are fetched. Texts that are
+    in no pair, and copies of a text, are dropped in each task before they are
+    sent.
     """
     pairs = written(pairs, "near-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    held = written(texts.dropDuplicates(["id"]).join(ids, "id", "left_semi").select("id", _sets("text").alias("x")).select("id", "x.*"), "near-sets")
-    side = lambda c, *cols: held.select(F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in cols))
+    some, ids = _in_pairs(texts, pairs)
+    held = written(some.dropDuplicates(["id"]).join(ids, "id", "left_semi").select("id", _sets("text").alias("x")).select("id", "x.*"), "near-sets")
+    side = lambda c, *cols, of=held: of.select(F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in cols))
     both = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(BITS // 64)))
     near = written(both.filter((TOP + UNDER) * apart <= (UNDER - TOP) * (F.col("a_n") + F.col("b_n"))).select("a", "b"), "near-pairs")
-    both = near.join(side("a", "s"), "a").join(side("b", "s"), "b")
+    left = _in_pairs(held.select("id", "s"), near)[0]
+    both = near.join(side("a", "s", of=left), "a").join(side("b", "s", of=left), "b")
     shared = F.size(F.array_intersect("a_s", "b_s"))
     return written(both.filter(UNDER * shared >= TOP * (F.size("a_s") + F.size("b_s") - shared)).select("a", "b"), "near-links")
 
@@ -369,19 +396,9 @@ def near_links(sketch: DataFrame, texts: DataFrame) -> DataFrame:
     return similarity_links(nodes, texts, path, fingerprint_links(nodes, texts))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each group linked at a similarity of 0.8 of 5-word shingles one row stays, that of the smallest doc_id.
-
-    Copies of a text are told by its MD5 and are one node of the group; of
-    repeated rows one stays; null doc_ids come last; null text counts as empty,
-    and texts without a word are one group. Very long texts count whole: their
-    shingles are held one text at a time. An empty table stays empty. The
-    columns of docs come back; those that begin with an underscore are refused.
-    """
-    if bad := [c for c in docs.columns if c.startswith("_")]:
-        raise ValueError(f"columns {bad} begin with an underscore")
-    short_batches(docs.sparkSession)
-    text, salted = F.coalesce("text", F.lit("")), []
+def _staying(docs: DataFrame, text: Column) -> DataFrame:
+    """Of each group of near-duplicates of docs by text the row that stays: its copy (MD5), doc_id, and how many rows have both."""
+    salted: list[int] = []
     while True:
         fields = _fields(text, salted)
         occurrences = docs.select(*fields, F.col("doc_id").cast("long").alias("doc_id")).groupBy("id", "copy", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
@@ -395,8 +412,28 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     sketch = written(texts.mapInPandas(_sketched, SKETCH), "near-sketch")
     found = components(near_links(sketch, texts))
     rooted = copies.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    stays = rooted.groupBy("root").agg(F.min(F.struct("first", "copy")).alias("k")).select(F.col("k.copy").alias("_stay"), F.col("k.first.doc_id").alias("_first"), F.col("k.first.rows").alias("_rows"))
-    stays = written(stays, "near-stays")
+    return rooted.groupBy("root").agg(F.min(F.struct("first", "copy")).alias("k")).select(F.col("k.copy").alias("_stay"), F.col("k.first.doc_id").alias("_first"), F.col("k.first.rows").alias("_rows"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs without near-duplicates: of each group linked at a similarity of 0.8 of 5-word shingles one row stays, that of the smallest doc_id.
+
+    Copies of a text are told by its MD5 and are one node of the group; of
+    repeated rows one stays; null doc_ids come last; null text counts as empty,
+    and texts without a word are one group. Very long texts count whole: their
+    shingles are held one text at a time. An empty table stays empty. The
+    columns of docs come back; those that begin with an underscore are refused.
+    What is written on the way is removed, but for the table of rows that stay.
+    """
+    if bad := [c for c in docs.columns if c.startswith("_")]:
+        raise ValueError(f"columns {bad} begin with an underscore")
+    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
+    short_batches(spark)
+    path = shared_dir(spark, "near-stays")
+    with temporary():
+        stays = _staying(docs, text)
+        stays.write.parquet(path)
+    stays = spark.read.schema(stays.schema).parquet(path)
     rows = docs.withColumn("_copy", F.md5(text)).join(stays, F.col("_copy") == F.col("_stay")).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_first")))
     if not stays.filter("_rows > 1").isEmpty():
         rows = rows.dropDuplicates(["_copy"])

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from socspan.llm import common
 from socspan.llm import simhash as sh
 
 
@@ -136,6 +137,26 @@ def test_every_link_is_found(spark, monkeypatch):
     assert got == sorted(set(brute_components(rows, jaccard)))
 
 
+def test_what_is_sent_and_left(spark, monkeypatch):
+    """Texts in no pair are dropped before they are exchanged; of what is written only the table of rows that stay is left."""
+    ids = spark.createDataFrame([(1 << 40 | i,) for i in range(2000)], "id long")
+    monkeypatch.setattr(sh, "MARKS", 1 << 16)
+    some, told = sh._in_pairs(ids, ids.filter("id % 500 = 7").selectExpr("id as a", "id + 5 as b"))
+    left, want = ({r.id for r in x.collect()} for x in (some, told))
+    assert len(want) == 8 and want <= left and len(left) < 20
+    assert sh._in_pairs(ids, ids.limit(0).selectExpr("id as a", "id as b"))[0].count() == 0
+
+    made = []
+    named = common.shared_dir
+    monkeypatch.setattr(common, "shared_dir", lambda *x: made.append(named(*x)) or made[-1])
+    monkeypatch.setattr(sh, "shared_dir", common.shared_dir)
+    rows = [(i, t) for i, t in enumerate(corpus(7))]
+    out = sh.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    there = [p for p in made if common.file_at(p)[0].get_file_info(common.file_at(p)[1]).type.name == "Directory"]
+    assert len(made) > 5 and [p.rpartition("/")[2].rpartition("-")[0] for p in there] == ["near-stays"]
+    assert out.count() == len(set(brute_components(rows, jaccard)))
+
+
 def test_word_shingles(monkeypatch):
     """Equal hashes are equal runs of words, whatever the block that a word falls into."""
     r = random.Random(3)
