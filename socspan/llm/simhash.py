@@ -87,6 +87,9 @@ def links_within_3(nodes: DataFrame) -> DataFrame:
     away) are all within 3 bits of each other row, so a group of such an x gets
     links to one of its rows. The geometry bounds these groups, whatever the
     number of copies.
+
+    Spark sizes the look-ups as if each array had one element, a 33rd of what
+    they are, and would broadcast them; so that join is told to sort.
     """
     halves = lambda cols: F.inline(F.array(*(F.struct(F.lit(s).alias("half"), *cols(s)) for s in range(2))))
     table = nodes.select("fp", halves(lambda s: [_half("fp", s).alias("key")]))
@@ -94,7 +97,7 @@ def links_within_3(nodes: DataFrame) -> DataFrame:
     size = table.groupBy("half", "key").agg(F.count(F.lit(1)).alias("n"))
     hot = written(size.filter(F.col("n") > HOT).drop("n"), "simhash-hot")
     cold = table.join(hot, ["half", "key"], "left_anti").withColumnRenamed("fp", "a")
-    pairs = look.withColumnRenamed("fp", "b").join(cold, ["half", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3)).select("a", "b")
+    pairs = look.withColumnRenamed("fp", "b").hint("merge").join(cold, ["half", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3)).select("a", "b")
 
     other = F.when(F.col("half") == 0, _half("fp", 1)).otherwise(_half("fp", 0))
     rows = table.join(hot, ["half", "key"], "left_semi").select("half", "key", "fp", F.lit(True).alias("row"), _within(other, 32, 1).alias("x"))
