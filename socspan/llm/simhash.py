@@ -360,7 +360,8 @@ def similarity_links(nodes: DataFrame, texts: DataFrame, ranks: str, links: Data
     shingles, which links a group of near copies by as many pairs as it has
     texts. Then, where a key still has texts of different components, those
     outside its largest component meet all that aren't in their own; for that,
-    each looks up the size classes that texts similar to it can have.
+    each looks up the size classes that texts similar to it can have. Spark
+    sizes these look-ups as one a text, so they are kept from being broadcast.
     """
     prefixes = texts.mapInPandas(_prefixes(ranks), "key long, id long, at int, n int")
     shared = prefixes.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("key")
@@ -385,7 +386,7 @@ def similarity_links(nodes: DataFrame, texts: DataFrame, ranks: str, links: Data
     out = rows.filter("root != most").select("key", *(F.col(c).alias(f"o_{c}") for c in ("id", "root", "n", "rest")))
     out = out.filter(hi >= lo).withColumn("class", F.explode(F.sequence(step(lo), step(hi))))
     inner = rows.withColumn("class", step(F.col("n"))).drop("most")
-    rest = out.join(inner, ["key", "class"]).filter((F.col("root") != F.col("o_root")) & enough("", "o_")).select(*pair("id", "o_id")).distinct()
+    rest = out.hint("merge").join(inner, ["key", "class"]).filter((F.col("root") != F.col("o_root")) & enough("", "o_")).select(*pair("id", "o_id")).distinct()
     return links.unionByName(_similar(rest, texts))
 
 
