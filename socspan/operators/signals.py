@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp01, clean_float, finding_id, share
-from ..functions.tables import written
+from ..functions.tables import settled, written
 from ..params import DEFAULT, SEVERITY_RANK, Params
 from .coverage import coverage_summary, daily_alerts, detrended, is_critical, is_facing, perimeter_blind
 from .temporal import bursts
@@ -138,7 +138,7 @@ def metrics(t, p: Params = DEFAULT, only: set[str] | None = None) -> DataFrame:
         "case_rank": lambda: t.cases.groupBy("entity_id").agg(F.avg(_rank("severity_norm")).alias("case_rank")),
         "burst_max": lambda: bursts(t.cases, p).groupBy("entity_id").agg(F.max("burst_size").alias("burst_max")),
         "chain_depth": lambda: duplicate_depth(t.cases).withColumnRenamed("depth", "chain_depth"),
-        "n_notes template_similarity": lambda: note_similarity(t.investigations.filter("notes is not null"), ["entity_id"]).select("entity_id", "n_notes", F.col("similarity").alias("template_similarity")),
+        "n_notes template_similarity": lambda: settled(t.investigations.sparkSession, "note-similarity", lambda: note_similarity(t.investigations.filter("notes is not null"), ["entity_id"])).select("entity_id", "n_notes", F.col("similarity").alias("template_similarity")),
         "n_escalations nowhere_rate": lambda: t.escalations.join(c, ["entity_id", "case_id"], "left").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_escalations"), share(nowhere).alias("nowhere_rate")),
         "telemetry_gap_ratio silence_max category_missing tactic_coverage expected_absent_count space_rows": lambda: cover,
         "category_z": lambda: category_z(cover),
